@@ -7,10 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import bpe
+from hearthline.llm import bpe, dedup
 from hearthline.llm.common import table
 
 
+def op2_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").drop("locator")
+
+
+OP2_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,8 +31,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_byte_bpe": op9_byte_bpe}
+    return {
+        "op2_streaming_dedup": op2_streaming_dedup,
+        "op9_byte_bpe": op9_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_streaming_dedup": OP2_SQL}
