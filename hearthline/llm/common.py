@@ -124,3 +124,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def drop_by_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose key isn't in keys (one column, no nulls). Only rows in a bucket with a key are shuffled; see reduce_by_keys."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(REDUCER_BUCKETS)).cast("int")
+    hits = F.broadcast(keys.select(bucket(keys[keys.columns[0]]).alias("__b")).distinct())
+    marked = df.withColumn("__b", bucket(df[key]))
+    maybe = marked.join(hits, "__b", "left_semi").drop("__b")
+    gone = keys.select(keys[keys.columns[0]].alias("__gone"))
+    return marked.join(hits, "__b", "left_anti").drop("__b").unionAll(maybe.join(gone, maybe[key] == gone["__gone"], "left_anti"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import bpe, dedup, quality
+from hearthline.llm import bpe, dedup, jaccard, quality
 from hearthline.llm.common import table
 
 
@@ -24,6 +24,10 @@ FROM documents
 """
 
 
+def op5_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_streaming_dedup": op2_streaming_dedup,
+        "op5_partenum_jaccard": op5_partenum_jaccard,
         "op6_ngram_ratio": op6_ngram_ratio,
         "op9_byte_bpe": op9_byte_bpe,
     }
