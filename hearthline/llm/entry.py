@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import bpe, dedup, jaccard, quality
+from hearthline.llm import bpe, dedup, jaccard, mixing, quality
 from hearthline.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("h", "times")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_streaming_dedup": op2_streaming_dedup,
         "op5_partenum_jaccard": op5_partenum_jaccard,
         "op6_ngram_ratio": op6_ngram_ratio,
+        "op7_subset_sum_mix": op7_subset_sum_mix,
         "op9_byte_bpe": op9_byte_bpe,
     }
 
