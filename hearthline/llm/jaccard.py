@@ -47,28 +47,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Words(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMORY:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sorted arrays of the 64-bit hashes of a text's distinct shingles of n words."""
 
     def __init__(self, n: int):
-        self.n, self.words = n, {}
+        self.n, self.words = n, _Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # of bytes: A-Z, and ASCII white space
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.words) > MEMORY:
-            self.words = {}
-        known = self.words
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], dtype=np.uint64)
+        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(words))
         out = np.full(len(words) - n + 1, n, dtype=np.uint64)
         for j in range(n):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(words) - n + 1 + j])
-        return np.unique(out)
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += h[j : len(words) - n + 1 + j]
+            out ^= out >> np.uint64(29)
+        return np.unique(_mix(out))
 
 
 class Bands:
