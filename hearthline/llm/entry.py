@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearthline.llm import bpe, dedup, jaccard, mixing, quality
+from hearthline.llm import bpe, dedup, html, jaccard, language, licences, mixing, quality, sharding, toxicity
 from hearthline.llm.common import table
 
 
+def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("notice_ids", F.array_join("notice_ids", ","))
+
+
 def op2_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").drop("locator")
 
@@ -24,6 +30,14 @@ FROM documents
 """
 
 
+def op3_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"))
+
+
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+
+
 def op5_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -36,21 +50,57 @@ def op7_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("h", "times")
 
 
+def op8_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
 
 
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).drop("hilbert")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_digests": op1_license_digests,
         "op2_streaming_dedup": op2_streaming_dedup,
+        "op3_ftrl_language": op3_ftrl_language,
+        "op4_toxic_segments": op4_toxic_segments,
         "op5_partenum_jaccard": op5_partenum_jaccard,
         "op6_ngram_ratio": op6_ngram_ratio,
         "op7_subset_sum_mix": op7_subset_sum_mix,
+        "op8_template_text": op8_template_text,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_hilbert_shards": op10_hilbert_shards,
     }
 
 
+def _canonical_sql(text: str) -> str:
+    line, between = (p.replace("'", "''") for p in (licences.COPYRIGHT_LINE, licences.BETWEEN))
+    out = f"' ' || regexp_replace(translate(regexp_replace({text}, '{line}', '', 'g'), '{licences.UPPER}', '{licences.LOWER}'), '{between}', '  ', 'g') || ' '"
+    for old, new in licences.SPELLINGS.items():
+        out = f"replace({out}, ' {old} ', ' {new} ')"
+    return f"trim(replace({out}, '  ', ' '))"
+
+
+def _op1_sql() -> str:
+    values = lambda rows: ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in rows)
+    notices = [(i, t) for i, ts in licences.NOTICES.items() for t in ts]
+    return f"""
+    WITH known AS (SELECT sha256({_canonical_sql("t")}) AS d, min(i) AS license_id FROM (VALUES {values(licences.LICENCES.items())}) k(i, t) GROUP BY 1),
+    notices AS (SELECT {_canonical_sql("t")} AS k, min(i) AS v FROM (VALUES {values(notices)}) n(i, t) GROUP BY 1),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+    hits AS (SELECT r, string_agg(DISTINCT v, ',' ORDER BY v) AS ids FROM lines JOIN notices ON {_canonical_sql("line")} = k
+             WHERE regexp_matches(line, '(?i)licen[sc]e|public domain') GROUP BY r)
+    SELECT doc_id, license_id, coalesce(ids, '') AS notice_ids, sha256({_canonical_sql("text")}) AS canonical_sha256
+    FROM docs LEFT JOIN known ON d = sha256({_canonical_sql("text")}) LEFT JOIN hits USING (r)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_streaming_dedup": OP2_SQL}
+    return {"op1_license_digests": _op1_sql(), "op2_streaming_dedup": OP2_SQL}
