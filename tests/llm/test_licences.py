@@ -15,7 +15,7 @@ def test_known_texts_are_found_in_any_dress(spark):
     for i, (name, text) in enumerate(licences.LICENCES.items()):
         dressed = [
             text, text.upper(), rewrapped(text, 61), rewrapped(text, 33, "© 1999 X\nAll rights reserved.\n", " * "),
-            rewrapped(text, 70, "Copyright 2001 The Y Authors\nCOPYRIGHT (C) 1998 by Z\n").replace('"', "“"), text.replace("acknowledgment", "acknowledgement").replace("license", "licence"),
+            rewrapped(text, 70, "Copyright 2001 The Y Authors\nCOPYRIGHT (C) 1998 by Z\n").replace('"', "“"), text.replace("acknowledgment", "acknowledgement").replace(" license", " licence"),
         ]
         rows += [(10 * i + j, t, name) for j, t in enumerate(dressed)]
     rows += [(900 + i, t, None) for i, t in enumerate([None, "", "Copyright 2020 X", "MIT License", licences.LICENCES["MIT"] + " more", licences.LICENCES["MIT"][:-9], "words"])]
