@@ -26,7 +26,7 @@ DIMENSIONS = 3
 BITS = 4
 SHARDS = 8
 #: Rows of one hash bucket, on average.
-ROWS = 20_000
+ROWS = 2_000
 
 _ALL = (1 << DIMENSIONS) - 1
 
