@@ -45,6 +45,8 @@ def update_state(spark: SparkSession, path: str, state: str, digest=sha256, max_
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    # a run ends with its files: a partition's store is closed once its task is done, not kept open for a next batch
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     session.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(path).schema
     source = f"{path[:-1]}[{path[-1]}]"  # a pattern that only path fits: a source without it must be a folder
