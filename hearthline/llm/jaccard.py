@@ -2,9 +2,12 @@
 
 A document is the set of its distinct word shingles. Sets that may be similar enough lie in one band of
 sizes, or the smaller one also takes part in the larger one's band. Within a band, the similarity bounds the number
-k of elements that two sets don't share. The domain of elements is cut into n1 partitions, so that two such sets
-differ by at most one element in one of them, and each partition into PARTS parts, so that leaving out one part
-leaves equal projections. A set's signatures are the hashes of all those projections: no link is missed.
+k of elements that two sets don't share. The domain of elements is cut into partitions: either k + 1 of them, so that two
+such sets agree in a whole one, or half as many, so that they differ by at most one element in one, each cut into
+parts, so that leaving out one part leaves equal projections. A set's signatures are the hashes of all those projections:
+no link is missed. A projection of very few elements is shared by unrelated texts. So some partitions are spare, in which linked
+sets agree as well, and a set leaves out its smallest projections, as many as make up no more partitions than are spare: of
+the spare + 1 partitions in which two sets agree, one at least has only projections that both keep, since equal ones are equally large.
 
 Sets that share a signature come together in groups (connected components of star edges, never pairs), and one
 document of each set stands for its copies. A group is cut into blocks of bounded size, and each pair of blocks is
@@ -18,6 +21,7 @@ node; null ids take the component of their equal texts. Other columns don't matt
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -29,7 +33,11 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.common import connected_components, drop_by_keys, persisted, reduce_by_keys, slices
 
-PARTS = 3
+#: Whole partitions serve up to this share of different elements; beyond it two differences share a partition of PARTS parts.
+WHOLE = 0.17
+PARTS = 4
+#: Spare partitions, as a share of those that are needed.
+SPARE = 0.15
 #: A band's largest size over its smallest.
 BAND = 1.25
 #: Elements (and 50 a document) of a block.
@@ -82,13 +90,24 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent = percent
-        low, self.low, self.high = 1, [], []
+        low, self.low, self.high, self.shape = 1, [], [], []
         while low < 1 << 40:
             high = max(low, int(low * BAND))
             self.low.append(low)
             self.high.append(high)
+            self.shape.append(self._shape(low, high))
             low = high + 1
 
+    def _shape(self, low: int, high: int) -> tuple[int, int, int]:
+        """Partitions, parts of each, and how many partitions are spare."""
+        k = 2 * high * (100 - self.percent) // (100 + self.percent)
+        if k == 0:
+            return 0, 1, 0  # only equal sets, which have one key
+        parts = 1 if k <= WHOLE * high else PARTS
+        base = k + 1 if parts == 1 else k // 2 + 1
+        spare = math.ceil(SPARE * base)
+        return base + spare, parts, spare
+
     def of(self, size: int) -> list[int]:
         """The set's own band, and those of larger sets that it may be similar to."""
         band = int(np.searchsorted(self.high, size))
@@ -99,26 +118,24 @@ class Bands:
         return out
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
+        """elements: sorted. A part is a range of hashes, so that its elements are neighbours and running sums give its hash."""
         out = []
         for band in self.of(len(elements)):
-            k = 2 * self.high[band] * (100 - self.percent) // (100 + self.percent)
-            if k == 0:
-                continue  # only equal sets, which have one key
-            spare = k >= 8
-            n1 = k // 2 + 1 + spare
-            cell = (((elements >> np.uint64(20)) % np.uint64(n1)) * np.uint64(PARTS) + (elements >> np.uint64(4)) % np.uint64(PARTS)).astype(np.int64)
-            sums = np.zeros(n1 * PARTS, np.uint64)
-            np.add.at(sums, cell, _mix(elements + np.uint64(band + 1)))
-            sums = sums.reshape(n1, PARTS)
-            rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
-            tag = np.arange(n1 * PARTS, dtype=np.uint64).reshape(n1, PARTS) + np.uint64(band << 40)
-            signature = _mix(rest ^ _mix(tag))
-            counts = np.bincount(cell, minlength=n1 * PARTS).reshape(n1, PARTS)
-            empty = counts.sum(axis=1)[:, None] == counts
-            # with a spare partition two partitions fit, so one without a projection of nothing can do without it
-            if spare and empty.any(axis=1).sum() <= 1:
-                signature = signature[~empty]
-            out.append(signature.ravel())
+            n, parts, spare = self.shape[band]
+            if n == 0:
+                continue
+            cells = n * parts
+            counts = np.bincount(((elements >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64), minlength=cells)
+            sums = np.zeros(len(elements) + 1, np.uint64)
+            np.cumsum(_mix(elements + np.uint64(band + 1)), out=sums[1:])
+            ends = np.cumsum(counts)
+            sums, counts = (sums[ends] - sums[ends - counts]).reshape(n, parts), counts.reshape(n, parts)
+            if parts > 1:
+                sums, counts = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums, counts.sum(axis=1)[:, None] - counts
+            tag = np.arange(cells, dtype=np.uint64).reshape(n, parts) + np.uint64(band << 40)
+            signature = _mix(sums ^ _mix(tag))
+            least = np.partition(counts.min(axis=1), spare)[spare]  # at most spare partitions have a smaller projection
+            out.append(signature[counts >= least])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
