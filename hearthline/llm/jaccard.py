@@ -2,9 +2,9 @@
 
 A document is the set of its distinct word shingles. Sets that may be similar enough lie in one band of
 sizes, or the smaller one also takes part in the larger one's band. Within a band, the similarity bounds the number
-k of elements that two sets don't share. The domain of elements is cut into partitions: either k + 1 of them, so that two
-such sets agree in a whole one, or half as many, so that they differ by at most one element in one, each cut into
-parts, so that leaving out one part leaves equal projections. A set's signatures are the hashes of all those projections:
+k of elements that two sets don't share. The domain of elements is cut into k // 2 + 1 partitions, so that two such sets
+differ by at most one element in one of them, and each partition into parts, so that leaving out one part leaves equal
+projections. A set's signatures are the hashes of all those projections:
 no link is missed. A projection of very few elements is shared by unrelated texts. So some partitions are spare, in which linked
 sets agree as well, and a set leaves out its smallest projections, as many as make up no more partitions than are spare: of
 the spare + 1 partitions in which two sets agree, one at least has only projections that both keep, since equal ones are equally large.
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.common import connected_components, drop_by_keys, persisted, reduce_by_keys, slices
 
-#: Whole partitions serve up to this share of different elements; beyond it two differences share a partition of PARTS parts.
-WHOLE = 0.17
-PARTS = 4
+#: Parts of a partition, and what they are if more than so large a share of elements may differ: projections stay large then.
+PARTS = 3
+FAR, PARTS_FAR = 0.17, 4
 #: Spare partitions, as a share of those that are needed.
 SPARE = 0.15
 #: A band's largest size over its smallest.
@@ -103,8 +103,8 @@ class Bands:
         k = 2 * high * (100 - self.percent) // (100 + self.percent)
         if k == 0:
             return 0, 1, 0  # only equal sets, which have one key
-        parts = 1 if k <= WHOLE * high else PARTS
-        base = k + 1 if parts == 1 else k // 2 + 1
+        parts = PARTS if k <= FAR * high else PARTS_FAR
+        base = k // 2 + 1
         spare = math.ceil(SPARE * base)
         return base + spare, parts, spare
 
@@ -130,8 +130,7 @@ class Bands:
             np.cumsum(_mix(elements + np.uint64(band + 1)), out=sums[1:])
             ends = np.cumsum(counts)
             sums, counts = (sums[ends] - sums[ends - counts]).reshape(n, parts), counts.reshape(n, parts)
-            if parts > 1:
-                sums, counts = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums, counts.sum(axis=1)[:, None] - counts
+            sums, counts = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums, counts.sum(axis=1)[:, None] - counts
             tag = np.arange(cells, dtype=np.uint64).reshape(n, parts) + np.uint64(band << 40)
             signature = _mix(sums ^ _mix(tag))
             least = np.partition(counts.min(axis=1), spare)[spare]  # at most spare partitions have a smaller projection
