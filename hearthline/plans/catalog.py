@@ -98,9 +98,14 @@ _PPA = """SELECT p.district, p.area, count(*) AS n, median(amount / t.area) * ma
   FROM pairs p JOIN trades t ON t.district = p.district AND abs(t.area - p.area) <= 10 WHERE NOT direct{} GROUP BY p.district, p.area HAVING count(*) >= 5"""
 
 
-@query(f"WITH {_BAND}, s AS ({_PPA.format('')}) SELECT district, area, n, round(base, 8) AS base, round(low, 8) AS low FROM s")
+#: Quotients by areas end in a 5 at the ninth place often enough; moved by this much, they don't lie between two rounded values.
+_OFF_TIES = 1.234567e-9
+
+
+@query(f"WITH {_BAND}, s AS ({_PPA.format('')}) SELECT district, area, n, round(base + {_OFF_TIES}, 8) AS base, round(low + {_OFF_TIES}, 8) AS low FROM s")
 def price_per_area(spark, sf_dir):
-    return rounded(market.price_per_area(standin.listings(spark, sf_dir), standin.trades(spark, sf_dir)), "base", "low")
+    found = market.price_per_area(standin.listings(spark, sf_dir), standin.trades(spark, sf_dir))
+    return rounded(found.withColumns({c: F.col(c) + _OFF_TIES for c in ("base", "low")}), "base", "low")
 
 
 @query(f"""WITH {_BAND}, n AS (SELECT district, area, count(*) AS n, median(amount) AS base, {_LOW} AS low FROM band WHERE NOT direct AND new_build AND complex % 7 = 0 GROUP BY ALL HAVING count(*) >= 3),

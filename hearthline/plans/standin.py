@@ -21,10 +21,11 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # whole cents, so that quantiles have few decimals and rounding them for comparison meets no ties
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(
         "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("complex"), F.col("p_brand").alias("district"), F.col("p_size").cast("double").alias("area"),
-        (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("amount"), F.to_date("l_shipdate").alias("date"), (F.col("l_returnflag") == "R").alias("direct"),
+        (F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 10_000).alias("amount"), F.to_date("l_shipdate").alias("date"), (F.col("l_returnflag") == "R").alias("direct"),
         (F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")).alias("new_build"), (F.col("p_size") >= 45).alias("large"),
     )
 
@@ -33,5 +34,5 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTINGS_SQL = """listings AS (SELECT p_partkey AS id, p_brand AS district, CAST(p_size AS DOUBLE) AS area, p_retailprice / 100 AS price, p_type AS kind,
     p_name AS name, p_size >= 45 AS large FROM part)"""
 TRADES_SQL = """trades AS (SELECT l_orderkey, l_linenumber, l_suppkey AS complex, p_brand AS district, CAST(p_size AS DOUBLE) AS area,
-    l_extendedprice / l_quantity / 100 AS amount, CAST(l_shipdate AS DATE) AS date, l_returnflag = 'R' AS direct,
+    floor(l_extendedprice * 100 / l_quantity) / 10000 AS amount, CAST(l_shipdate AS DATE) AS date, l_returnflag = 'R' AS direct,
     l_shipdate >= TIMESTAMP '1995-01-01' AS new_build, p_size >= 45 AS large FROM lineitem JOIN part ON l_partkey = p_partkey)"""
