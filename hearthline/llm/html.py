@@ -5,7 +5,7 @@ its text runs outside articles. A token's occurrence vector is how often each pa
 with equal vectors form a class (Arasu and Garcia-Molina 2003). A class is valid if the elements around its tokens all
 belong to one class, in which it is then nested; the class of the page's root and the valid classes below it are the host's
 template. The template's slots are what varies: among its elements, those that mark an article or a page's main part are the
-content slot, or else the deepest one that holds most of the host's text. Runs of text that are tokens of the template
+content slot, and on hosts without such elements all slots are content. Runs of text that are tokens of the template
 themselves are boilerplate, except inside the content slot. Elements that a template's role marks as menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or reader comments are left out everywhere.
 
@@ -36,8 +36,6 @@ from hearthline.llm.common import persisted, slices
 HOSTS = 100_000
 #: Pages that a text run must be on to be part of a template.
 LEAST = 5
-#: Share of a host's text that the content slot holds, where no element says that it is the article.
-SHARE = 0.7
 #: Tokens that a task holds back for its sums.
 HELD = 300_000
 
@@ -75,6 +73,10 @@ def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "replace")) >> 1
 
 
+#: The token around all of a page.
+ROOT = _hash("#page")
+
+
 class _Element:
     __slots__ = ("tag", "path", "chrome", "content", "chars", "depth", "name")
 
@@ -111,7 +113,7 @@ def _role(tag: str, attributes: str) -> tuple[str, int]:
 
 def read(html: str) -> Iterator[tuple[str, _Element, str]]:
     """Events of a page: ("open" or "close", element, ""), ("text", innermost element, decoded run) and ("break", element, "")."""
-    root = _Element("#page", _hash("#page"), False, False, 0)
+    root = _Element("#page", ROOT, False, False, 0)
     stack, at = [root], 0
 
     def pop_to(i: int) -> Iterator[tuple[str, _Element, str]]:
@@ -186,7 +188,7 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if not html:
                 continue
-            page, own, above = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")), {}, [_hash("#page")]
+            page, own, above = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")), {ROOT: [0, ELEMENT, PLAIN, 0, 1, 0]}, [ROOT]
             for event, e, text in read(html):
                 if event == "open" and e.tag in BLOCKS:
                     role = CHROME if e.chrome else CONTENT if e.content else PLAIN
@@ -215,7 +217,7 @@ PROFILE = "host string, token long, parent long, kind int, role int, depth int,
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, content (paths of content slots), fixed (text tokens of the template). pages: host, html."""
+    """host, content (paths that mark an article; none: all that varies), fixed (text tokens of the template). pages: host, html."""
     sums = pages.select("host", "html").mapInArrow(profile, PROFILE)
     tokens = sums.groupBy("host", "token").agg(
         *[F.min(c).alias(c) for c in ("parent", "kind", "depth")], F.max("role").alias("role"), *[F.sum(c).alias(c) for c in ("pages", "n", "v1", "v2", "chars")]
@@ -228,20 +230,16 @@ def templates(pages: DataFrame) -> DataFrame:
     nested = tokens.join(around, ["host", "parent"], "left")
     inner = F.when(F.coalesce(F.col("outer") != F.col("class"), F.lit(True)), F.coalesce("outer", F.lit(0)))
     classes = nested.groupBy("host", "class").agg(
-        F.count(F.lit(1)).alias("size"), F.count_if(F.col("kind") == ELEMENT).alias("elements"), F.min(inner).alias("a"), F.max(inner).alias("b")
-    ).where("size > 1 and elements > 0 and a = b")
+        F.count(F.lit(1)).alias("size"), F.count_if(F.col("kind") == ELEMENT).alias("elements"), F.min(inner).alias("a"), F.max(inner).alias("b"),
+        F.bool_or(F.col("token") == ROOT).alias("root"),
+    ).where("size > 1 and elements > 0 and (a = b or root)")
     fixed = tokens.where(F.col("kind") == TEXT).join(classes, ["host", "class"], "left_semi").groupBy("host").agg(F.collect_set("token").alias("fixed"))
     elements = tokens.where(F.col("kind") == ELEMENT)
-    most = elements.groupBy("host").agg(F.max(F.when(F.col("role") == PLAIN, F.col("chars"))).alias("most"))
     marked = elements.where(F.col("role") == CONTENT).groupBy("host").agg(F.collect_set("token").alias("marked"))
-    holding = (
-        elements.where(F.col("role") == PLAIN).join(most, "host").where(F.col("chars") >= SHARE * F.col("most"))
-        .groupBy("host").agg(F.max_by("token", F.struct("depth", "chars", "token")).alias("holding"))
-    )
-    out = most.select("host").join(marked, "host", "left").join(holding, "host", "left").join(fixed, "host", "left")
+    out = elements.select("host").distinct().join(marked, "host", "left").join(fixed, "host", "left")
     none = F.array().cast("array<long>")
     return persisted(
-        out.select("host", F.coalesce("marked", F.when(F.col("holding").isNotNull(), F.array("holding")), none).alias("content"), F.coalesce("fixed", none).alias("fixed")),
+        out.select("host", F.coalesce("marked", none).alias("content"), F.coalesce("fixed", none).alias("fixed")),
         "html-templates",
     )
 

@@ -66,3 +66,19 @@ def test_against_plain_expressions(spark):
         blocks = re.split(r"</?(?:p|h1|div|ul|li)[^>]*>", inner)
         want = [" ".join(stdlib.unescape(re.sub(r"<!--.*?-->|<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", b)).split()) for b in blocks]
         assert r.text == "\n".join(x for x in want if x), r.page_id
+
+
+def test_all_slots_of_a_host_without_articles(spark):
+    """Paragraphs hold most of the text; the other blocks are content as well."""
+    def page(i):
+        long = "".join(f"<p>Paragraph {i} {k} {'word ' * 60}</p>" for k in range(4))
+        return (
+            f"<body><div class=top>Our town paper</div><div class=lead>Lead {i}</div><div class=story><h1>Title {i}</h1>{long}<h2>Part {i}</h2><ul><li>Item {i}a<li>Item {i}b</ul>"
+            f"<blockquote><p>Quote {i}</p></blockquote><table><tr><td>Cell {i}<td>Value {i}</table></div><div class=low>All rights kept</div></body>"
+        )
+
+    df = spark.createDataFrame([(i, f"http://blocks.example.org/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+    for r in html.extract(df).collect():
+        i = r.page_id
+        long = [" ".join(f"Paragraph {i} {k} {'word ' * 60}".split()) for k in range(4)]
+        assert r.text.split("\n") == [f"Lead {i}", f"Title {i}", *long, f"Part {i}", f"Item {i}a", f"Item {i}b", f"Quote {i}", f"Cell {i}", f"Value {i}"]
