@@ -5,16 +5,17 @@ its text runs outside articles. A token's occurrence vector is how often each pa
 with equal vectors form a class (Arasu and Garcia-Molina 2003). A class is valid if the elements around its tokens all
 belong to one class, in which it is then nested; the class of the page's root and the valid classes below it are the host's
 template. The template's slots are what varies: among its elements, those that mark an article or a page's main part are the
-content slot, and on hosts without such elements all slots are content. Runs of text that are tokens of the template
-themselves are boilerplate, except inside the content slot. Elements that a template's role marks as menus, headers, footers,
+content slot, and on pages without such elements all slots are content. Runs of text that are tokens of the template
+themselves are boilerplate, except inside articles and inside elements where what varies stands directly (SHARE), as in the
+parent of an article's blocks. Identical pages of a host are one page to the template, so copies don't look like a template. Elements that a template's role marks as menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or reader comments are left out everywhere.
 
 Vectors are never built: a token's two sums of 32-bit hashes of (page, count) stand for it, so that counting is a
 map-side aggregate and a host with a third of all pages is no hot group. A host's template is a few dozen numbers; the
 templates are broadcast while there are at most HOSTS, which is counted first, and joined by host beyond that.
 
-Defined cases: null and empty html gives an empty text; a url without a host counts as host ""; pages whose structure lacks
-the host's content slot fall back to their own articles, then to all text outside menus and the like; unclosed and stray tags,
+Defined cases: null and empty html gives an empty text; a url without a host counts as host ""; pages without text in an
+article fall back to all text but menus and boilerplate, then to all text outside menus and the like; unclosed and stray tags,
 cut-off pages and unknown references are read as browsers do, roughly; repeated rows get equal results; an empty table gives
 an empty result; other columns don't matter.
 """
@@ -30,12 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import persisted, slices
+from hearthline.llm.common import REDUCER_BUCKETS, persisted, slices
 
 #: Most templates that are broadcast.
 HOSTS = 100_000
 #: Pages that a text run must be on to be part of a template.
 LEAST = 5
+#: Share of what varies inside an element that stands in it outside further holders, where its constant runs are content too.
+SHARE = 0.7
 #: Tokens that a task holds back for its sums.
 HELD = 300_000
 
@@ -60,6 +63,8 @@ CHROME_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 CONTENT_TAGS = frozenset(["article", "main"])
+#: Elements that hold blocks side by side.
+HOLDERS = frozenset("div section center td dd details fieldset".split())
 
 ELEMENT, TEXT = 0, 1
 PLAIN, CONTENT, CHROME = 0, 1, 2
@@ -78,10 +83,10 @@ ROOT = _hash("#page")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "chrome", "content", "chars", "depth", "name")
+    __slots__ = ("tag", "path", "chrome", "content")
 
-    def __init__(self, tag: str, path: int, chrome: bool, content: bool, depth: int):
-        self.tag, self.path, self.chrome, self.content, self.depth, self.chars = tag, path, chrome, content, depth, 0
+    def __init__(self, tag: str, path: int, chrome: bool, content: bool):
+        self.tag, self.path, self.chrome, self.content = tag, path, chrome, content
 
 
 _roles: dict[tuple[str, str], tuple[str, int]] = {}
@@ -113,14 +118,12 @@ def _role(tag: str, attributes: str) -> tuple[str, int]:
 
 def read(html: str) -> Iterator[tuple[str, _Element, str]]:
     """Events of a page: ("open" or "close", element, ""), ("text", innermost element, decoded run) and ("break", element, "")."""
-    root = _Element("#page", ROOT, False, False, 0)
+    root = _Element("#page", ROOT, False, False)
     stack, at = [root], 0
 
     def pop_to(i: int) -> Iterator[tuple[str, _Element, str]]:
         while len(stack) > i:
-            gone = stack.pop()
-            stack[-1].chars += gone.chars
-            yield "close", gone, ""
+            yield "close", stack.pop(), ""
 
     while at < len(html):
         m = TAG.search(html, at)
@@ -163,7 +166,7 @@ def read(html: str) -> Iterator[tuple[str, _Element, str]]:
         # an article inside something that only its name marks is the article all the same
         freed = kind == CONTENT and above.chrome and not any(e.tag in CHROME_TAGS or e.tag in CONTENT_TAGS for e in stack)
         path = above.path if tag not in BLOCKS else _hash(above.path, signature)
-        element = _Element(tag, path, kind == CHROME or (above.chrome and not freed), kind == CONTENT or above.content, above.depth + 1)
+        element = _Element(tag, path, kind == CHROME or (above.chrome and not freed), kind == CONTENT or above.content)
         stack.append(element)
         yield "open", element, ""
     yield from pop_to(1)
@@ -176,8 +179,8 @@ def _vector(page: int, count: int) -> tuple[int, int]:
 
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's sums for each token of each host."""
-    names = ["host", "token", "parent", "kind", "role", "depth", "pages", "n", "v1", "v2", "chars"]
-    types = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 5]
+    names = ["host", "token", "parent", "kind", "holder", "holders", "pages", "n", "v1", "v2", "chars"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 5]
     sums: dict[tuple[str, int], list] = {}
 
     def flush() -> pa.RecordBatch:
@@ -188,22 +191,27 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if not html:
                 continue
-            page, own, above = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")), {ROOT: [0, ELEMENT, PLAIN, 0, 1, 0]}, [ROOT]
+            page, own = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")), {ROOT: [0, ELEMENT, 0, None, 1, 0]}
+            above, holders = [ROOT], [ROOT]
             for event, e, text in read(html):
                 if event == "open" and e.tag in BLOCKS:
-                    role = CHROME if e.chrome else CONTENT if e.content else PLAIN
-                    own.setdefault(e.path, [above[-1], ELEMENT, role, e.depth, 0, 0])[4] += 1
+                    holds = e.tag in HOLDERS and not e.chrome and not e.content
+                    if e.path not in own:
+                        own[e.path] = [above[-1], ELEMENT, holders[-1], [*dict.fromkeys(holders), e.path] if holds else None, 0, 0]
+                    own[e.path][4] += 1
                     above.append(e.path)
+                    holders.append(e.path if holds else holders[-1])
                 elif event == "close" and e.tag in BLOCKS:
                     above.pop()
-                    own[e.path][5] += e.chars
-                elif event == "text" and not e.chrome and (flat := " ".join(text.split())):
-                    e.chars += len(flat)
-                    if not e.content:
-                        own.setdefault(_hash(e.path, flat, "text"), [e.path, TEXT, PLAIN, e.depth, 0, 0])[4] += 1
-            for token, (parent, kind, role, depth, count, chars) in own.items():
+                    holders.pop()
+                elif event == "text" and not e.chrome and not e.content and (flat := " ".join(text.split())):
+                    x = own.setdefault(_hash(e.path, flat, "text"), [e.path, TEXT, holders[-1], None, 0, 0])
+                    x[4] += 1
+                    x[5] += len(flat)
+                    own[holders[-1]][5] += len(flat)
+            for token, (parent, kind, holder, around, count, chars) in own.items():
                 a, b = _vector(page, count)
-                x = sums.setdefault((host, token), [parent, kind, role, depth, 0, 0, 0, 0, 0])
+                x = sums.setdefault((host, token), [parent, kind, holder, around, 0, 0, 0, 0, 0])
                 for i, v in enumerate((1, count, a, b, chars), 4):
                     x[i] += v
         if len(sums) > HELD:
@@ -213,14 +221,22 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-PROFILE = "host string, token long, parent long, kind int, role int, depth int, pages long, n long, v1 long, v2 long, chars long"
+PROFILE = "host string, token long, parent long, kind int, holder long, holders array<long>, pages long, n long, v1 long, v2 long, chars long"
+
+
+def different(pages: DataFrame) -> DataFrame:
+    """host, html of the different pages of each host. Only pages whose hash's bucket has a copied page are shuffled; see reduce_by_keys."""
+    marked = pages.select("host", "html").where("html is not null").withColumn("k", F.xxhash64("host", "html")).withColumn("b", F.pmod("k", F.lit(REDUCER_BUCKETS)).cast("int"))
+    hits = F.broadcast(persisted(marked.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b").distinct(), "html-copied"))
+    copied = marked.join(hits, "b", "left_semi").select("host", "html").distinct()
+    return marked.join(hits, "b", "left_anti").select("host", "html").unionAll(copied)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, content (paths that mark an article; none: all that varies), fixed (text tokens of the template). pages: host, html."""
-    sums = pages.select("host", "html").mapInArrow(profile, PROFILE)
+    """host, slots (paths of elements whose constant runs are content too), fixed (text tokens of the template). pages: host, html."""
+    sums = different(pages).mapInArrow(profile, PROFILE)
     tokens = sums.groupBy("host", "token").agg(
-        *[F.min(c).alias(c) for c in ("parent", "kind", "depth")], F.max("role").alias("role"), *[F.sum(c).alias(c) for c in ("pages", "n", "v1", "v2", "chars")]
+        *[F.min(c).alias(c) for c in ("parent", "kind", "holder", "holders")], *[F.sum(c).alias(c) for c in ("pages", "n", "v1", "v2", "chars")]
     )
     tokens = persisted(tokens.where((F.col("kind") == ELEMENT) | (F.col("pages") >= LEAST)), "html-tokens")
     vector = ["pages", "n", "v1", "v2"]
@@ -233,22 +249,23 @@ def templates(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("size"), F.count_if(F.col("kind") == ELEMENT).alias("elements"), F.min(inner).alias("a"), F.max(inner).alias("b"),
         F.bool_or(F.col("token") == ROOT).alias("root"),
     ).where("size > 1 and elements > 0 and (a = b or root)")
-    fixed = tokens.where(F.col("kind") == TEXT).join(classes, ["host", "class"], "left_semi").groupBy("host").agg(F.collect_set("token").alias("fixed"))
-    elements = tokens.where(F.col("kind") == ELEMENT)
-    marked = elements.where(F.col("role") == CONTENT).groupBy("host").agg(F.collect_set("token").alias("marked"))
-    out = elements.select("host").distinct().join(marked, "host", "left").join(fixed, "host", "left")
+    constant = persisted(tokens.where(F.col("kind") == TEXT).join(classes, ["host", "class"], "left_semi").select("host", "token", "holder", "chars"), "html-constant")
+    fixed = constant.groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    # what varies directly in an element, and in all holders inside it
+    still = constant.groupBy("host", F.col("holder").alias("token")).agg(F.sum("chars").alias("still"))
+    varying = tokens.where("holders is not null").join(still, ["host", "token"], "left").withColumn("varies", F.col("chars") - F.coalesce("still", F.lit(0))).where("varies > 0")
+    inside = varying.select("host", F.explode("holders").alias("token"), F.col("varies").alias("v")).groupBy("host", "token").agg(F.sum("v").alias("inside"))
+    slots = varying.join(inside, ["host", "token"]).where(F.col("varies") >= SHARE * F.col("inside")).groupBy("host").agg(F.collect_set("token").alias("slots"))
     none = F.array().cast("array<long>")
-    return persisted(
-        out.select("host", F.coalesce("marked", none).alias("content"), F.coalesce("fixed", none).alias("fixed")),
-        "html-templates",
-    )
+    out = tokens.where(F.col("token") == ROOT).select("host").join(slots, "host", "left").join(fixed, "host", "left")
+    return persisted(out.select("host", F.coalesce("slots", none).alias("slots"), F.coalesce("fixed", none).alias("fixed")), "html-templates")
 
 
-def main_text(html: str | None, content: set[int], fixed: set[int]) -> str:
-    """Blocks of a page's content slot in page order, one a line."""
+def main_text(html: str | None, slots: set[int], fixed: set[int]) -> str:
+    """Blocks of a page's content in page order, one a line."""
     if not html:
         return ""
-    # what the template calls content, what the page itself marks, and everything that isn't a menu or the like
+    # what the page marks as an article, everything that isn't a menu or the like nor boilerplate, and boilerplate too
     lines: tuple[list[str], list[str], list[str]] = ([], [], [])
     open_: tuple[list[str], list[str], list[str]] = ([], [], [])
     inside = 0
@@ -264,21 +281,18 @@ def main_text(html: str | None, content: set[int], fixed: set[int]) -> str:
             if e.chrome:
                 continue
             flat = " ".join(text.split())
-            boilerplate = bool(fixed) and flat and not e.content and _hash(e.path, flat, "text") in fixed
-            if inside:
-                open_[0].append(text) if not boilerplate else None
             if e.content:
+                open_[0].append(text)
+            if e.content or inside or not (fixed and flat and _hash(e.path, flat, "text") in fixed):
                 open_[1].append(text)
-            elif not boilerplate:
-                open_[2].append(text)
+            open_[2].append(text)
         elif event == "break":
             end_block()
-        elif e.tag in BLOCKS and e.path in content:
-            if event == "open":
-                inside += 1
-            else:
+        elif e.tag in BLOCKS:
+            if event == "close":
                 end_block()
-                inside -= 1
+            if e.path in slots:
+                inside += 1 if event == "open" else -1
     end_block()
     return "\n".join(next((x for x in lines if x), []))
 
@@ -296,9 +310,9 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html"):
             texts = [
                 main_text(h, set(c or ()), set(x or ()))
-                for h, c, x in zip(*(batch.column(k).to_pylist() for k in ("html", "content", "fixed")), strict=True)
+                for h, c, x in zip(*(batch.column(k).to_pylist() for k in ("html", "slots", "fixed")), strict=True)
             ]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "content", "fixed").mapInArrow(run, f"page_id {page}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "slots", "fixed").mapInArrow(run, f"page_id {page}, url string, text string, n_chars long")

@@ -82,3 +82,14 @@ def test_all_slots_of_a_host_without_articles(spark):
         i = r.page_id
         long = [" ".join(f"Paragraph {i} {k} {'word ' * 60}".split()) for k in range(4)]
         assert r.text.split("\n") == [f"Lead {i}", f"Title {i}", *long, f"Part {i}", f"Item {i}a", f"Item {i}b", f"Quote {i}", f"Cell {i}", f"Value {i}"]
+
+
+def test_copies_and_constant_runs_keep_their_text(spark):
+    """Copies of one page are no template, and constant runs beside what varies are content."""
+    rows = [(i, "http://copies.example.org/a", "<body><div class=y><p>Copy</p></div></body>") for i in range(8)]
+    rows += [(20 + i, "http://mixed.example.org/a", "<body><div class=own><h1>One</h1><div>Two</div></div></body>") for i in range(6)]
+    rows += [(40 + i, "http://mixed.example.org/b", f"<body><div class=top>Site</div><div class=in><h2>Summary</h2><p>Text {i} {'word ' * i}</p><div class=note>Note</div></div></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(8)} == {"Copy"} and {got[20 + i] for i in range(6)} == {"One\nTwo"}
+    for i in range(20):
+        assert got[40 + i].split("\n") == ["Summary", " ".join(f"Text {i} {'word ' * i}".split()), "Note"]
