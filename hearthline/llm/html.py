@@ -8,14 +8,16 @@ template. The template's slots are what varies: among its elements, those that m
 content slot, and on pages without such elements all slots are content. Runs of text that are tokens of the template
 themselves are boilerplate, except inside articles and inside elements where what varies stands directly (SHARE), as in the
 parent of an article's blocks. Identical pages of a host are one page to the template, so copies don't look like a template. Elements that a template's role marks as menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments are left out everywhere.
+sidebars, notices, adverts, forms, scripts, styles or reader comments are left out everywhere. A class or an id says so if
+all its parts do (site-footer, but not has-sidebar), and not where the element holds MOST of what varies on the host; only names
+of reader comments always count.
 
 Vectors are never built: a token's two sums of 32-bit hashes of (page, count) stand for it, so that counting is a
 map-side aggregate and a host with a third of all pages is no hot group. A host's template is a few dozen numbers; the
 templates are broadcast while there are at most HOSTS, which is counted first, and joined by host beyond that.
 
 Defined cases: null and empty html gives an empty text; a url without a host counts as host ""; pages without text in an
-article fall back to all text but menus and boilerplate, then to all text outside menus and the like; unclosed and stray tags,
+article fall back to all text but menus and boilerplate, then to all text outside menus and the like, then to what only names mark; unclosed and stray tags,
 cut-off pages and unknown references are read as browsers do, roughly; repeated rows get equal results; an empty table gives
 an empty result; other columns don't matter.
 """
@@ -39,6 +41,8 @@ HOSTS = 100_000
 LEAST = 5
 #: Share of what varies inside an element that stands in it outside further holders, where its constant runs are content too.
 SHARE = 0.7
+#: Share of what varies on a host that an element holds whose name is not believed.
+MOST = 0.5
 #: Tokens that a task holds back for its sums.
 HELD = 300_000
 
@@ -62,12 +66,18 @@ CHROME_WORDS = frozenset(
     "recommendations widget widgets toolbar pagination pager paging login search".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+# Parts that leave the meaning of the others in a name.
+NEUTRAL_WORDS = frozenset(
+    "site main top bottom left right global primary secondary inner outer box bar block list lists link links item items form button buttons icon icons media "
+    "container wrap wrapper area post posts article articles stories".split()
+)
 CONTENT_TAGS = frozenset(["article", "main"])
 #: Elements that hold blocks side by side.
 HOLDERS = frozenset("div section center td dd details fieldset".split())
 
 ELEMENT, TEXT = 0, 1
-PLAIN, CONTENT, CHROME = 0, 1, 2
+# What leaves an element out: nothing, its name, its name as reader comments, its tag or role.
+PLAIN, NAMED, COMMENT, CHROME, CONTENT = 0, 1, 2, 3, 4
 
 
 def host_of(url: Column) -> Column:
@@ -83,10 +93,19 @@ ROOT = _hash("#page")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "chrome", "content")
+    __slots__ = ("tag", "path", "level", "chrome", "content", "named")
+
+    def __init__(self, tag: str, path: int, level: int, content: bool, named: bool):
+        self.tag, self.path, self.level, self.chrome, self.content, self.named = tag, path, level, level > PLAIN, content, named
+
 
-    def __init__(self, tag: str, path: int, chrome: bool, content: bool):
-        self.tag, self.path, self.chrome, self.content = tag, path, chrome, content
+def _named(names: list[str], words: frozenset[str]) -> bool:
+    """Whether a name consists of these words, and others that add nothing."""
+    for name in names:
+        parts = PART.findall(name)
+        if any(x in words for x in parts) and all(x in CHROME_WORDS or x in NEUTRAL_WORDS or x.isdigit() for x in parts):
+            return True
+    return False
 
 
 _roles: dict[tuple[str, str], tuple[str, int]] = {}
@@ -98,15 +117,19 @@ def _role(tag: str, attributes: str) -> tuple[str, int]:
         return known
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     label = " ".join(found.get(k, "") for k in ("class", "id")).lower()
-    words = set(PART.findall(label))
+    names = label.split()
     role = found.get("role", "").lower()
     unseen = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     if tag in CONTENT_TAGS or role in ("main", "article"):
-        kind = CHROME if words & COMMENT_WORDS or unseen else CONTENT
+        kind = CHROME if unseen else COMMENT if _named(names, COMMENT_WORDS) else CONTENT
     elif tag in ("html", "body"):
         kind = PLAIN
-    elif tag in CHROME_TAGS or role in CHROME_ROLES or words & CHROME_WORDS or unseen:
+    elif tag in CHROME_TAGS or role in CHROME_ROLES or unseen:
         kind = CHROME
+    elif _named(names, COMMENT_WORDS):
+        kind = COMMENT
+    elif _named(names, CHROME_WORDS):
+        kind = NAMED
     else:
         kind = PLAIN
     if len(_roles) > 100_000:
@@ -116,9 +139,9 @@ def _role(tag: str, attributes: str) -> tuple[str, int]:
     return out
 
 
-def read(html: str) -> Iterator[tuple[str, _Element, str]]:
-    """Events of a page: ("open" or "close", element, ""), ("text", innermost element, decoded run) and ("break", element, "")."""
-    root = _Element("#page", ROOT, False, False)
+def read(html: str, freed: set[int] | frozenset[int] = frozenset()) -> Iterator[tuple[str, _Element, str]]:
+    """Events of a page: ("open" or "close", element, ""), ("text", innermost element, decoded run) and ("break", element, ""). freed: paths whose names don't count."""
+    root = _Element("#page", ROOT, PLAIN, False, False)
     stack, at = [root], 0
 
     def pop_to(i: int) -> Iterator[tuple[str, _Element, str]]:
@@ -163,10 +186,14 @@ def read(html: str) -> Iterator[tuple[str, _Element, str]]:
             yield "break", stack[-1], ""
         signature, kind = _role(tag, attributes)
         above = stack[-1]
-        # an article inside something that only its name marks is the article all the same
-        freed = kind == CONTENT and above.chrome and not any(e.tag in CHROME_TAGS or e.tag in CONTENT_TAGS for e in stack)
         path = above.path if tag not in BLOCKS else _hash(above.path, signature)
-        element = _Element(tag, path, kind == CHROME or (above.chrome and not freed), kind == CONTENT or above.content)
+        level, named = max(above.level, kind if kind != CONTENT else PLAIN), kind == NAMED and tag in BLOCKS
+        if named and path in freed and above.level <= NAMED:
+            level = PLAIN
+        # an article inside something that only its name marks is the article all the same
+        if kind == CONTENT and above.chrome and not any(e.tag in CHROME_TAGS or e.tag in CONTENT_TAGS for e in stack):
+            level = PLAIN
+        element = _Element(tag, path, level, kind == CONTENT or above.content, named)
         stack.append(element)
         yield "open", element, ""
     yield from pop_to(1)
@@ -191,24 +218,31 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if not html:
                 continue
-            page, own = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")), {ROOT: [0, ELEMENT, 0, None, 1, 0]}
-            above, holders = [ROOT], [ROOT]
+            page, own = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")), {ROOT: [0, ELEMENT, 0, [ROOT], 1, 0]}
+            # holders from the page, or from the innermost element that its name marks
+            above, holders = [ROOT], [[ROOT]]
             for event, e, text in read(html):
                 if event == "open" and e.tag in BLOCKS:
-                    holds = e.tag in HOLDERS and not e.chrome and not e.content
+                    around = holders[-1]
+                    if e.level <= NAMED and not e.content:
+                        around = [e.path] if e.named else [*around, e.path] if e.tag in HOLDERS else around
                     if e.path not in own:
-                        own[e.path] = [above[-1], ELEMENT, holders[-1], [*dict.fromkeys(holders), e.path] if holds else None, 0, 0]
+                        own[e.path] = [above[-1], ELEMENT, holders[-1][-1], around if around is not holders[-1] else None, 0, 0]
                     own[e.path][4] += 1
                     above.append(e.path)
-                    holders.append(e.path if holds else holders[-1])
+                    holders.append(around)
                 elif event == "close" and e.tag in BLOCKS:
                     above.pop()
                     holders.pop()
-                elif event == "text" and not e.chrome and not e.content and (flat := " ".join(text.split())):
-                    x = own.setdefault(_hash(e.path, flat, "text"), [e.path, TEXT, holders[-1], None, 0, 0])
+                elif event == "text" and e.level <= NAMED and (flat := " ".join(text.split())):
+                    if e.content:
+                        own[ROOT][5] += len(flat) if not e.chrome else 0
+                        continue
+                    holder = holders[-1][-1]
+                    x = own.setdefault(_hash(e.path, flat, "text"), [e.path, TEXT, holder, None, 0, 0])
                     x[4] += 1
                     x[5] += len(flat)
-                    own[holders[-1]][5] += len(flat)
+                    own[holder][5] += len(flat)
             for token, (parent, kind, holder, around, count, chars) in own.items():
                 a, b = _vector(page, count)
                 x = sums.setdefault((host, token), [parent, kind, holder, around, 0, 0, 0, 0, 0])
@@ -233,7 +267,7 @@ def different(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slots (paths of elements whose constant runs are content too), fixed (text tokens of the template). pages: host, html."""
+    """host, slots (paths of elements whose constant runs are content too), freed (paths whose names don't count), fixed (text tokens of the template). pages: host, html."""
     sums = different(pages).mapInArrow(profile, PROFILE)
     tokens = sums.groupBy("host", "token").agg(
         *[F.min(c).alias(c) for c in ("parent", "kind", "holder", "holders")], *[F.sum(c).alias(c) for c in ("pages", "n", "v1", "v2", "chars")]
@@ -254,20 +288,24 @@ def templates(pages: DataFrame) -> DataFrame:
     # what varies directly in an element, and in all holders inside it
     still = constant.groupBy("host", F.col("holder").alias("token")).agg(F.sum("chars").alias("still"))
     varying = tokens.where("holders is not null").join(still, ["host", "token"], "left").withColumn("varies", F.col("chars") - F.coalesce("still", F.lit(0))).where("varies > 0")
+    total = varying.groupBy("host").agg(F.sum("varies").alias("total"))
     inside = varying.select("host", F.explode("holders").alias("token"), F.col("varies").alias("v")).groupBy("host", "token").agg(F.sum("v").alias("inside"))
-    slots = varying.join(inside, ["host", "token"]).where(F.col("varies") >= SHARE * F.col("inside")).groupBy("host").agg(F.collect_set("token").alias("slots"))
+    slots = varying.where(F.col("token") != ROOT).join(inside, ["host", "token"]).where(F.col("varies") >= SHARE * F.col("inside"))
+    slots = slots.groupBy("host").agg(F.collect_set("token").alias("slots"))
+    named = tokens.where((F.get("holders", F.lit(0)) == F.col("token")) & (F.col("token") != ROOT)).join(inside, ["host", "token"]).join(total, "host")
+    freed = named.where(F.col("inside") > MOST * F.col("total")).groupBy("host").agg(F.collect_set("token").alias("freed"))
     none = F.array().cast("array<long>")
-    out = tokens.where(F.col("token") == ROOT).select("host").join(slots, "host", "left").join(fixed, "host", "left")
-    return persisted(out.select("host", F.coalesce("slots", none).alias("slots"), F.coalesce("fixed", none).alias("fixed")), "html-templates")
+    out = tokens.where(F.col("token") == ROOT).select("host").join(slots, "host", "left").join(freed, "host", "left").join(fixed, "host", "left")
+    return persisted(out.select("host", *[F.coalesce(c, none).alias(c) for c in ("slots", "freed", "fixed")]), "html-templates")
 
 
-def main_text(html: str | None, slots: set[int], fixed: set[int]) -> str:
+def main_text(html: str | None, slots: set[int], fixed: set[int], freed: set[int] | frozenset[int] = frozenset()) -> str:
     """Blocks of a page's content in page order, one a line."""
     if not html:
         return ""
-    # what the page marks as an article, everything that isn't a menu or the like nor boilerplate, and boilerplate too
-    lines: tuple[list[str], list[str], list[str]] = ([], [], [])
-    open_: tuple[list[str], list[str], list[str]] = ([], [], [])
+    # what the page marks as an article, everything that isn't a menu or the like nor boilerplate, boilerplate too, and what only names mark
+    lines: tuple[list[str], ...] = ([], [], [], [])
+    open_: tuple[list[str], ...] = ([], [], [], [])
     inside = 0
 
     def end_block() -> None:
@@ -276,8 +314,11 @@ def main_text(html: str | None, slots: set[int], fixed: set[int]) -> str:
                 out.append(flat)
             runs.clear()
 
-    for event, e, text in read(html):
+    for event, e, text in read(html, freed):
         if event == "text":
+            if e.level == CHROME:
+                continue
+            open_[3].append(text)
             if e.chrome:
                 continue
             flat = " ".join(text.split())
@@ -309,10 +350,10 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             texts = [
-                main_text(h, set(c or ()), set(x or ()))
-                for h, c, x in zip(*(batch.column(k).to_pylist() for k in ("html", "slots", "fixed")), strict=True)
+                main_text(h, set(c or ()), set(x or ()), set(f or ()))
+                for h, c, x, f in zip(*(batch.column(k).to_pylist() for k in ("html", "slots", "fixed", "freed")), strict=True)
             ]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "slots", "fixed").mapInArrow(run, f"page_id {page}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "slots", "freed", "fixed").mapInArrow(run, f"page_id {page}, url string, text string, n_chars long")

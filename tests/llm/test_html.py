@@ -93,3 +93,16 @@ def test_copies_and_constant_runs_keep_their_text(spark):
     assert {got[i] for i in range(8)} == {"Copy"} and {got[20 + i] for i in range(6)} == {"One\nTwo"}
     for i in range(20):
         assert got[40 + i].split("\n") == ["Summary", " ".join(f"Text {i} {'word ' * i}".split()), "Note"]
+
+
+def test_names_mark_whole_elements_only():
+    assert text("<div class='wrapper has-sidebar'><p>a</p><div class=sidebar>side</div></div>") == "a"
+    assert text("<article><h2 class='section-header'>Head</h2><p class='social-history'>b</p><p class='share-buttons'>no</p></article>") == "Head\nb"
+    assert text("<div class='sidebar-left'><p>all</p><nav>menu</nav></div>") == "all"
+    assert text("<article class='has-comments'>c</article>") == "c"
+
+
+def test_a_name_around_most_of_a_host_is_not_believed(spark):
+    body = "<body><div class='sidebar-left'><div class=ad>Buy {i}</div><div class=foot>Imprint</div><div class=in><p>Text {i} a</p><p>Text {i} b</p></div></div><p>Low {i}</p></body>"
+    df = spark.createDataFrame([(i, f"http://names.example.org/{i}", body.format(i=i)) for i in range(10)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: f"Text {i} a\nText {i} b\nLow {i}" for i in range(10)}
