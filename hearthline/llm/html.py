@@ -46,12 +46,17 @@ MOST = 0.5
 #: Tokens that a task holds back for its sums.
 HELD = 300_000
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}'|["'])*?)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# A value is quoted right after "=" only, to the next quote however far; without one the quote is part of the tag like any character.
+# Possessive, so that a tag is read once; one that never ends goes to the page's end.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)|<[!?/][^>]*>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+USED = frozenset("class id role hidden style aria-hidden".split())
+#: Characters of attributes that are looked up again.
+KNOWN = 1000
 PART = re.compile(r"[a-z]+|\d+")
 
 # Elements and words by their role.
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style template textarea title iframe select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -115,7 +120,7 @@ def _role(tag: str, attributes: str) -> tuple[str, int]:
     """The element's signature, and its role."""
     if (known := _roles.get((tag, attributes))) is not None:
         return known
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
+    found = {k: (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes) if (k := m[1].lower()) in USED} if attributes else {}
     label = " ".join(found.get(k, "") for k in ("class", "id")).lower()
     names = label.split()
     role = found.get("role", "").lower()
@@ -132,10 +137,12 @@ def _role(tag: str, attributes: str) -> tuple[str, int]:
         kind = NAMED
     else:
         kind = PLAIN
-    if len(_roles) > 100_000:
-        _roles.clear()
     # numbers in names differ from page to page
-    out = _roles[tag, attributes] = (f"{tag} {re.sub(r'[0-9]+', '0', label)} {role}", kind)
+    out = (f"{tag} {re.sub(r'[0-9]+', '0', label)} {role}", kind)
+    if len(attributes) <= KNOWN:
+        if len(_roles) > 100_000:
+            _roles.clear()
+        _roles[tag, attributes] = out
     return out
 
 

@@ -106,3 +106,12 @@ def test_a_name_around_most_of_a_host_is_not_believed(spark):
     body = "<body><div class='sidebar-left'><div class=ad>Buy {i}</div><div class=foot>Imprint</div><div class=in><p>Text {i} a</p><p>Text {i} b</p></div></div><p>Low {i}</p></body>"
     df = spark.createDataFrame([(i, f"http://names.example.org/{i}", body.format(i=i)) for i in range(10)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: f"Text {i} a\nText {i} b\nLow {i}" for i in range(10)}
+
+
+def test_long_attributes_and_foreign_elements():
+    svg = "<svg><rect></svg>" * 500
+    assert text(f"<article><p>a</p><img src='data:image/svg+xml,{svg}'><div data-page='{svg}' class=x>b</div><iframe srcdoc=\"{svg}\"></iframe><p>c</article>") == "a\nb\nc"
+    assert text("<article><p title='the hidden class=ad truth'>a</p><p data-id=ad>b</p><p title=\"never closed>c</p></article>") == "a\nb\nc"
+    assert text("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math><noscript>plain</noscript><svg><text>label</text></svg><object>fall</object></p></article>") == "a x=1plainlabelfall"
+    assert text("<p>a</p>" + "<b " * 100_000) == "a"
+    assert text("<p>a</p>" + "<b x='" * 100_000) == "a"
