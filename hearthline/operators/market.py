@@ -105,11 +105,8 @@ def capped_complexes(rows: DataFrame, group: list[str], cap: int = COMPLEX_CAP)
     return rows.groupBy(*group, "complex").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
 
 
-def ladder(listings: DataFrame, trades: DataFrame) -> DataFrame:
-    """district, area, basis, n, base, low: the first tier with enough trades.
-
-    Tiers: same area, new builds (3); wide band by price per area, new builds (5); large units by price per area (5); none.
-    """
+def _district_tiers(listings: DataFrame, trades: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """district, area, basis, n, base, low of same area, new builds (3); wide band by price per area, new builds (5); large units by price per area (5)."""
     live = trades.where("not direct and amount is not null and amount <> 0 and area > 0")
     new = live.where("new_build")
     narrow = band_summary(listings, new).where("n >= 3").select("district", "area", F.lit("district_newbuild").alias("basis"), "n", "base", "low")
@@ -120,14 +117,47 @@ def ladder(listings: DataFrame, trades: DataFrame) -> DataFrame:
     big = listings.where("large").select("district", "area").distinct().join(large, "district").select(
         "district", "area", F.lit("district_large_ppa").alias("basis"), "n", (F.col("b") * F.col("area")).alias("base"), (F.col("l") * F.col("area")).alias("low")
     )
+    return narrow, wide, big
+
+
+def ladder(listings: DataFrame, trades: DataFrame) -> DataFrame:
+    """district, area, basis, n, base, low: the first of the district's tiers with enough trades. Listings' own complexes: listing_ladder."""
     keys, parts = pairs_of(listings), []
-    for i, tier in enumerate((narrow, wide, big)):
+    for i, tier in enumerate(_district_tiers(listings, trades)):
         part = F.struct(F.lit(i).alias("i"), "basis", "n", "base", "low").alias(f"t{i}")
         keys = keys.join(tier.select("district", "area", part), ["district", "area"], "left")
         parts.append(F.col(f"t{i}"))
     return keys.withColumn("t", F.coalesce(*parts)).select("district", "area", "t.basis", "t.n", "t.base", "t.low")
 
 
+def listing_ladder(listings: DataFrame, trades: DataFrame) -> DataFrame:
+    """id, basis, n, base, low of every listing: the first tier with enough trades.
+
+    listings: id, district, area, large, complex, unit; trades: complex as listings have it (names are matched by same_complex).
+    Tiers: same complex and area (1); the district's first two tiers; same complex by price per area (3); the district's large units. The
+    last two are not for penthouses, whose unit ends in P.
+    """
+    live, n = trades.where("not direct and amount is not null and amount <> 0"), F.count(F.lit(1))
+    value = lambda name: F.struct(F.lit(name).alias("basis"), "n", "base", "low")
+    t = live.select(F.col("district").alias("d"), F.col("complex").alias("c"), F.col("area").alias("trade_area"), "amount")
+    units = listings.where("complex is not null").select("district", "complex", "area").distinct()
+    base, low = base_and_low(F.col("amount"), n)
+    own = units.join(t, (F.col("district") == F.col("d")) & (F.col("complex") == F.col("c")) & in_band(F.col("trade_area"), F.col("area"), AREA_BAND))
+    own = own.groupBy("district", "complex", "area").agg(n.alias("n"), base.alias("base"), low.alias("low"))
+    own = own.select("district", "complex", "area", value("same_complex").alias("t0"))
+    base, low = base_and_low(F.col("amount") / F.col("area"), n)
+    sizes = live.where("area > 0").groupBy("district", "complex").agg(n.alias("m"), base.alias("b"), low.alias("l")).where("m >= 3")
+    narrow, wide, big = (x.select("district", "area", F.struct("basis", "n", "base", "low").alias(f"t{i}")) for i, x in zip((1, 2, 4), _district_tiers(listings, trades), strict=True))
+    found = listings.join(own, ["district", "complex", "area"], "left").join(sizes, ["district", "complex"], "left")
+    for tier in (narrow, wide, big):
+        found = found.join(tier, ["district", "area"], "left")
+    other = F.when(F.col("m").isNotNull() & (F.col("area") > 0), F.struct(
+        F.lit("same_complex_ppa").alias("basis"), F.col("m").alias("n"), (F.col("b") * F.col("area")).alias("base"), (F.col("l") * F.col("area")).alias("low")))
+    penthouse = F.coalesce(F.trim("unit").rlike("(?i)P$"), F.lit(False))
+    chosen = F.coalesce("t0", "t1", "t2", F.when(~penthouse, F.coalesce(other, "t4")))
+    return found.withColumn("t", chosen).select("id", "t.basis", "t.n", "t.base", "t.low")
+
+
 def nearest_tier(candidates: DataFrame, radii: tuple[int, ...] = (1000, 1500, 2000), enough: int = 5, few: int = 3) -> DataFrame:
     """listing, stage, n, base: comparables from the nearest tier that has enough trades.
 

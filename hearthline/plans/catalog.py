@@ -122,6 +122,27 @@ def ladder_valuation(spark, sf_dir):
     return rounded(market.ladder(standin.listings(spark, sf_dir), trades), "base", "low")
 
 
+@query(f"""WITH {LISTINGS_SQL}, {TRADES_SQL}, u AS (SELECT p_partkey AS id, p_partkey % 400 + 1 AS complex, p_type LIKE '%COPPER' AS penthouse, p_brand AS district, CAST(p_size AS DOUBLE) AS area, p_size >= 45 AS large FROM part),
+live AS (SELECT * FROM trades WHERE NOT direct AND amount <> 0), k AS (SELECT DISTINCT district, complex, area FROM u), pairs AS (SELECT DISTINCT district, area FROM u),
+o AS (SELECT k.district, k.complex, k.area, count(*) AS n, median(amount) AS base, {_LOW} AS low FROM k JOIN live t ON t.district = k.district AND t.complex = k.complex AND abs(t.area - k.area) <= 3 GROUP BY ALL),
+a AS (SELECT p.district, p.area, count(*) AS n, median(amount) AS base, {_LOW} AS low FROM pairs p JOIN live t ON t.district = p.district AND abs(t.area - p.area) <= 3 WHERE new_build GROUP BY ALL HAVING count(*) >= 3),
+w AS ({_PPA.format(' AND new_build AND amount <> 0')}),
+s AS (SELECT district, complex, count(*) AS n, median(amount / area) AS base, CASE WHEN count(*) >= 4 THEN quantile_cont(amount / area, 0.25) ELSE median(amount / area) * 0.9 END AS low FROM live GROUP BY ALL HAVING count(*) >= 3),
+g AS (SELECT district, count(*) AS n, median(amount / area) AS base, CASE WHEN count(*) >= 4 THEN quantile_cont(amount / area, 0.25) ELSE median(amount / area) * 0.9 END AS low FROM live WHERE new_build AND large GROUP BY ALL HAVING count(*) >= 5),
+c AS (SELECT u.id, CASE WHEN o.n IS NOT NULL THEN 'same_complex' WHEN a.n IS NOT NULL THEN 'district_newbuild' WHEN w.n IS NOT NULL THEN 'district_area_ppa' WHEN penthouse THEN NULL
+  WHEN s.n IS NOT NULL THEN 'same_complex_ppa' WHEN u.large AND g.n IS NOT NULL THEN 'district_large_ppa' END AS basis,
+  o.n AS n0, a.n AS n1, w.n AS n2, s.n AS n3, g.n AS n4, o.base AS b0, a.base AS b1, w.base AS b2, s.base * u.area AS b3, g.base * u.area AS b4, o.low AS l0, a.low AS l1, w.low AS l2, s.low * u.area AS l3, g.low * u.area AS l4
+  FROM u LEFT JOIN o USING (district, complex, area) LEFT JOIN a USING (district, area) LEFT JOIN w USING (district, area) LEFT JOIN s USING (district, complex) LEFT JOIN g USING (district))
+SELECT id, basis, CASE basis WHEN 'same_complex' THEN n0 WHEN 'district_newbuild' THEN n1 WHEN 'district_area_ppa' THEN n2 WHEN 'same_complex_ppa' THEN n3 WHEN 'district_large_ppa' THEN n4 END AS n,
+  round(CASE basis WHEN 'same_complex' THEN b0 WHEN 'district_newbuild' THEN b1 WHEN 'district_area_ppa' THEN b2 WHEN 'same_complex_ppa' THEN b3 WHEN 'district_large_ppa' THEN b4 END + {_OFF_TIES}, 8) AS base,
+  round(CASE basis WHEN 'same_complex' THEN l0 WHEN 'district_newbuild' THEN l1 WHEN 'district_area_ppa' THEN l2 WHEN 'same_complex_ppa' THEN l3 WHEN 'district_large_ppa' THEN l4 END + {_OFF_TIES}, 8) AS low FROM c""")
+def ladder_all_tiers(spark, sf_dir):
+    """Every listing over all trades, by all five tiers."""
+    units = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 400 + 1).alias("complex"), F.when(F.col("p_type").endswith("COPPER"), "84P").otherwise("84A").alias("unit"))
+    found = market.listing_ladder(standin.listings(spark, sf_dir).join(units, "id"), standin.trades(spark, sf_dir))
+    return rounded(found.withColumns({c: F.col(c) + _OFF_TIES for c in ("base", "low")}), "base", "low")
+
+
 @query(f"""WITH {LISTINGS_SQL}, {TRADES_SQL}, r AS (SELECT district, l_orderkey, l_linenumber, date, round(amount, 8) AS amount,
   row_number() OVER (PARTITION BY district ORDER BY date DESC, l_orderkey, l_linenumber) AS rn FROM trades) SELECT * FROM r WHERE rn <= 8""")
 def latest_n_comps(spark, sf_dir):

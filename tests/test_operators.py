@@ -130,3 +130,19 @@ def test_state_and_sets(spark):
     assert near == 1112
     same = spark.createDataFrame([("River Town (2)", "RiverTown2", None, None, True), ("A", "", None, None, False), ("River", "Rivers", "x dong", "y", False), (None, "a", None, None, False)], "a string, b string, u string, d string, w boolean")
     assert all(r.s == r.w for r in same.select("w", market.same_complex(F.col("a"), F.col("b"), F.col("u"), F.col("d")).alias("s")).collect())
+
+
+def test_all_tiers_of_the_ladder(spark):
+    units = [
+        (1, "a", 84.0, False, "own", "84A"), (2, "a", 84.0, False, "none", "84A"), (3, "a", 92.0, False, "none", "92A"), (4, "a", 150.0, True, "own", "150A"),
+        (5, "a", 150.0, True, "own", "150p "), (6, "b", 120.0, True, "none", "120A"), (7, "b", 120.0, True, None, "120P"), (8, "c", 84.0, False, None, None),
+    ]
+    rows = [("a", "own", 84.0, 8.4, False, False, False)] * 3 + [("a", "x", 84.0, 16.8, False, True, False)] * 5 + [("b", "y", 200.0, 20.0, False, True, True)] * 5
+    rows += [("c", "z", 84.0, 1.0, True, True, False)] * 9
+    listings = spark.createDataFrame(units, "id long, district string, area double, large boolean, complex string, unit string")
+    trades = spark.createDataFrame(rows, "district string, complex string, area double, amount double, direct boolean, new_build boolean, large boolean")
+    got = {r.id: (r.basis, r.n, r.base and round(r.base, 6)) for r in market.listing_ladder(listings, trades).collect()}
+    assert got == {
+        1: ("same_complex", 3, 8.4), 2: ("district_newbuild", 5, 16.8), 3: ("district_area_ppa", 5, 18.4), 4: ("same_complex_ppa", 3, 15.0),
+        5: (None, None, None), 6: ("district_large_ppa", 5, 12.0), 7: (None, None, None), 8: (None, None, None),
+    }
