@@ -186,12 +186,15 @@ def nearest_area_per_group(listings: DataFrame, others: DataFrame, band: float,
 
     listings: listing, district, area, group. others: other, district, area, group, at.
     """
-    o = others.select(F.col("other"), F.col("district").alias("d"), F.col("area").alias("a"), F.col("group").alias("g"), "at")
-    found = listings.join(o, (F.col("district") == F.col("d")) & (F.col("group") != F.col("g")) & in_band(F.col("a"), F.col("area"), band))
-    found = found.withColumn("difference", F.abs(F.col("a") - F.col("area")))
-    best = found.groupBy("listing", "g").agg(F.min_by(F.struct("other", "difference", "at"), F.struct("difference", "other")).alias("b"))
-    best = best.select("listing", F.col("g").alias("group"), "b.other", "b.difference", "b.at")
-    return latest(best, ["listing"], [F.col("at").desc(), F.col("group")], groups).drop("rn", "at")
+    # of each group the one listed first for an area, so that the join's output follows the different districts, areas and groups, not the rows
+    o = others.where("area is not null").groupBy(F.col("district").alias("d"), F.col("area").alias("a"), F.col("group").alias("g")).agg(F.min_by(F.struct("other", "at"), "other").alias("o"))
+    near = pairs_of(listings).join(o.where("g is not null"), (F.col("district") == F.col("d")) & in_band(F.col("a"), F.col("area"), band)).withColumn("difference", F.abs(F.col("a") - F.col("area")))
+    best = near.groupBy("district", "area", "g").agg(F.min_by(F.struct("o.other", "difference", "o.at"), F.struct("difference", "o.other")).alias("b"))
+    best = best.select("district", "area", "g", "b.other", "b.difference", "b.at")
+    # one more than needed, since a listing's own group may be among them
+    best = latest(best, ["district", "area"], [F.col("at").desc(), F.col("g")], groups + 1).drop("rn")
+    mine = listings.select("listing", "district", "area", "group").join(best, ["district", "area"]).where(F.col("group") != F.col("g"))
+    return latest(mine.select("listing", F.col("g").alias("group"), "other", "difference", "at"), ["listing"], [F.col("at").desc(), F.col("group")], groups).drop("rn", "at")
 
 
 def diagnosis(listings: DataFrame, trades: DataFrame) -> DataFrame:

@@ -168,6 +168,19 @@ def nearest_area_per_group(spark, sf_dir):
     return market.nearest_area_per_group(mine, others, 15, 3)
 
 
+@query("""WITH a AS (SELECT p_partkey AS listing, p_brand AS district, CAST(p_size AS DOUBLE) AS area, p_type AS grp FROM part),
+b AS (SELECT p_partkey AS other, p_brand AS district, CAST(p_size AS DOUBLE) AS area, p_type AS grp, p_retailprice AS latest FROM part),
+j AS (SELECT listing, b.grp, other, abs(b.area - a.area) AS difference, latest, row_number() OVER (PARTITION BY listing, b.grp ORDER BY abs(b.area - a.area), other) AS i
+  FROM a JOIN b ON a.district = b.district AND a.grp <> b.grp AND abs(b.area - a.area) <= 15),
+k AS (SELECT *, row_number() OVER (PARTITION BY listing ORDER BY latest DESC, grp) AS rn FROM j WHERE i = 1) SELECT listing, grp AS "group", other, difference FROM k WHERE rn <= 3""")
+def nearest_area_of_all(spark, sf_dir):
+    """Every part as a listing."""
+    part = table(spark, sf_dir, "part").withColumn("area", F.col("p_size").cast("double"))
+    mine = part.select(F.col("p_partkey").alias("listing"), F.col("p_brand").alias("district"), "area", F.col("p_type").alias("group"))
+    others = part.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("district"), "area", F.col("p_type").alias("group"), F.col("p_retailprice").alias("at"))
+    return market.nearest_area_per_group(mine, others, 15, 3)
+
+
 @query("""WITH c AS (SELECT o_orderkey AS listing, l_linenumber, l_partkey % 3 = 0 AS same_dong, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE l_partkey * 13 % 2600 END AS metres,
   o_orderkey % 97 = 0 AND l_linenumber = 1 AS pending, l_returnflag = 'R' AS direct, l_extendedprice AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 s AS (SELECT listing, bool_or(pending) AS pending, count(*) FILTER (NOT direct AND same_dong AND coalesce(metres, 0) <= 2000) AS n0, count(*) FILTER (NOT direct AND metres <= 1000) AS n1,

@@ -146,3 +146,18 @@ def test_all_tiers_of_the_ladder(spark):
         1: ("same_complex", 3, 8.4), 2: ("district_newbuild", 5, 16.8), 3: ("district_area_ppa", 5, 18.4), 4: ("same_complex_ppa", 3, 15.0),
         5: (None, None, None), 6: ("district_large_ppa", 5, 12.0), 7: (None, None, None), 8: (None, None, None),
     }
+
+
+def test_nearest_area_of_other_groups(spark):
+    rows = [(i, f"d{i % 3}", float(i * 7 % 40), f"g{i * 5 % 6}", i * 11 % 17) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, district string, area double, group string, at long")
+    got = {}
+    for r in market.nearest_area_per_group(df.withColumnRenamed("id", "listing"), df.withColumnRenamed("id", "other"), 6, 2).collect():
+        got.setdefault(r.listing, []).append((r.group, r.other, r.difference))
+    for i, d, a, g, _ in rows:
+        best = {}
+        for o, od, oa, og, at in rows:
+            if od == d and og != g and abs(oa - a) <= 6:
+                best[og] = min(best.get(og, (99.0, 0, 0)), (abs(oa - a), o, at))
+        want = sorted(best.items(), key=lambda x: (-x[1][2], x[0]))[:2]
+        assert sorted(got.get(i, [])) == sorted((k, o, x) for k, (x, o, _) in want), i
