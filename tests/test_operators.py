@@ -161,3 +161,10 @@ def test_nearest_area_of_other_groups(spark):
                 best[og] = min(best.get(og, (99.0, 0, 0)), (abs(oa - a), o, at))
         want = sorted(best.items(), key=lambda x: (-x[1][2], x[0]))[:2]
         assert sorted(got.get(i, [])) == sorted((k, o, x) for k, (x, o, _) in want), i
+
+
+def test_events_without_a_region_reach_subscribers_of_everything(spark):
+    subs = spark.createDataFrame([(1, []), (2, None), (3, ["x"]), (4, ["x", None])], "sub_id long, regions array<string>").selectExpr("*", "false good_only", "true reminders")
+    events = spark.createDataFrame([(10, None), (11, "x"), (12, "y")], "event_id long, region string").selectExpr("*", "true good", "'new' kind", "'line' line")
+    got = sorted((r.sub_id, r.event_id) for r in sets.subscriber_matches(subs, events).collect())
+    assert got == [(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12), (3, 11), (4, 11)]
