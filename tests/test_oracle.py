@@ -45,3 +45,12 @@ def test_query_equals_its_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_other_queries_run(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_many_stations_give_the_same(spark, monkeypatch):
+    want = sorted(catalog.queries()["nearest_station"](spark, SF).collect())
+    monkeypatch.setattr(catalog, "STATIONS", 1)
+    df = catalog.queries()["nearest_station"](spark, SF)
+    assert sorted(df.collect()) == want
+    plan = df._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan or "NestedLoopJoin" in plan
