@@ -89,7 +89,7 @@ def test_redaction_against_another_engine(spark):
     for r in df.select("i", text.redact(F.col("t")).alias("r")).collect():
         out, kinds = texts[r.i] or "", []
         for kind, pattern in text.REDACTIONS:
-            out, n = re.subn(pattern, f"[{kind} hidden]", out, flags=re.ASCII)
+            out, n = re.subn(pattern, f"[{kind} 가림]", out, flags=re.ASCII)
             kinds += [kind] if n and kind not in kinds else []
         assert (r.r.text, r.r.kinds) == (out, kinds)
 
