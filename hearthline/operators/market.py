@@ -21,10 +21,11 @@ COMPLEX_CAP = 5
 RECENT = 8
 
 
-def base_and_low(value: Column, n: Column) -> tuple[Column, Column]:
-    """Median, and the lower quartile (or a discounted median where there are too few values). Aggregates."""
-    base = F.median(value)
-    return base, F.when(n >= LEAST_FOR_QUARTILE, F.percentile(value, 0.25)).otherwise(base * LOW_DISCOUNT)
+def base_and_low(value: Column, n: Column, times: Column | None = None) -> tuple[Column, Column]:
+    """Median, and the lower quartile (or a discounted median where there are too few values). Aggregates; times: how often a row counts. One buffer for both."""
+    quantiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5)), F.lit(1) if times is None else times)
+    base = quantiles[1]
+    return base, F.when(n >= LEAST_FOR_QUARTILE, quantiles[0]).otherwise(base * LOW_DISCOUNT)
 
 
 def in_band(a: Column, b: Column, band: float) -> Column:
@@ -35,27 +36,45 @@ def pairs_of(listings: DataFrame) -> DataFrame:
     return listings.where("district is not null and area is not null").select("district", "area").distinct()
 
 
+def live(trades: DataFrame) -> DataFrame:
+    """Trades that count: no direct deals, and with an amount."""
+    return trades.where("not direct and amount is not null and amount <> 0")
+
+
 def band_join(listings: DataFrame, trades: DataFrame, band: float = AREA_BAND) -> DataFrame:
-    """Trades of each different (district, area) of listings: district, area, and the trade's columns but its district, area as trade_area."""
-    t = trades.withColumnRenamed("area", "trade_area").withColumnRenamed("district", "trade_district")
-    p = pairs_of(listings)
-    return p.join(t, (F.col("district") == F.col("trade_district")) & in_band(F.col("trade_area"), F.col("area"), band)).drop("trade_district")
+    """Trades of each different (district, area) of listings: district, area, and the trade's columns but its district, area as trade_area.
+
+    Joined on the district and on buckets of areas as wide as the band, a pair with its bucket and both beside it, so that a trade meets only pairs near it.
+    """
+    bucket = lambda c: F.floor(c / band).cast("long")
+    t = trades.withColumnRenamed("area", "trade_area").withColumnRenamed("district", "trade_district").withColumn("trade_bucket", bucket(F.col("trade_area")))
+    p = pairs_of(listings).withColumn("bucket", F.explode(F.sequence(bucket(F.col("area")) - 1, bucket(F.col("area")) + 1)))
+    on = (F.col("district") == F.col("trade_district")) & (F.col("bucket") == F.col("trade_bucket")) & in_band(F.col("trade_area"), F.col("area"), band)
+    return p.join(t, on).drop("trade_district", "bucket", "trade_bucket")
+
+
+def counted(trades: DataFrame, *more: str) -> DataFrame:
+    """Trades of one district, area and amount (and more columns) as one row with their number m, so that what is copied into bands and held for quantiles is small."""
+    return trades.groupBy("district", "area", "amount", *more).agg(F.count(F.lit(1)).alias("m"))
+
+
+def band_groups(listings: DataFrame, trades: DataFrame, band: float = AREA_BAND) -> DataFrame:
+    """district, area, n, base, low of the trades' amounts in the band."""
+    n = F.sum("m")
+    base, low = base_and_low(F.col("amount"), n, F.col("m"))
+    return band_join(listings, counted(trades), band).groupBy("district", "area").agg(n.alias("n"), base.alias("base"), low.alias("low"))
 
 
 def band_summary(listings: DataFrame, trades: DataFrame, band: float = AREA_BAND) -> DataFrame:
     """district, area, n, base, low. Direct deals don't count."""
-    rows = band_join(listings, trades.where("not direct and amount is not null and amount <> 0"), band)
-    n = F.count(F.lit(1))
-    base, low = base_and_low(F.col("amount"), n)
-    return rows.groupBy("district", "area").agg(n.alias("n"), base.alias("base"), low.alias("low"))
+    return band_groups(listings, live(trades), band)
 
 
 def price_per_area(listings: DataFrame, trades: DataFrame, band: float = WIDE_BAND, least: int = 5) -> DataFrame:
     """district, area, n, base, low: from prices per area in a wider band, times the area; only with at least so many trades."""
-    rows = band_join(listings, trades.where("not direct and amount is not null and amount <> 0 and area > 0"), band)
-    n = F.count(F.lit(1))
-    base, low = base_and_low(F.col("amount") / F.col("trade_area"), n)
-    out = rows.groupBy("district", "area").agg(n.alias("n"), base.alias("b"), low.alias("l")).where(F.col("n") >= least)
+    n = F.sum("m")
+    base, low = base_and_low(F.col("amount") / F.col("trade_area"), n, F.col("m"))
+    out = band_join(listings, counted(live(trades).where("area > 0")), band).groupBy("district", "area").agg(n.alias("n"), base.alias("b"), low.alias("l")).where(F.col("n") >= least)
     return out.select("district", "area", "n", (F.col("b") * F.col("area")).alias("base"), (F.col("l") * F.col("area")).alias("low"))
 
 
@@ -105,29 +124,35 @@ def capped_complexes(rows: DataFrame, group: list[str], cap: int = COMPLEX_CAP)
     return rows.groupBy(*group, "complex").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
 
 
-def _district_tiers(listings: DataFrame, trades: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """district, area, basis, n, base, low of same area, new builds (3); wide band by price per area, new builds (5); large units by price per area (5)."""
-    live = trades.where("not direct and amount is not null and amount <> 0 and area > 0")
-    new = live.where("new_build")
-    narrow = band_summary(listings, new).where("n >= 3").select("district", "area", F.lit("district_newbuild").alias("basis"), "n", "base", "low")
-    wide = price_per_area(listings, new).select("district", "area", F.lit("district_area_ppa").alias("basis"), "n", "base", "low")
-    n = F.count(F.lit(1))
-    base, low = base_and_low(F.col("amount") / F.col("area"), n)
-    large = new.where("large").groupBy("district").agg(n.alias("n"), base.alias("b"), low.alias("l")).where("n >= 5")
-    big = listings.where("large").select("district", "area").distinct().join(large, "district").select(
-        "district", "area", F.lit("district_large_ppa").alias("basis"), "n", (F.col("b") * F.col("area")).alias("base"), (F.col("l") * F.col("area")).alias("low")
+def _district_tiers(listings: DataFrame, trades: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of new builds. By district and area: t1, same area (3), and t2, the wide band by price per area (5), from one join; by district, for large areas: t4, large units by price per area (5).
+
+    Each is struct(basis, n, base, low), and null without enough trades.
+    """
+    new = counted(live(trades).where("area > 0 and new_build"), "large")
+    tier = lambda name, n, base, low, least: F.when(n >= least, F.struct(F.lit(name).alias("basis"), n.alias("n"), base.alias("base"), low.alias("low")))
+    near = in_band(F.col("trade_area"), F.col("area"), AREA_BAND)
+    n1, n2 = F.sum(F.when(near, F.col("m"))), F.sum("m")
+    base1, low1 = base_and_low(F.when(near, F.col("amount")), n1, F.col("m"))
+    base2, low2 = base_and_low(F.col("amount") / F.col("trade_area"), n2, F.col("m"))
+    sums = band_join(listings, new, WIDE_BAND).groupBy("district", "area").agg(
+        n1.alias("n1"), base1.alias("b1"), low1.alias("l1"), n2.alias("n2"), base2.alias("b2"), low2.alias("l2"),
     )
-    return narrow, wide, big
+    c = F.col
+    small = sums.select(
+        "district", "area", tier("district_newbuild", c("n1"), c("b1"), c("l1"), 3).alias("t1"), tier("district_area_ppa", c("n2"), c("b2") * c("area"), c("l2") * c("area"), 5).alias("t2"),
+    )
+    base, low = base_and_low(c("amount") / c("area"), n2, c("m"))
+    large = new.where("large").groupBy("district").agg(n2.alias("n4"), base.alias("b4"), low.alias("l4"))
+    big = listings.where("large").select("district", "area").distinct().join(large, "district")
+    return small, big.select("district", "area", tier("district_large_ppa", c("n4"), c("b4") * c("area"), c("l4") * c("area"), 5).alias("t4"))
 
 
 def ladder(listings: DataFrame, trades: DataFrame) -> DataFrame:
     """district, area, basis, n, base, low: the first of the district's tiers with enough trades. Listings' own complexes: listing_ladder."""
-    keys, parts = pairs_of(listings), []
-    for i, tier in enumerate(_district_tiers(listings, trades)):
-        part = F.struct(F.lit(i).alias("i"), "basis", "n", "base", "low").alias(f"t{i}")
-        keys = keys.join(tier.select("district", "area", part), ["district", "area"], "left")
-        parts.append(F.col(f"t{i}"))
-    return keys.withColumn("t", F.coalesce(*parts)).select("district", "area", "t.basis", "t.n", "t.base", "t.low")
+    small, big = _district_tiers(listings, trades)
+    found = pairs_of(listings).join(small, ["district", "area"], "left").join(big, ["district", "area"], "left")
+    return found.withColumn("t", F.coalesce("t1", "t2", "t4")).select("district", "area", "t.basis", "t.n", "t.base", "t.low")
 
 
 def listing_ladder(listings: DataFrame, trades: DataFrame) -> DataFrame:
@@ -137,19 +162,18 @@ def listing_ladder(listings: DataFrame, trades: DataFrame) -> DataFrame:
     Tiers: same complex and area (1); the district's first two tiers; same complex by price per area (3); the district's large units. The
     last two are not for penthouses, whose unit ends in P.
     """
-    live, n = trades.where("not direct and amount is not null and amount <> 0"), F.count(F.lit(1))
+    deals, n = live(trades), F.count(F.lit(1))
     value = lambda name: F.struct(F.lit(name).alias("basis"), "n", "base", "low")
-    t = live.select(F.col("district").alias("d"), F.col("complex").alias("c"), F.col("area").alias("trade_area"), "amount")
+    t = deals.select(F.col("district").alias("d"), F.col("complex").alias("c"), F.col("area").alias("trade_area"), "amount")
     units = listings.where("complex is not null").select("district", "complex", "area").distinct()
     base, low = base_and_low(F.col("amount"), n)
     own = units.join(t, (F.col("district") == F.col("d")) & (F.col("complex") == F.col("c")) & in_band(F.col("trade_area"), F.col("area"), AREA_BAND))
     own = own.groupBy("district", "complex", "area").agg(n.alias("n"), base.alias("base"), low.alias("low"))
     own = own.select("district", "complex", "area", value("same_complex").alias("t0"))
     base, low = base_and_low(F.col("amount") / F.col("area"), n)
-    sizes = live.where("area > 0").groupBy("district", "complex").agg(n.alias("m"), base.alias("b"), low.alias("l")).where("m >= 3")
-    narrow, wide, big = (x.select("district", "area", F.struct("basis", "n", "base", "low").alias(f"t{i}")) for i, x in zip((1, 2, 4), _district_tiers(listings, trades), strict=True))
+    sizes = deals.where("area > 0").groupBy("district", "complex").agg(n.alias("m"), base.alias("b"), low.alias("l")).where("m >= 3")
     found = listings.join(own, ["district", "complex", "area"], "left").join(sizes, ["district", "complex"], "left")
-    for tier in (narrow, wide, big):
+    for tier in _district_tiers(listings, trades):
         found = found.join(tier, ["district", "area"], "left")
     other = F.when(F.col("m").isNotNull() & (F.col("area") > 0), F.struct(
         F.lit("same_complex_ppa").alias("basis"), F.col("m").alias("n"), (F.col("b") * F.col("area")).alias("base"), (F.col("l") * F.col("area")).alias("low")))
@@ -197,13 +221,47 @@ def nearest_area_per_group(listings: DataFrame, others: DataFrame, band: float,
     return latest(mine.select("listing", F.col("g").alias("group"), "other", "difference", "at"), ["listing"], [F.col("at").desc(), F.col("group")], groups).drop("rn", "at")
 
 
+MOVE_IN_DISCOUNT = 0.90
+
+
+def jeonse(listings: DataFrame, rents: DataFrame) -> DataFrame:
+    """id, basis, n, jeonse, weak: the median deposit without monthly rent of the listing's complex, else of the district's new builds (three at least), less a discount.
+
+    listings: id, district, complex, area; rents: district, complex (as listings have it), area, deposit, monthly, new_build.
+    """
+    pool = rents.where("deposit is not null and deposit <> 0 and coalesce(monthly, 0) = 0")
+    t = pool.select(F.col("district").alias("d"), F.col("complex").alias("c"), F.col("area").alias("rent_area"), "deposit", "new_build")
+    units = listings.where("complex is not null").select("district", "complex", "area").distinct()
+    own = units.join(t, (F.col("district") == F.col("d")) & (F.col("complex") == F.col("c")) & in_band(F.col("rent_area"), F.col("area"), AREA_BAND))
+    own = own.groupBy("district", "complex", "area").agg(F.struct(F.lit("same_complex").alias("basis"), F.count(F.lit(1)).alias("n"), F.median("deposit").alias("m")).alias("own"))
+    near = band_groups(listings, pool.where("new_build").withColumnRenamed("deposit", "amount"), AREA_BAND)
+    near = near.where("n >= 3").select("district", "area", F.struct(F.lit("district_newbuild").alias("basis"), "n", F.col("base").alias("m")).alias("near"))
+    found = listings.select("id", "district", "complex", "area").join(own, ["district", "complex", "area"], "left").join(near, ["district", "area"], "left").withColumn("t", F.coalesce("own", "near"))
+    return found.select("id", "t.basis", "t.n", (F.col("t.m") * MOVE_IN_DISCOUNT).alias("jeonse"), F.coalesce(F.col("t.n") < 5, F.lit(True)).alias("weak"))
+
+
 def diagnosis(listings: DataFrame, trades: DataFrame) -> DataFrame:
     """district, area, in_band, new_in_band, direct, latest: why a pair has few comparables."""
-    rows = band_join(listings, trades)
-    return rows.groupBy("district", "area").agg(
-        F.count_if(~F.col("direct")).alias("in_band"), F.count_if(~F.col("direct") & F.col("new_build")).alias("new_in_band"),
-        F.count_if("direct").alias("direct"), F.max("date").alias("latest"),
+    few = trades.groupBy("district", "area", "direct", "new_build").agg(F.count(F.lit(1)).alias("m"), F.max("date").alias("date"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
+    return band_join(listings, few).groupBy("district", "area").agg(
+        total(~F.col("direct")).alias("in_band"), total(~F.col("direct") & F.col("new_build")).alias("new_in_band"), total(F.col("direct")).alias("direct"), F.max("date").alias("latest"),
+    )
+
+
+def shortage(listings: DataFrame, trades: DataFrame) -> DataFrame:
+    """district, area, trades, new, band, band_new, wide, wide_new, largest_new, reason: why a pair has no estimate. Direct deals don't count; one join for both bands."""
+    few = live(trades).groupBy("district", "area", "new_build").agg(F.count(F.lit(1)).alias("m"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
+    whole = few.groupBy("district").agg(F.sum("m").alias("trades"), total(F.col("new_build")).alias("new"), F.max(F.when(F.col("new_build"), F.col("area"))).alias("largest_new"))
+    near = in_band(F.col("trade_area"), F.col("area"), AREA_BAND)
+    bands = band_join(listings, few, WIDE_BAND).groupBy("district", "area").agg(
+        total(near).alias("band"), total(near & F.col("new_build")).alias("band_new"), F.sum("m").alias("wide"), total(F.col("new_build")).alias("wide_new"),
     )
+    found = pairs_of(listings).join(whole, "district", "left").join(bands, ["district", "area"], "left").na.fill(0, ["trades", "new", "band", "band_new", "wide", "wide_new"])
+    return found.withColumn("reason", F.when(F.col("trades") < 10, "few trades").when(F.col("new") < 5, "few new builds")
+                            .when((F.col("wide_new") < 5) & (F.col("area") > F.col("largest_new") + WIDE_BAND), "no new build as large").when((F.col("band") >= 3) & (F.col("band_new") < 3), "only old builds of the area")
+                            .otherwise("under the least number"))
 
 
 def metres(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -215,7 +273,7 @@ def metres(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
 
 def same_complex(apt: Column, name: Column, umd: Column, dong: Column) -> Column:
     """Names that contain one another once spaces and marks are gone; dongs equal where both are known. Blank names never match."""
-    plain = lambda c: F.regexp_replace(c, r"(?U)[\s()\[\]·.,-]|아파트", "")
+    plain = lambda c: F.regexp_replace(c, r"(?U)[\s()·\-]|아파트", "")
     a, b = plain(apt), plain(name)
     known = F.coalesce(umd, F.lit("")) != F.lit("")
     same_dong = ~known | (F.coalesce(dong, F.lit("")) == "") | (F.split(umd, " ")[0] == dong)

@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions import text as text_functions
 from hearthline.operators import market, rules, search, sets, state
 from hearthline.plans import standin
+from hearthline.plans.registry import Query, cases, facts, found_queries, found_sql, query
 from hearthline.plans.standin import LISTINGS_SQL, TODAY, TRADES_SQL, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with the SQL of its oracle."""
-
-    def register(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return register
-
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(found_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(found_sql)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -98,28 +81,30 @@ _PPA = """SELECT p.district, p.area, count(*) AS n, median(amount / t.area) * ma
   FROM pairs p JOIN trades t ON t.district = p.district AND abs(t.area - p.area) <= 10 WHERE NOT direct{} GROUP BY p.district, p.area HAVING count(*) >= 5"""
 
 
-#: Quotients by areas end in a 5 at the ninth place often enough; moved by this much, they don't lie between two rounded values.
-_OFF_TIES = 1.234567e-9
+def seven_digits(df: DataFrame, *columns: str) -> DataFrame:
+    """For comparison of quotients, which decimal places would round apart where two engines' last bits differ: what single precision keeps of them."""
+    return df.withColumns({c: F.col(c).cast("float").cast("double") for c in columns})
+
+
+_SEVEN = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
 
 
-@query(f"WITH {_BAND}, s AS ({_PPA.format('')}) SELECT district, area, n, round(base + {_OFF_TIES}, 8) AS base, round(low + {_OFF_TIES}, 8) AS low FROM s")
+@query(f"WITH {_BAND}, s AS ({_PPA.format('')}) SELECT district, area, n, {_SEVEN.format('base')} AS base, {_SEVEN.format('low')} AS low FROM s")
 def price_per_area(spark, sf_dir):
     found = market.price_per_area(standin.listings(spark, sf_dir), standin.trades(spark, sf_dir))
-    return rounded(found.withColumns({c: F.col(c) + _OFF_TIES for c in ("base", "low")}), "base", "low")
+    return seven_digits(found, "base", "low")
 
 
-@query(f"""WITH {_BAND}, n AS (SELECT district, area, count(*) AS n, median(amount) AS base, {_LOW} AS low FROM band WHERE NOT direct AND new_build AND complex % 7 = 0 GROUP BY ALL HAVING count(*) >= 3),
-w AS ({_PPA.format(' AND new_build AND complex % 7 = 0')}),
+@query(f"""WITH {_BAND}, n AS (SELECT district, area, count(*) AS n, median(amount) AS base, {_LOW} AS low FROM band WHERE NOT direct AND new_build GROUP BY ALL HAVING count(*) >= 3),
+w AS ({_PPA.format(' AND new_build')}),
 g AS (SELECT district, count(*) AS n, median(amount / area) AS base, CASE WHEN count(*) >= 4 THEN quantile_cont(amount / area, 0.25) ELSE median(amount / area) * 0.9 END AS low
-  FROM trades WHERE NOT direct AND new_build AND complex % 7 = 0 AND large GROUP BY ALL HAVING count(*) >= 5),
+  FROM trades WHERE NOT direct AND new_build AND large GROUP BY ALL HAVING count(*) >= 5),
 b AS (SELECT DISTINCT l.district, l.area, g.n, g.base * l.area AS base, g.low * l.area AS low FROM listings l JOIN g USING (district) WHERE l.large)
 SELECT p.district, p.area, CASE WHEN n.n IS NOT NULL THEN 'district_newbuild' WHEN w.n IS NOT NULL THEN 'district_area_ppa' WHEN b.n IS NOT NULL THEN 'district_large_ppa' END AS basis,
-  coalesce(n.n, w.n, b.n) AS n, round(coalesce(n.base, w.base, b.base), 8) AS base, round(coalesce(n.low, w.low, b.low), 8) AS low
+  coalesce(n.n, w.n, b.n) AS n, {_SEVEN.format('coalesce(n.base, w.base, b.base)')} AS base, {_SEVEN.format('coalesce(n.low, w.low, b.low)')} AS low
 FROM pairs p LEFT JOIN n USING (district, area) LEFT JOIN w USING (district, area) LEFT JOIN b USING (district, area)""")
 def ladder_valuation(spark, sf_dir):
-    """Only every seventh complex has trades here, so that the lower tiers are reached; that is the query's market, not a sample of rows."""
-    trades = standin.trades(spark, sf_dir).where("complex % 7 = 0")
-    return rounded(market.ladder(standin.listings(spark, sf_dir), trades), "base", "low")
+    return seven_digits(market.ladder(standin.listings(spark, sf_dir), standin.trades(spark, sf_dir)), "base", "low")
 
 
 @query(f"""WITH {LISTINGS_SQL}, {TRADES_SQL}, u AS (SELECT p_partkey AS id, p_partkey % 400 + 1 AS complex, p_type LIKE '%COPPER' AS penthouse, p_brand AS district, CAST(p_size AS DOUBLE) AS area, p_size >= 45 AS large FROM part),
@@ -134,13 +119,13 @@ c AS (SELECT u.id, CASE WHEN o.n IS NOT NULL THEN 'same_complex' WHEN a.n IS NOT
   o.n AS n0, a.n AS n1, w.n AS n2, s.n AS n3, g.n AS n4, o.base AS b0, a.base AS b1, w.base AS b2, s.base * u.area AS b3, g.base * u.area AS b4, o.low AS l0, a.low AS l1, w.low AS l2, s.low * u.area AS l3, g.low * u.area AS l4
   FROM u LEFT JOIN o USING (district, complex, area) LEFT JOIN a USING (district, area) LEFT JOIN w USING (district, area) LEFT JOIN s USING (district, complex) LEFT JOIN g USING (district))
 SELECT id, basis, CASE basis WHEN 'same_complex' THEN n0 WHEN 'district_newbuild' THEN n1 WHEN 'district_area_ppa' THEN n2 WHEN 'same_complex_ppa' THEN n3 WHEN 'district_large_ppa' THEN n4 END AS n,
-  round(CASE basis WHEN 'same_complex' THEN b0 WHEN 'district_newbuild' THEN b1 WHEN 'district_area_ppa' THEN b2 WHEN 'same_complex_ppa' THEN b3 WHEN 'district_large_ppa' THEN b4 END + {_OFF_TIES}, 8) AS base,
-  round(CASE basis WHEN 'same_complex' THEN l0 WHEN 'district_newbuild' THEN l1 WHEN 'district_area_ppa' THEN l2 WHEN 'same_complex_ppa' THEN l3 WHEN 'district_large_ppa' THEN l4 END + {_OFF_TIES}, 8) AS low FROM c""")
+  {_SEVEN.format("CASE basis WHEN 'same_complex' THEN b0 WHEN 'district_newbuild' THEN b1 WHEN 'district_area_ppa' THEN b2 WHEN 'same_complex_ppa' THEN b3 WHEN 'district_large_ppa' THEN b4 END")} AS base,
+  {_SEVEN.format("CASE basis WHEN 'same_complex' THEN l0 WHEN 'district_newbuild' THEN l1 WHEN 'district_area_ppa' THEN l2 WHEN 'same_complex_ppa' THEN l3 WHEN 'district_large_ppa' THEN l4 END")} AS low FROM c""")
 def ladder_all_tiers(spark, sf_dir):
     """Every listing over all trades, by all five tiers."""
     units = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 400 + 1).alias("complex"), F.when(F.col("p_type").endswith("COPPER"), "84P").otherwise("84A").alias("unit"))
     found = market.listing_ladder(standin.listings(spark, sf_dir).join(units, "id"), standin.trades(spark, sf_dir))
-    return rounded(found.withColumns({c: F.col(c) + _OFF_TIES for c in ("base", "low")}), "base", "low")
+    return seven_digits(found, "base", "low")
 
 
 @query(f"""WITH {LISTINGS_SQL}, {TRADES_SQL}, r AS (SELECT district, l_orderkey, l_linenumber, date, round(amount, 8) AS amount,
@@ -150,20 +135,29 @@ def latest_n_comps(spark, sf_dir):
     return market.latest(rows, ["district"], [F.col("date").desc(), F.col("l_orderkey"), F.col("l_linenumber")]).withColumn("rn", F.col("rn").cast("long"))
 
 
+@query(f"""WITH {LISTINGS_SQL}, {TRADES_SQL}, p AS (SELECT DISTINCT district, area FROM listings), t AS (SELECT * FROM trades WHERE NOT direct AND amount <> 0), w AS (SELECT district, count(*) AS trades, count(*) FILTER (new_build) AS new, max(area) FILTER (new_build) AS largest_new FROM t GROUP BY 1),
+b AS (SELECT p.district, p.area, count(*) FILTER (abs(t.area - p.area) <= 3) AS band, count(*) FILTER (abs(t.area - p.area) <= 3 AND new_build) AS band_new, count(*) AS wide, count(*) FILTER (new_build) AS wide_new FROM p JOIN t ON t.district = p.district AND abs(t.area - p.area) <= 10 GROUP BY ALL)
+SELECT p.district, p.area, coalesce(trades, 0) AS trades, coalesce(new, 0) AS new, coalesce(band, 0) AS band, coalesce(band_new, 0) AS band_new, coalesce(wide, 0) AS wide, coalesce(wide_new, 0) AS wide_new, largest_new,
+  CASE WHEN coalesce(trades, 0) < 10 THEN 'few trades' WHEN coalesce(new, 0) < 5 THEN 'few new builds' WHEN coalesce(wide_new, 0) < 5 AND p.area > largest_new + 10 THEN 'no new build as large' WHEN coalesce(band, 0) >= 3 AND coalesce(band_new, 0) < 3 THEN 'only old builds of the area'
+  ELSE 'under the least number' END AS reason FROM p LEFT JOIN w USING (district) LEFT JOIN b USING (district, area)""")
+def market_shortage(spark, sf_dir):
+    return market.shortage(standin.listings(spark, sf_dir), standin.trades(spark, sf_dir))
+
+
 @query(f"""WITH {_BAND} SELECT district, area, count(*) FILTER (NOT direct) AS in_band, count(*) FILTER (NOT direct AND new_build) AS new_in_band,
   count(*) FILTER (direct) AS direct, max(date) AS latest FROM band GROUP BY ALL""")
 def market_diagnosis(spark, sf_dir):
     return market.diagnosis(standin.listings(spark, sf_dir), standin.trades(spark, sf_dir))
 
 
-@query("""WITH a AS (SELECT p_partkey AS listing, p_brand AS district, CAST(p_size AS DOUBLE) AS area, p_type AS grp FROM part WHERE p_type LIKE 'PROMO%' OR p_partkey <= 40),
+@query("""WITH a AS (SELECT p_partkey AS listing, p_brand AS district, CAST(p_size AS DOUBLE) AS area, p_type AS grp FROM part),
 b AS (SELECT p_partkey AS other, p_brand AS district, CAST(p_size AS DOUBLE) AS area, p_type AS grp, p_retailprice AS latest FROM part),
 j AS (SELECT listing, b.grp, other, abs(b.area - a.area) AS difference, latest, row_number() OVER (PARTITION BY listing, b.grp ORDER BY abs(b.area - a.area), other) AS i
   FROM a JOIN b ON a.district = b.district AND a.grp <> b.grp AND abs(b.area - a.area) <= 15),
 k AS (SELECT *, row_number() OVER (PARTITION BY listing ORDER BY latest DESC, grp) AS rn FROM j WHERE i = 1) SELECT listing, grp AS "group", other, difference FROM k WHERE rn <= 3""")
 def nearest_area_per_group(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("area", F.col("p_size").cast("double"))
-    mine = part.where("p_type like 'PROMO%' or p_partkey <= 40").select(F.col("p_partkey").alias("listing"), F.col("p_brand").alias("district"), "area", F.col("p_type").alias("group"))
+    mine = part.select(F.col("p_partkey").alias("listing"), F.col("p_brand").alias("district"), "area", F.col("p_type").alias("group"))
     others = part.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("district"), "area", F.col("p_type").alias("group"), F.col("p_retailprice").alias("at"))
     return market.nearest_area_per_group(mine, others, 15, 3)
 
@@ -382,12 +376,12 @@ def retention_window(spark, sf_dir):
     return state.retained(rows, "closes", "noticed", F.date_sub(F.lit(TODAY).cast("date"), 365)).select("o_orderkey")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, o_totalprice AS v, o_orderkey % 2 = 0 AS locked FROM orders WHERE o_orderkey % 3 <> 0), f AS (SELECT o_orderkey AS id, o_totalprice + 1 AS v, false AS locked FROM orders WHERE o_orderkey % 5 <> 0)
+@query("""WITH a AS (SELECT o_orderkey AS id, o_totalprice AS v, o_orderkey % 2 = 0 AS locked FROM orders WHERE o_orderstatus <> 'F'), f AS (SELECT o_orderkey AS id, o_totalprice + 1 AS v, false AS locked FROM orders WHERE o_orderpriority NOT LIKE '5%')
 SELECT coalesce(a.id, f.id) AS id, CASE WHEN a.locked OR f.id IS NULL THEN a.v ELSE f.v END AS v, CASE WHEN a.locked OR f.id IS NULL THEN a.locked ELSE f.locked END AS locked FROM a FULL JOIN f ON a.id = f.id""")
 def archive_merge(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    archive = orders.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey id", "o_totalprice v", "o_orderkey % 2 = 0 locked")
-    return state.merge_archive(archive, orders.where("o_orderkey % 5 <> 0").selectExpr("o_orderkey id", "o_totalprice + 1 v", "false locked"), "id")
+    archive = orders.where("o_orderstatus <> 'F'").selectExpr("o_orderkey id", "o_totalprice v", "o_orderkey % 2 = 0 locked")
+    return state.merge_archive(archive, orders.where("o_orderpriority not like '5%'").selectExpr("o_orderkey id", "o_totalprice + 1 v", "false locked"), "id")
 
 
 # --- sets and verification -----------------------------------------------------------------------------------------------------
@@ -403,11 +397,11 @@ def superseded(spark, sf_dir):
     return sets.drop_superseded(table(spark, sf_dir, "orders"), F.col("o_custkey"), F.col("o_orderpriority").startswith("1")).select("o_orderkey")
 
 
-@query("""WITH u AS (SELECT c_custkey AS id, c_name AS name, 0 AS source FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier UNION ALL SELECT c_custkey, c_mktsegment, 2 FROM customer)
+@query("""WITH u AS (SELECT c_custkey AS id, c_name AS name, 0 AS source FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier UNION ALL SELECT c_custkey, c_mktsegment, 2 FROM customer)
 SELECT id, min_by(name, source) AS name, min(source) AS source FROM u GROUP BY id""")
 def source_precedence_union(spark, sf_dir):
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    sources = [customer.where("c_custkey % 3 = 0").selectExpr("c_custkey id", "c_name name"), supplier.selectExpr("s_suppkey id", "s_name name"), customer.selectExpr("c_custkey id", "c_mktsegment name")]
+    sources = [customer.where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey id", "c_name name"), supplier.selectExpr("s_suppkey id", "s_name name"), customer.selectExpr("c_custkey id", "c_mktsegment name")]
     return sets.by_precedence(sources, "id").select("id", "name", "source")
 
 
@@ -548,9 +542,25 @@ def content_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text_functions.content_id(F.coalesce("text", F.lit(""))).alias("id"))
 
 
+QUESTIONS = [
+    ("지금 사도 돼?", "out_of_scope"), ("필요한 서류가 뭐야?", "docs"), ("접수 일정 알려줘", "schedule"), ("언제 신청 가능해?", "judge"), ("가점은 어떻게 계산해?", "rule"), ("왜 내가 가능?", "judge"), ("나 신청돼?", "judge"), (None, "judge"),
+]
+_KEY = "conv_id * 7 + turn"
+
+
+@query(f"SELECT conv_id, turn, {cases(f'({_KEY})', [q[1] for q in QUESTIONS])} AS intent FROM conversations")
+def question_kinds(spark, sf_dir):
+    asked = facts(spark, sf_dir, f"SELECT conv_id, turn, {cases(f'({_KEY})', [q[0] for q in QUESTIONS])} AS text FROM conversations", "conversations")
+    return asked.select("conv_id", "turn", text_functions.intent(F.coalesce("text", F.lit("")), list(text_functions.INTENTS), "judge").alias("intent"))
+
+
 INTENTS = [("contact", r"@|mail", None), ("licence", r"[Ll]icense", "GNU"), ("question", r"\?", None)]
 
 
 @query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '@|mail') THEN 'contact' WHEN regexp_matches(text, '[Ll]icense') AND NOT regexp_matches(text, 'GNU') THEN 'licence' WHEN regexp_matches(text, '\\?') THEN 'question' ELSE 'other' END AS intent FROM conversations""")
 def intent_classes(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text_functions.intent(F.col("text"), INTENTS, "other").alias("intent"))
+
+
+# modules that register more
+from hearthline.plans import extracts, notices, snapshots  # noqa: E402, F401
