@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,17 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+# re takes numerals such as ² and Ⅷ for word characters; a class without them is slow, so that it is used only where there are some
+_numerals = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_runs, _runs_exactly = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_numerals}]+")
+
+
+def letter_runs(text: str) -> tuple[re.Pattern, list[str]]:
+    """The runs of letters in a text, and a pattern that finds them in it."""
+    found = _runs.findall(text)
+    return (_runs, found) if not found or "".join(found).isalpha() else (_runs_exactly, _runs_exactly.findall(text))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables under spark.checkpoint.dir.
 
@@ -27,14 +39,52 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query's shuffle files go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, on storage that outlives executors."""
+    """Write df to the shared folder and read it back: lineage ends here, on storage that outlives executors, and the write's shuffle files go."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """An operator's intermediate tables. They are removed at its end, except those that its result reads (kept)."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.tables = spark, name, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        out = persisted(df, f"{self.name}-{name}")
+        self.tables.append(out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self.tables = [x for x in self.tables if x is not t]
+            for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+                remove(self.spark, folder)
+
+    def __exit__(self, *error) -> None:
+        self.drop(*self.tables)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,29 +119,28 @@ def crc_fold(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) with component the smallest node of each connected component.
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) with component the smallest node of each connected component, in one of scratch's tables.
 
     edges has two columns of one orderable type. Alternating large-star and small-star steps (Kiveris et
     al. 2014): every step keeps the number of edges, groups with map-side combining, and writes its edges
-    to the shared folder. Nothing is collected but a count and a checksum. Rows with a null end, and
-    nodes that only link to themselves, are left out.
+    to the shared folder; the edges before go. Nothing is collected but a count and a checksum. Rows with a null
+    end, and nodes that only link to themselves, are left out.
     """
     a, b = edges.columns
-    current = persisted(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), name
-    )
+    current = scratch.table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         # large star: every larger neighbour of u goes to the smallest node around u
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the adaptive planner can split a node that a third of all rows link to
-        low = persisted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = (
             current.select(F.col("v").alias("u"), F.col("u").alias("x")).join(low, "u")
             .select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        large = persisted(large, name)
+        large = scratch.table(large, "large")
+        scratch.drop(current, low)
         # small star: the smaller neighbours of u, and u itself, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -99,7 +148,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        current = persisted(small, name)
+        current = scratch.table(small, "small")
+        scratch.drop(large)
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1_000_003))).first()
         if state == seen:
             break

@@ -8,15 +8,19 @@ are compared with the text at the kept row's locator, and rows that differ form
 
 Defined cases: null text counts as empty, and all empty texts are one group. Of equal texts the row with
 the largest doc_id stays; null is the least, and repeated rows with one doc_id are told apart by file and row.
-An empty table gives an empty result. Other columns don't matter.
+Very long texts are compared whole. An empty table gives an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import persisted, reduce_by_keys, scratch, text_of
+from hearthline.llm.common import Scratch, drop_by_keys, persisted, reduce_by_keys, remove, text_of
+from hearthline.llm.common import scratch as scratch_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -66,51 +70,80 @@ def update_state(spark: SparkSession, path: str, state: str, digest=sha256, max_
     return spark.read.parquet(log).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
 
 
-def exact_dedup(spark: SparkSession, path: str, state: str | None = None, digest=sha256, max_files: int = 10_000) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, state: str | None = None, digest=sha256, max_files: int = 10_000, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, locator) for each row of the Parquet table at path.
 
     Shuffled are digests and locators of all rows, and the texts of rows with a hit only (a semi-join
     reducer of fixed size goes first). Both joins' inputs are plain exchanges, so that the adaptive planner
-    splits a digest that a third of all rows share.
+    splits a digest that a third of all rows share. A state folder of its own, where none is given, and the texts of hits are
+    removed before the end; groups are the caller's scratch, if given.
     """
-    groups = persisted(update_state(spark, path, state or scratch(spark, "dedup-state"), digest, max_files), "dedup-groups")
-    rows = _located(spark.read.parquet(path), digest)
-    hits = groups.where("n > 1")
-    # the kept rows of groups with hits, fetched by their locators
-    kept_texts = reduce_by_keys(rows, F.col("locator"), hits.select("keep"))
-    keepers = persisted(
-        kept_texts.join(hits.select(F.col("keep").alias("locator"), F.col("digest").alias("d")), "locator")
-        .select("digest", F.col("text").alias("keep_text")),
-        "dedup-keepers",
-    )
-    clash = persisted(
-        reduce_by_keys(rows, F.col("digest"), hits.select("digest"))
-        .join(keepers, "digest").where("text <> keep_text").select("locator", "digest", "text"),
-        "dedup-clashes",
-    )
-    light = rows.select("doc_id", "digest", "locator", sha256(F.col("text")).alias("text_sha256") if digest is not sha256 else F.col("digest").alias("text_sha256"))
-    if not clash.isEmpty():
-        own = clash.groupBy("digest", "text").agg(F.max("locator").alias("keep"), F.count(F.lit(1)).alias("n"))
-        regrouped = clash.join(own, ["digest", "text"]).select("locator", F.col("keep").alias("own_keep"), F.col("n").alias("own_n"))
-        lost = clash.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
-        groups = groups.join(lost, "digest", "left").select("digest", "keep", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
-        found = light.join(groups, "digest").join(regrouped, "locator", "left").withColumns({
-            "n": F.when(F.col("own_keep").isNotNull(), F.col("own_n")).otherwise(F.col("n")),
-            "keep": F.coalesce("own_keep", "keep"),
-        })
-    else:
-        found = light.join(groups, "digest")
+    with Scratch(spark, "dedup") as own_tables:
+        keep = scratch.table if scratch else lambda df, name: persisted(df, f"dedup-{name}")
+        own_state = state or scratch_folder(spark, "dedup-state")
+        groups = keep(update_state(spark, path, own_state, digest, max_files), "groups")
+        if not state:
+            remove(spark, own_state)
+        rows = _located(spark.read.parquet(path), digest)
+        hits = groups.where("n > 1")
+        # the kept rows of groups with hits, fetched by their locators
+        kept_texts = reduce_by_keys(rows, F.col("locator"), hits.select("keep"))
+        keepers = own_tables.table(
+            kept_texts.join(hits.select(F.col("keep").alias("locator"), F.col("digest").alias("d")), "locator")
+            .select("digest", F.col("text").alias("keep_text")),
+            "keepers",
+        )
+        clash = own_tables.table(
+            reduce_by_keys(rows, F.col("digest"), hits.select("digest"))
+            .join(keepers, "digest").where("text <> keep_text").select("locator", "digest", "text"),
+            "clashes",
+        )
+        light = rows.select("doc_id", "digest", "locator", sha256(F.col("text")).alias("text_sha256") if digest is not sha256 else F.col("digest").alias("text_sha256"))
+        if not clash.isEmpty():
+            own = clash.groupBy("digest", "text").agg(F.max("locator").alias("keep"), F.count(F.lit(1)).alias("n"))
+            regrouped = keep(clash.join(own, ["digest", "text"]).select("locator", F.col("keep").alias("own_keep"), F.col("n").alias("own_n")), "regrouped")
+            lost = clash.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
+            groups = keep(groups.join(lost, "digest", "left").select("digest", "keep", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n")), "groups-left")
+            found = light.join(groups, "digest").join(regrouped, "locator", "left").withColumns({
+                "n": F.when(F.col("own_keep").isNotNull(), F.col("own_n")).otherwise(F.col("n")),
+                "keep": F.coalesce("own_keep", "keep"),
+            })
+        else:
+            found = light.join(groups, "digest")
     return found.select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
         F.col("locator").eqNullSafe(F.col("keep")).alias("kept"), "text_sha256", "locator",
     )
 
 
+def _folder_of(spark: SparkSession, docs: DataFrame) -> str | None:
+    """The folder that docs is the plain reading of, or None."""
+    folders = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
+    if len(folders) != 1 or "%" in (path := folders.pop()):
+        return None
+    # files are named with their file system, docs' folder perhaps without
+    for name in (path, re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?(?=/)", "", path)):
+        try:
+            if docs.sameSemantics(spark.read.schema(docs.schema).parquet(name)):
+                return name
+        except AnalysisException:  # no such folder on the default file system
+            continue
+    return None
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with its columns. docs is first written, so that rows have locators."""
-    path = scratch(spark, "dedup-input")
-    docs.write.parquet(path)
-    keep = exact_dedup(spark, path).where("kept").select(F.col("locator.file").alias("__file"), F.col("locator.row").alias("__row"))
-    rows = spark.read.parquet(path)
-    located = rows.select(*rows.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return located.join(keep, ["__file", "__row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with its columns. Rows need locators, so a docs that isn't the reading of a folder is written first.
+
+    Only rows in a hash bucket with a row that goes are shuffled; see drop_by_keys.
+    """
+    path = _folder_of(spark, docs)
+    if path is None:
+        path = scratch_folder(spark, "dedup-input")
+        docs.write.parquet(path)
+    with Scratch(spark, "dedup-stage") as scratch:
+        gone = persisted(exact_dedup(spark, path, scratch=scratch).where("not kept").select(F.struct("locator.file", "locator.row").alias("at")), "dedup-gone")
+    rows = spark.read.schema(docs.schema).parquet(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    located = rows.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"), at.alias("at"))
+    kept = drop_by_keys(located, "at", gone)
+    return kept.select(*[F.col("whole")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
