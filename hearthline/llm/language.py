@@ -11,13 +11,13 @@ Document frequencies cover every document that may be learned from. Predicting i
 shuffle; weights and frequencies, of fixed size per language, are broadcast.
 
 Defined cases: null and empty texts, and texts without a letter, are `und` with score 0; with nothing to learn from every
-text is `und`; with one language all texts with letters get it; repeated rows get equal results; an empty table gives an
-empty result; other columns don't matter.
+text is `und`; with one language all texts with letters get it; numerals (², Ⅷ) are no letters; of equal probabilities the
+language that sorts first counts; very long texts are read whole, each as a step of its own; repeated rows get equal results; an empty table gives
+an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,19 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import crc_fold, persisted, slices
+from hearthline.llm.common import crc_fold, letter_runs, persisted, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Sampled documents over all languages, as expected of the hash; every fifth calibrates.
 BOUND = 4000
-#: The least expected number for each language, where there are very many.
-LEAST = 100
 #: Learning rate's two numbers, and the penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.3, 0.3
 EPOCHS = 3
-LETTER = re.compile(r"[^\W\d_]")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: N-grams of a text up to which sorting them is cheaper than counting in all buckets.
+SHORT = 2000
 UNKNOWN = "und"
 
 _odd = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -46,7 +44,7 @@ _odd = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 def grams(text: str) -> np.ndarray:
     """Buckets of the n-grams of a text, repeats included; empty without letters."""
-    text = NOT_LETTERS.sub(" ", text.lower()).strip()
+    text = " ".join(letter_runs(text.lower())[1])
     if not text:
         return np.zeros(0, np.int64)
     points = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
@@ -60,12 +58,15 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of a text's TF-IDF vector of length 1."""
-    g = grams(text or "")
-    counts = np.bincount(g, minlength=BUCKETS)
-    at = np.flatnonzero(counts)
-    x = counts[at] * idf[at]
+def weighted(g: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of the TF-IDF vector of length 1 of a text's n-grams."""
+    if len(g) <= SHORT:
+        at, counts = np.unique(g, return_counts=True)
+    else:
+        counts = np.bincount(g, minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        counts = counts[at]
+    x = counts * idf[at]
     length = np.sqrt(x @ x)
     return at, x / length if length else x
 
@@ -93,6 +94,10 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((1 + n) / (1 + found)) + 1
 
 
+def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return weighted(grams(text or ""), idf)
+
+
 @dataclass
 class Model:
     """Weights of the buckets that any language has a weight in: slot gives a bucket's row, or the row of zeros at the end."""
@@ -107,9 +112,10 @@ class Model:
         return x @ self.weights[self.slot[at]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
+        g = grams(text or "")
+        if not len(g) or not self.langs:
             return UNKNOWN, 0.0
-        p = softmax(self.logits(*vector(text, self.idf)) / self.temperature)
+        p = softmax(self.logits(*weighted(g, self.idf)) / self.temperature)
         best = int(p.argmax())
         return self.langs[best], float(p[best])
 
@@ -155,7 +161,7 @@ def _sample(docs: DataFrame, bound: int) -> DataFrame:
     """doc_id, lang, h of about bound documents, an equal share for each language."""
     light = docs.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(3)).alias("h"))
     counts = persisted(light.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
-    share = max(LEAST, bound / max(1, counts.count()))
+    share = bound / max(1, counts.count())
     picked = light.join(counts, "lang").where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share / F.col("n"))
     return persisted(picked.select("doc_id", "lang", "h").dropDuplicates(["doc_id"]), "language-sample")
 
