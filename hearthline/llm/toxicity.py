@@ -14,13 +14,14 @@ one pass over the rows without a shuffle; the model, bounded by the sample, is b
 
 Defined cases: null and empty texts, and texts without letters, have no words, no passages and the least
 evidence; a document with several label rows is toxic if one says so; null labels are none; without toxic (or clean)
-labels every score is 0; repeated rows get equal results; an empty table gives an empty result.
+labels every score is 0, and where the calibrating part has no toxic (or no clean) documents the whole sample calibrates; a null doc_id is
+not held out; very long texts are scanned whole; of segments with equal scores each counts; repeated rows get equal results; an empty table gives an
+empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import crc_fold, persisted, slices
+from hearthline.llm.common import crc_fold, letter_runs, persisted, slices
 
 #: Most sampled toxic documents, and how many times as many clean ones.
 BOUND, CLEAN = 4096, 4
@@ -44,7 +45,6 @@ LEAST = 3
 #: Evidence of a text without any segment.
 NOTHING = -12.0
 THRESHOLD = 0.7
-WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -110,7 +110,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         total, docs = [Counter(), Counter()], Counter()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = WORD.findall((text or "").lower())
+            words = letter_runs((text or "").lower())[1]
             total[toxic].update(words)
             docs.update(set(words))
         keys = list(docs)
@@ -129,22 +129,37 @@ def _log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean:
 
 
 def _stats(known: dict[str, float]):
-    """toxic, words, segment scores and a histogram of word scores (in hundredths) for each document."""
+    """Rows of two kinds: toxic, words and segment scores of a document, and the task's histogram of clean words' scores (in hundredths)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, histogram = ["toxic", "n", "parts", "key", "count"], Counter()
         for batch in slices(batches, "text"):
-            n, parts, keys, counts = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = word_scores(WORD.findall((text or "").lower()), known)
+            n, parts = [], []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                s = word_scores(letter_runs((text or "").lower())[1], known)
                 n.append(len(s))
                 parts.append([x for _, _, x in segments(s)])
-                k, c = np.unique(np.round(s * 100).astype(np.int64), return_counts=True)
-                keys.append(k)
-                counts.append(c)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(n, pa.int64()), pa.array(parts, pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["toxic", "n", "parts", "keys", "counts"],
-            )
+                if not toxic:
+                    k, c = np.unique(np.round(s * 100).astype(np.int64), return_counts=True)
+                    histogram.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n, pa.int64()), pa.array(parts, pa.list_(pa.float64())), none, none], names=names)
+        keys = list(histogram)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.list_(pa.float64())), pa.array(keys, pa.int64()), pa.array([histogram[k] for k in keys], pa.int64())],
+            names=names,
+        )
+
+    return run
+
+
+def _evidences(rate: float, size: float):
+    """toxic and evidence of each document, from its segment scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [evidence([(0, 0, s) for s in parts], n, rate, size)[0] for n, parts in zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], names=["toxic", "x"])
 
     return run
 
@@ -188,22 +203,20 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     table = words.where(F.col("docs") >= LEAST).select("word", "toxic", "clean").toPandas()
     scores = _log_odds(table["toxic"].to_numpy(float), table["clean"].to_numpy(float), all_toxic, all_clean)
     model = Model({w: s for w, s in zip(table["word"], scores.tolist(), strict=True) if s != -DRIFT})
-    rows = sample.where("part = 1").mapInArrow(_stats(model.scores), "toxic int, n long, parts array<double>, keys array<long>, counts array<long>").collect()
-    rows.sort(key=lambda r: (r.toxic, r.n, r.parts))  # sums of floats in one order, so that reruns agree
-    if len({r.toxic for r in rows}) < 2:
-        return model
-    histogram: Counter = Counter()
-    for r in rows:
-        if not r.toxic:
-            histogram.update(dict(zip(r.keys, r["counts"], strict=True)))
+    both = sample.where("part = 1").select("toxic").distinct().count() == 2
+    stats = (sample.where("part = 1") if both else sample).mapInArrow(_stats(model.scores), "toxic int, n long, parts array<double>, key long, count long")
+    stats = persisted(stats, "toxicity-stats")
+    histogram = Counter({r.key: r.n for r in stats.where("key is not null").groupBy("key").agg(F.sum("count").alias("n")).collect()})
     top = max([1.0, *model.scores.values()])
     histogram[round(100 * top)] += 1  # a toxic word can turn up in clean text
     at = sorted(histogram)
     model.rate = _rate(np.array(at) / 100, np.array([histogram[k] for k in at], float))
-    clean = [r for r in rows if not r.toxic and r.n]
-    model.size = max(1e-9, len(clean) / max(1e-9, sum(r.n * math.exp(-model.rate * max([0.0, *r.parts])) for r in clean)))
-    x = np.array([evidence([(0, 0, s) for s in r.parts], r.n, model.rate, model.size)[0] for r in rows])
-    y = np.array([float(r.toxic) for r in rows])
+    # of each clean document two numbers, and of every document its evidence: what comes here is bounded by the sample's documents
+    clean = stats.where("toxic = 0 and n > 0").select("n", F.coalesce(F.array_max("parts"), F.lit(0.0)).alias("most")).toPandas().sort_values(["n", "most"])
+    model.size = max(1e-9, len(clean) / max(1e-9, float((clean["n"] * np.exp(-model.rate * clean["most"])).sum())))
+    found = stats.where("toxic is not null").select("toxic", "n", "parts").mapInArrow(_evidences(model.rate, model.size), "toxic int, x double").toPandas()
+    found = found.sort_values(["toxic", "x"])  # sums of floats in one order, so that reruns agree
+    x, y = found["x"].to_numpy(float), found["toxic"].to_numpy(float)
     weight = np.where(y > 0, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
     model.offset, model.slope = _logistic(x, y, weight)
     return model
@@ -223,12 +236,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out, passages = [], []
             for text in batch.column("text").to_pylist():
                 text = (text or "").lower()
-                words = WORD.findall(text)
+                pattern, words = letter_runs(text)
                 parts = segments(word_scores(words, m.scores))
                 x, expected = evidence(parts, len(words), m.rate, m.size)
                 out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, m.offset + m.slope * x)))))
                 hits = [(s, e, v, n) for (s, e, v), n in zip(parts, expected, strict=True) if n < 1]
-                at = [w.span() for w in WORD.finditer(text)] if hits else []
+                at = [w.span() for w in pattern.finditer(text)] if hits else []
                 passages.append([{"start": at[s][0], "end": at[e - 1][1], "score": v, "expected": n} for s, e, v, n in hits])
             columns = [batch.column("doc_id"), pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32()), pa.array(passages, _passage)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "passages"])
@@ -239,4 +252,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
     """doc_id, held_out, score, predicted, passages: the model fitted on the labels of two folds of three, applied to every row."""
     scored = score(docs, fit(docs, labels, bound))
-    return scored.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "passages")
+    return scored.select("doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "passages")

@@ -76,3 +76,11 @@ def test_odd_rows(spark):
     assert {r.score < 0.01 for r in toxicity.toxicity(docs, none).collect()} == {True}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert toxicity.toxicity(docs, labels.limit(0)).count() == 600
+
+
+def test_one_class_in_the_calibrating_part_and_null_ids(spark):
+    docs, labels = corpus(spark, 400)
+    part = labels.select("doc_id", (toxicity.F.pmod(toxicity.F.xxhash64("doc_id", toxicity.F.lit(4)), toxicity.F.lit(4)) == 3).alias("calibrates"))
+    few = labels.join(part, "doc_id").withColumn("toxic", toxicity.F.when(toxicity.F.col("calibrates"), 0).otherwise(toxicity.F.col("toxic"))).drop("calibrates")
+    out = toxicity.toxicity(docs.unionAll(spark.createDataFrame([(None, "zorg", "x")], docs.schema)), few).collect()
+    assert len({r.score for r in out}) > 10 and [r.held_out for r in out if r.doc_id is None] == [False]
