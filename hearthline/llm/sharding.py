@@ -6,13 +6,13 @@ neighbours in every dimension, so a file of a run covers a small box of all of t
 whichever dimension it filters on.
 
 Text dimensions are quantised by equal depth: values in code point order, null last, at the share of rows before them.
-Ranks come from counts, never from one sorted task: rows per cell, a cell's rows in hash buckets of at most about
-ROWS rows, running sums over cells (at most 2 ** (3 * BITS)) and over a cell's buckets, and a row number within
-one bucket. A cell that a third of all rows share is many buckets.
+Ranks come from counts, never from one sorted task: rows per cell, a cell's rows in ranges of their texts' hashes of about
+ROWS rows, running sums over cells (at most 2 ** (3 * BITS)), over a cell's ranges and over a range's texts, and a row number within
+one text of a range. Equal texts go to the first of their cells and are neighbours there, so that of all groups at most one is cut where one shard ends
+and the next begins, which equal counts need. A text with more than ROWS copies is itself cut into ranges by doc_id's hash, so that a cell or a text that a third of all rows share is many tasks.
 
-Defined cases: null text counts as no bytes, so that its size is 1; repeated rows are rows of their own, in any
-order among equals; an empty table gives an empty result; other columns don't matter. The law is `rows`: counts of
-shards are at most one apart, and grown_shard is null.
+Defined cases: null text counts as no bytes, so that its size is 1; very long texts are one row like others; rows equal in all dimensions are ordered by the
+hash of their text, then of their doc_id; equal rows in any order; an empty table gives an empty result; other columns don't matter. The law is `rows`: counts of shards are at most one apart, and grown_shard is null.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def _meta(docs: DataFrame) -> DataFrame:
     size = F.octet_length(text).cast("long") + 1
     return docs.select(
         docs["doc_id"], docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"),
-        size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
     ).withColumn("size_at", F.least(F.lit((1 << BITS) - 1), F.floor(F.log2("size"))).cast("int"))
 
 
@@ -112,9 +112,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, rows_per_bucket: int = ROWS) ->
     placed = (
         meta.join(lang, meta["lang"].eqNullSafe(lang["lang_value"])).join(source, meta["source"].eqNullSafe(source["source_value"]))
         .withColumn("hilbert", hilbert_index([F.col("lang_at"), F.col("source_at"), F.col("size_at")]))
-        .withColumn("h", F.xxhash64("doc_id", "text_crc32", "size"))
-        .select("doc_id", "size", "text_crc32", "hilbert", "h")
+        .select("doc_id", "size", "text_crc32", "hilbert", F.shiftrightunsigned("text_hash", 1).alias("t"), F.shiftrightunsigned(F.xxhash64("doc_id"), 33).alias("h"))
     )
+    placed = persisted(placed, "shard-cells-of-rows")
+    # texts with copies: their first cell, and the ranges that they are cut into
+    copies = placed.groupBy("t").agg(F.min("hilbert").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = persisted(copies.select("t", "first", F.ceil(F.col("n") / rows_per_bucket).cast("int").alias("parts")), "shard-copies")
+    placed = placed.join(copies, "t", "left").withColumn("hilbert", F.coalesce("first", "hilbert")).drop("first")
     placed = persisted(placed, "shard-placed")
     cells = placed.groupBy("hilbert").agg(F.count(F.lit(1)).alias("in_cell"))
     cells = cells.withColumn("buckets", F.ceil(F.col("in_cell") / rows_per_bucket).cast("int"))
@@ -122,16 +126,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, rows_per_bucket: int = ROWS) ->
     cells = persisted(cells.withColumn("before_cell", F.coalesce(F.sum("in_cell").over(up_to), F.lit(0))), "shard-cells")
     # at most 2 ** (DIMENSIONS * BITS) rows of a few integers
     dealt = placed.join(F.broadcast(cells.select("hilbert", "buckets", "before_cell")), "hilbert")
-    # hash ranges, so that buckets in order are rows in order
-    bucket = F.floor(F.shiftrightunsigned("h", 33) * F.col("buckets") / F.lit(1 << 31)).cast("int")
-    dealt = dealt.withColumn("bucket", bucket)
+    # hash ranges, so that ranges in order are rows in order
+    dealt = dealt.withColumns({
+        "bucket": F.floor(F.shiftrightunsigned("t", 32) * F.col("buckets") / F.lit(1 << 31)).cast("int"),
+        "part": F.floor(F.col("h") * F.coalesce("parts", F.lit(1)) / F.lit(1 << 31)).cast("int"),
+    })
+    key = ["hilbert", "bucket", "t", "part"]
+    counts = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("before_cell").alias("b"))
+    counts = persisted(counts, "shard-counts")
     in_cell = Window.partitionBy("hilbert").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("hilbert", "bucket").agg(F.count(F.lit(1)).alias("n"), F.first("before_cell").alias("b"))
+    ranges = counts.groupBy("hilbert", "bucket").agg(F.sum("n").alias("n"), F.first("b").alias("b"))
+    ranges = persisted(ranges.select("hilbert", "bucket", (F.col("b") + F.coalesce(F.sum("n").over(in_cell), F.lit(0))).alias("before_range")), "shard-ranges")
+    in_range = Window.partitionBy("hilbert", "bucket").orderBy("t", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = persisted(
-        offsets.select("hilbert", "bucket", (F.col("b") + F.coalesce(F.sum("n").over(in_cell), F.lit(0))).alias("before")), "shard-offsets"
+        counts.withColumn("in_range", F.coalesce(F.sum("n").over(in_range), F.lit(0))).join(ranges, ["hilbert", "bucket"])
+        .select(*key, (F.col("before_range") + F.col("in_range")).alias("before")),
+        "shard-offsets",
     )
-    number = F.row_number().over(Window.partitionBy("hilbert", "bucket").orderBy(F.shiftrightunsigned("h", 33), "h", "doc_id"))
-    ranked = dealt.withColumn("number", number).join(offsets, ["hilbert", "bucket"])
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id", "size"))
+    ranked = dealt.withColumn("number", number).join(offsets, key)
     total = cells.agg(F.coalesce(F.sum("in_cell"), F.lit(0)).alias("total"))
     rank, n = F.col("before") + F.col("number") - 1, total.scalar()
     out = ranked.withColumn("rank", rank).withColumn("total", n).withColumn("shard", F.expr(f"(rank * {shards}) div total").cast("int"))

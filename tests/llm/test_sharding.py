@@ -57,3 +57,19 @@ def test_empty_few_rows_and_write(spark, tmp_path):
     sharding.write_sharded(unique, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == unique.count() and back.select("shard").distinct().count() == 8
+
+
+def test_equal_texts_share_a_shard(spark):
+    rnd = random.Random(2)
+    texts = [f"text {i} " * rnd.randrange(1, 40) for i in range(60)]
+    rows = [(i, rnd.choice(texts), rnd.choice(["en", "de", None]), f"s{i % 7}") for i in range(900)] + [(2000 + i, "hot", "en", f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for bucket in (2_000, 20):
+        out = sharding.shard(df.repartition(5), rows_per_bucket=bucket).join(df.select("doc_id", "text"), "doc_id").collect()
+        shards = {}
+        for r in out:
+            shards.setdefault(r.text, set()).add(r.shard)
+        # a group is cut only where a shard is full
+        assert sum(len(s) - 1 for s in shards.values()) <= 7
+        counts = Counter(r.shard for r in out)
+        assert max(counts.values()) - min(counts.values()) <= 1
