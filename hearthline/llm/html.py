@@ -4,27 +4,30 @@ A page's tokens are its elements, told apart by their path (tag, class and id of
 its text runs outside articles. A token's occurrence vector is how often each page of the host has it; tokens of one host
 with equal vectors form a class (Arasu and Garcia-Molina 2003). A class is valid if the elements around its tokens all
 belong to one class, in which it is then nested; the class of the page's root and the valid classes below it are the host's
-template. The template's slots are what varies: among its elements, those that mark an article or a page's main part are the
-content slot, and on pages without such elements all slots are content. Runs of text that are tokens of the template
-themselves are boilerplate, except inside articles and inside elements where what varies stands directly (SHARE), as in the
-parent of an article's blocks. Identical pages of a host are one page to the template, so copies don't look like a template. Elements that a template's role marks as menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments are left out everywhere. A class or an id says so if
-all its parts do (site-footer, but not has-sidebar), and not where the element holds MOST of what varies on the host; only names
-of reader comments always count.
+template. Its slots are what varies. Identical pages of a host are one page to the template, so copies don't look like a template.
+
+The template decides on text: runs that are tokens of it are boilerplate, except where what varies stands directly around them (SHARE), as
+in the parent of an article's blocks; an element of it whose slots hold links mostly (LINKED), several each time, is a menu or a list
+of other pages; all other slots are content. Where pages mark an article or a main part, that is the content slot, and only what it holds is read.
+Elements whose tag or role says menu, header, footer, form, script or the like are left out everywhere. Names (class, id) break ties: one that consists
+of such words only leaves its element out outside the content slot, unless it holds MOST of what varies on the host; inside the content slot only
+names of adverts, consent and reader comments count, and names of two such words (share-buttons), never a single word like header or related.
 
 Vectors are never built: a token's two sums of 32-bit hashes of (page, count) stand for it, so that counting is a
 map-side aggregate and a host with a third of all pages is no hot group. A host's template is a few dozen numbers; the
-templates are broadcast while there are at most HOSTS, which is counted first, and joined by host beyond that.
+templates are broadcast while there are at most HOSTS of at most NUMBERS in all, which is counted first, and joined by host beyond that.
 
 Defined cases: null and empty html gives an empty text; a url without a host counts as host ""; pages without text in an
 article fall back to all text but menus and boilerplate, then to all text outside menus and the like, then to what only names mark; unclosed and stray tags,
-cut-off pages and unknown references are read as browsers do, roughly; repeated rows get equal results; an empty table gives
-an empty result; other columns don't matter.
+cut-off pages and unknown references are read as browsers do, roughly; a tag or comment that never ends goes to the page's end; every step is linear in
+the page's length, however long and however deep (elements over DEEP levels down count as their ancestor there); repeated rows get equal results; an
+empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,12 +46,18 @@ LEAST = 5
 SHARE = 0.7
 #: Share of what varies on a host that an element holds whose name is not believed.
 MOST = 0.5
+#: Share of an element's text that stands in links, and links each time it occurs, from which it is a menu or a list of other pages.
+LINKED, LINKS = 0.8, 3
+#: Levels of elements that are told apart.
+DEEP = 200
+#: Most numbers in templates that are broadcast.
+NUMBERS = 1 << 20
 #: Tokens that a task holds back for its sums.
 HELD = 300_000
 
 # A value is quoted right after "=" only, to the next quote however far; without one the quote is part of the tag like any character.
 # Possessive, so that a tag is read once; one that never ends goes to the page's end.
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)|<[!?/][^>]*>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 USED = frozenset("class id role hidden style aria-hidden".split())
 #: Characters of attributes that are looked up again.
@@ -70,6 +79,7 @@ CHROME_WORDS = frozenset(
     "breadcrumbs header masthead footer comment comments commentlist reply replies respond disqus discussion share sharing social related recommended "
     "recommendations widget widgets toolbar pagination pager paging login search".split()
 )
+ADVERT_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter sidebar sidebars".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 # Parts that leave the meaning of the others in a name.
 NEUTRAL_WORDS = frozenset(
@@ -81,8 +91,8 @@ CONTENT_TAGS = frozenset(["article", "main"])
 HOLDERS = frozenset("div section center td dd details fieldset".split())
 
 ELEMENT, TEXT = 0, 1
-# What leaves an element out: nothing, its name, its name as reader comments, its tag or role.
-PLAIN, NAMED, COMMENT, CHROME, CONTENT = 0, 1, 2, 3, 4
+# What leaves an element out: nothing, its name outside the content slot, its name anywhere, its name as reader comments, its tag or role.
+PLAIN, WEAK, NAMED, COMMENT, CHROME, CONTENT = 0, 1, 2, 3, 4, 5
 
 
 def host_of(url: Column) -> Column:
@@ -98,19 +108,23 @@ ROOT = _hash("#page")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "level", "chrome", "content", "named")
+    """block: index in the stack of the nearest block, itself included. barred: inside a menu or the like by tag, or an article."""
+
+    __slots__ = ("tag", "path", "level", "chrome", "content", "named", "block", "barred", "depth", "linked")
 
-    def __init__(self, tag: str, path: int, level: int, content: bool, named: bool):
+    def __init__(self, tag: str, path: int, level: int, content: bool, named: bool, block: int = 0, barred: bool = False, depth: int = 0, linked: bool = False):
         self.tag, self.path, self.level, self.chrome, self.content, self.named = tag, path, level, level > PLAIN, content, named
+        self.block, self.barred, self.depth, self.linked = block, barred, depth, linked
 
 
-def _named(names: list[str], words: frozenset[str]) -> bool:
-    """Whether a name consists of these words, and others that add nothing."""
+def _named(names: list[str], words: frozenset[str]) -> int:
+    """How much a name says that consists of these words, and others that add nothing: 2 for words of adverts or several words, 1 for one word, 0 for no such name."""
+    most = 0
     for name in names:
-        parts = PART.findall(name)
-        if any(x in words for x in parts) and all(x in CHROME_WORDS or x in NEUTRAL_WORDS or x.isdigit() for x in parts):
-            return True
-    return False
+        parts = [x for x in PART.findall(name) if not x.isdigit()]
+        if any(x in words for x in parts) and all(x in CHROME_WORDS or x in NEUTRAL_WORDS for x in parts):
+            most = max(most, 2 if len(parts) > 1 or parts[0] in ADVERT_WORDS else 1)
+    return most
 
 
 _roles: dict[tuple[str, str], tuple[str, int]] = {}
@@ -133,12 +147,13 @@ def _role(tag: str, attributes: str) -> tuple[str, int]:
         kind = CHROME
     elif _named(names, COMMENT_WORDS):
         kind = COMMENT
-    elif _named(names, CHROME_WORDS):
-        kind = NAMED
+    elif said := _named(names, CHROME_WORDS):
+        kind = NAMED if said > 1 else WEAK
     else:
         kind = PLAIN
-    # numbers in names differ from page to page
-    out = (f"{tag} {re.sub(r'[0-9]+', '0', label)} {role}", kind)
+    # numbers in ids, and long ones in classes, differ from page to page
+    classes, own = re.sub("[0-9]{3,}", "0", found.get("class", "").lower()), re.sub("[0-9]+", "0", found.get("id", "").lower())
+    out = (f"{tag} {classes} {own} {role}", kind)
     if len(attributes) <= KNOWN:
         if len(_roles) > 100_000:
             _roles.clear()
@@ -149,11 +164,13 @@ def _role(tag: str, attributes: str) -> tuple[str, int]:
 def read(html: str, freed: set[int] | frozenset[int] = frozenset()) -> Iterator[tuple[str, _Element, str]]:
     """Events of a page: ("open" or "close", element, ""), ("text", innermost element, decoded run) and ("break", element, ""). freed: paths whose names don't count."""
     root = _Element("#page", ROOT, PLAIN, False, False)
-    stack, at = [root], 0
+    stack, at, open_ = [root], 0, Counter()
 
     def pop_to(i: int) -> Iterator[tuple[str, _Element, str]]:
         while len(stack) > i:
-            yield "close", stack.pop(), ""
+            e = stack.pop()
+            open_[e.tag] -= 1
+            yield "close", e, ""
 
     while at < len(html):
         m = TAG.search(html, at)
@@ -167,41 +184,46 @@ def read(html: str, freed: set[int] | frozenset[int] = frozenset()) -> Iterator[
             continue
         tag, attributes = m[2].lower(), m[3] or ""
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    yield from pop_to(i)
-                    if tag in BLOCKS:
-                        yield "break", stack[-1], ""
-                    break
+            if open_[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        yield from pop_to(i)
+                        if tag in BLOCKS:
+                            yield "break", stack[-1], ""
+                        break
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
+                end = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(html, at)
                 at = end.end() if end else len(html)
             continue
         if tag in VOID:
             yield ("break", stack[-1], "") if tag == "hr" else ("text", stack[-1], " ")
             continue
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             closes = ("p", tag) if tag in ("li", "td", "th", "tr", "dd", "dt", "option") else ("p",)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    yield from pop_to(i)
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+            around = stack[-1].block
+            if around and stack[around].tag in closes:
+                yield from pop_to(around)
             yield "break", stack[-1], ""
         signature, kind = _role(tag, attributes)
         above = stack[-1]
-        path = above.path if tag not in BLOCKS else _hash(above.path, signature)
-        level, named = max(above.level, kind if kind != CONTENT else PLAIN), kind == NAMED and tag in BLOCKS
+        path = _hash(above.path, signature) if block and above.depth < DEEP else above.path
+        if kind == WEAK:
+            kind = PLAIN if above.content else NAMED
+        level, named = max(above.level, kind if kind != CONTENT else PLAIN), kind == NAMED and block
         if named and path in freed and above.level <= NAMED:
             level = PLAIN
         # an article inside something that only its name marks is the article all the same
-        if kind == CONTENT and above.chrome and not any(e.tag in CHROME_TAGS or e.tag in CONTENT_TAGS for e in stack):
+        if kind == CONTENT and above.chrome and not above.barred:
             level = PLAIN
-        element = _Element(tag, path, level, kind == CONTENT or above.content, named)
+        element = _Element(
+            tag, path, level, kind == CONTENT or above.content, named, len(stack) if block else above.block,
+            above.barred or tag in CHROME_TAGS or tag in CONTENT_TAGS, above.depth + block, above.linked or tag == "a",
+        )
         stack.append(element)
+        open_[tag] += 1
         yield "open", element, ""
     yield from pop_to(1)
 
@@ -213,8 +235,8 @@ def _vector(page: int, count: int) -> tuple[int, int]:
 
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's sums for each token of each host."""
-    names = ["host", "token", "parent", "kind", "holder", "holders", "pages", "n", "v1", "v2", "chars"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 5]
+    names = ["host", "token", "parent", "kind", "holder", "holders", "blocks", "pages", "n", "v1", "v2", "chars", "text", "linked", "links"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 8]
     sums: dict[tuple[str, int], list] = {}
 
     def flush() -> pa.RecordBatch:
@@ -225,35 +247,43 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if not html:
                 continue
-            page, own = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")), {ROOT: [0, ELEMENT, 0, [ROOT], 1, 0]}
-            # holders from the page, or from the innermost element that its name marks
-            above, holders = [ROOT], [[ROOT]]
+            # of a token: where it is, how often, characters that vary, all, those in links, and links
+            page, own = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")), {ROOT: [0, ELEMENT, 0, [ROOT], [ROOT], 1, 0, 0, 0, 0]}
+            # holders from the page, or from the innermost element that its name marks; and all blocks
+            above, holders, blocks = [ROOT], [[ROOT]], [[ROOT]]
             for event, e, text in read(html):
                 if event == "open" and e.tag in BLOCKS:
-                    around = holders[-1]
-                    if e.level <= NAMED and not e.content:
+                    around, inside = holders[-1], blocks[-1]
+                    if e.level <= NAMED and not e.content and e.path != above[-1]:
                         around = [e.path] if e.named else [*around, e.path] if e.tag in HOLDERS else around
+                        inside = [*inside, e.path]
                     if e.path not in own:
-                        own[e.path] = [above[-1], ELEMENT, holders[-1][-1], around if around is not holders[-1] else None, 0, 0]
-                    own[e.path][4] += 1
+                        own[e.path] = [above[-1], ELEMENT, holders[-1][-1], around if around is not holders[-1] else None, inside if inside is not blocks[-1] else None, 0, 0, 0, 0, 0]
+                    own[e.path][5] += 1
                     above.append(e.path)
                     holders.append(around)
+                    blocks.append(inside)
+                elif event == "open" and e.tag == "a" and e.level <= NAMED and not e.content:
+                    own[e.path][9] += 1
                 elif event == "close" and e.tag in BLOCKS:
                     above.pop()
                     holders.pop()
+                    blocks.pop()
                 elif event == "text" and e.level <= NAMED and (flat := " ".join(text.split())):
                     if e.content:
-                        own[ROOT][5] += len(flat) if not e.chrome else 0
+                        own[ROOT][6] += len(flat) if not e.chrome else 0
                         continue
                     holder = holders[-1][-1]
-                    x = own.setdefault(_hash(e.path, flat, "text"), [e.path, TEXT, holder, None, 0, 0])
-                    x[4] += 1
-                    x[5] += len(flat)
-                    own[holder][5] += len(flat)
-            for token, (parent, kind, holder, around, count, chars) in own.items():
+                    x = own.setdefault(_hash(e.path, flat, "text"), [e.path, TEXT, holder, None, None, 0, 0, 0, 0, 0])
+                    x[5] += 1
+                    x[6] += len(flat)
+                    own[holder][6] += len(flat)
+                    own[e.path][7] += len(flat)
+                    own[e.path][8] += len(flat) if e.linked else 0
+            for token, (parent, kind, holder, around, inside, count, *numbers) in own.items():
                 a, b = _vector(page, count)
-                x = sums.setdefault((host, token), [parent, kind, holder, around, 0, 0, 0, 0, 0])
-                for i, v in enumerate((1, count, a, b, chars), 4):
+                x = sums.setdefault((host, token), [parent, kind, holder, around, inside, 0, 0, 0, 0, 0, 0, 0, 0])
+                for i, v in enumerate((1, count, a, b, *numbers), 5):
                     x[i] += v
         if len(sums) > HELD:
             yield flush()
@@ -262,7 +292,10 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-PROFILE = "host string, token long, parent long, kind int, holder long, holders array<long>, pages long, n long, v1 long, v2 long, chars long"
+PROFILE = (
+    "host string, token long, parent long, kind int, holder long, holders array<long>, blocks array<long>, pages long, n long, v1 long, v2 long, "
+    "chars long, text long, linked long, links long"
+)
 
 
 def different(pages: DataFrame) -> DataFrame:
@@ -273,11 +306,17 @@ def different(pages: DataFrame) -> DataFrame:
     return marked.join(hits, "b", "left_anti").select("host", "html").unionAll(copied)
 
 
+#: What a host's template says.
+PARTS = ("slots", "fixed", "freed", "menus")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slots (paths of elements whose constant runs are content too), freed (paths whose names don't count), fixed (text tokens of the template). pages: host, html."""
+    """host, slots (paths of elements whose constant runs are content too), freed (paths whose names don't count), fixed (text tokens of the
+    template), menus (paths of elements whose slots are links mostly). pages: host, html."""
     sums = different(pages).mapInArrow(profile, PROFILE)
     tokens = sums.groupBy("host", "token").agg(
-        *[F.min(c).alias(c) for c in ("parent", "kind", "holder", "holders")], *[F.sum(c).alias(c) for c in ("pages", "n", "v1", "v2", "chars")]
+        *[F.min(c).alias(c) for c in ("parent", "kind", "holder", "holders", "blocks")],
+        *[F.sum(c).alias(c) for c in ("pages", "n", "v1", "v2", "chars", "text", "linked", "links")],
     )
     tokens = persisted(tokens.where((F.col("kind") == ELEMENT) | (F.col("pages") >= LEAST)), "html-tokens")
     vector = ["pages", "n", "v1", "v2"]
@@ -301,19 +340,26 @@ def templates(pages: DataFrame) -> DataFrame:
     slots = slots.groupBy("host").agg(F.collect_set("token").alias("slots"))
     named = tokens.where((F.get("holders", F.lit(0)) == F.col("token")) & (F.col("token") != ROOT)).join(inside, ["host", "token"]).join(total, "host")
     freed = named.where(F.col("inside") > MOST * F.col("total")).groupBy("host").agg(F.collect_set("token").alias("freed"))
+    # links and text in an element and all that it holds
+    whole = tokens.where("blocks is not null").select("host", F.explode("blocks").alias("token"), "text", "linked", "links")
+    whole = whole.groupBy("host", "token").agg(F.sum("text").alias("text"), F.sum("linked").alias("linked"), F.sum("links").alias("links"))
+    lists = tokens.where((F.col("kind") == ELEMENT) & (F.col("token") != ROOT) & (F.col("pages") >= LEAST)).select("host", "token", "n").join(whole, ["host", "token"])
+    menus = lists.where((F.col("linked") >= LINKED * F.col("text")) & (F.col("links") >= LINKS * F.col("n"))).groupBy("host").agg(F.collect_set("token").alias("menus"))
     none = F.array().cast("array<long>")
-    out = tokens.where(F.col("token") == ROOT).select("host").join(slots, "host", "left").join(freed, "host", "left").join(fixed, "host", "left")
-    return persisted(out.select("host", *[F.coalesce(c, none).alias(c) for c in ("slots", "freed", "fixed")]), "html-templates")
+    out = tokens.where(F.col("token") == ROOT).select("host")
+    for part in (slots, freed, fixed, menus):
+        out = out.join(part, "host", "left")
+    return persisted(out.select("host", *[F.coalesce(c, none).alias(c) for c in PARTS]), "html-templates")
 
 
-def main_text(html: str | None, slots: set[int], fixed: set[int], freed: set[int] | frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, slots: set[int], fixed: set[int], freed: set[int] | frozenset[int] = frozenset(), menus: set[int] | frozenset[int] = frozenset()) -> str:
     """Blocks of a page's content in page order, one a line."""
     if not html:
         return ""
     # what the page marks as an article, everything that isn't a menu or the like nor boilerplate, boilerplate too, and what only names mark
     lines: tuple[list[str], ...] = ([], [], [], [])
     open_: tuple[list[str], ...] = ([], [], [], [])
-    inside = 0
+    inside = listed = 0
 
     def end_block() -> None:
         for runs, out in zip(open_, lines, strict=True):
@@ -331,7 +377,7 @@ def main_text(html: str | None, slots: set[int], fixed: set[int], freed: set[int
             flat = " ".join(text.split())
             if e.content:
                 open_[0].append(text)
-            if e.content or inside or not (fixed and flat and _hash(e.path, flat, "text") in fixed):
+            if e.content or not listed and (inside or not (fixed and flat and _hash(e.path, flat, "text") in fixed)):
                 open_[1].append(text)
             open_[2].append(text)
         elif event == "break":
@@ -339,8 +385,9 @@ def main_text(html: str | None, slots: set[int], fixed: set[int], freed: set[int
         elif e.tag in BLOCKS:
             if event == "close":
                 end_block()
-            if e.path in slots:
-                inside += 1 if event == "open" else -1
+            step = 1 if event == "open" else -1
+            inside += step if e.path in slots else 0
+            listed += step if e.path in menus else 0
     end_block()
     return "\n".join(next((x for x in lines if x), []))
 
@@ -349,18 +396,16 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     found = templates(rows)
-    if found.limit(HOSTS + 1).count() <= HOSTS:
+    hosts, numbers = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.size(c) for c in PARTS)), F.lit(0))).first()
+    if hosts <= HOSTS and numbers <= NUMBERS:
         found = F.broadcast(found)
     joined = rows.join(found, "host", "left")
     page = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = [
-                main_text(h, set(c or ()), set(x or ()), set(f or ()))
-                for h, c, x, f in zip(*(batch.column(k).to_pylist() for k in ("html", "slots", "fixed", "freed")), strict=True)
-            ]
+            texts = [main_text(h, *(set(x or ()) for x in parts)) for h, *parts in zip(*(batch.column(k).to_pylist() for k in ("html", *PARTS)), strict=True)]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "slots", "freed", "fixed").mapInArrow(run, f"page_id {page}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", *PARTS).mapInArrow(run, f"page_id {page}, url string, text string, n_chars long")

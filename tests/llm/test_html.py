@@ -1,5 +1,8 @@
 import html as stdlib
 import re
+import time
+
+import pyarrow as pa
 
 from hearthline.llm import html
 
@@ -115,3 +118,43 @@ def test_long_attributes_and_foreign_elements():
     assert text("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math><noscript>plain</noscript><svg><text>label</text></svg><object>fall</object></p></article>") == "a x=1plainlabelfall"
     assert text("<p>a</p>" + "<b " * 100_000) == "a"
     assert text("<p>a</p>" + "<b x='" * 100_000) == "a"
+
+
+def untold(i):
+    """A page without telling tags or names."""
+    related = "".join(f"<li><a href=/x{k}>Story {i * 7 + k} of another day</a>" for k in range(4))
+    body = "".join(f"<p>Paragraph {i} {k} {'word ' * (20 + i + k)}with <a href=/r{i}>a link</a> in it</p>" for k in range(3))
+    menu = "".join(f"<li><a href=/{m}>{m}</a>" for m in ("Start", "World", "Sport", "Money"))
+    return (
+        f"<body><div class=q1><ul>{menu}</ul></div><div class=q2><div class=q5>Sunday edition</div><h1>Title {i}</h1>{body}<blockquote>Said {i}</blockquote></div>"
+        f"<div class=q3><ul>{related}</ul></div><div class=q4><span>Imprint of the house</span></div></body>"
+    )
+
+
+def test_the_template_decides_without_telling_tags_or_names(spark):
+    df = spark.createDataFrame([(i, f"http://untold.example.org/{i}", untold(i)) for i in range(20)], "page_id long, url string, html string")
+    for r in html.extract(df).collect():
+        i = r.page_id
+        want = [f"Title {i}", *(" ".join(f"Paragraph {i} {k} {'word ' * (20 + i + k)}with a link in it".split()) for k in range(3)), f"Said {i}"]
+        assert [x for x in r.text.split("\n") if x != "Sunday edition"] == want
+        without = text(untold(i))
+        assert "Imprint of the house" in without and "Start" in without and f"Story {i * 7} of another day" in without
+
+
+def test_single_words_in_names_dont_decide_inside_an_article(spark):
+    page = "<article><p>a<br>b</p><div class='share-price'>c</div><p class='related'>d</p><div class='search-results'>e</div><h2 class='header'>f</h2><div class=ad>no</div></article>"
+    assert text(page) == "a b\nc\nd\ne\nf"
+    assert text("<div class='notices-archive'><p>all of it</p></div>") == "all of it"
+
+
+def test_every_step_is_linear():
+    for page in (
+        "<p>a</p>" + "<a " * 350_000, "<p>a</p><a " + 'k="v" ' * 10_000, "<p>a</p>" + "</" * 300_000, "<p>a</p>" + "<!--" * 200_000, "<p>a</p><script>" + "</script" * 100_000,
+        "<p>a</p>" + "<div>" * 60_000 + "</x>" * 60_000, "<p>a</p>" + "<b>" * 30_000 + "<p></p>" * 30_000, "<p>a</p><nav>" + "<main>" * 30_000,
+    ):
+        began = time.time()
+        assert text(page) == "a"
+        assert time.time() - began < 5, page[:40]
+    batch = pa.RecordBatch.from_pydict({"host": ["h"], "html": ["<div>" * 20_000 + "x" + "</div>" * 20_000]})
+    began = time.time()
+    assert sum(b.num_rows for b in html.profile(iter([batch]))) == html.DEEP + 2 and time.time() - began < 20
