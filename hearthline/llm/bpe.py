@@ -8,8 +8,8 @@ Pieces of up to SHORT bytes run side by side: their trees are the rows of one ar
 once in each row. Longer pieces run one by one over the same tree. Spark deals the documents out; the
 vocabulary is a constant that the driver reads and broadcasts.
 
-Defined cases: null counts as empty; an empty text has no tokens, and both digests are of no bytes; equal
-rows give equal results; other columns pass through unless their name is an output's, which replaces it.
+Defined cases: null counts as empty; an empty text has no tokens, and both digests are of no bytes; very long texts and pieces are
+encoded whole; of equal pair ranks the leftmost merges first; equal rows give equal results; an empty table gives an empty result; other columns pass through unless their name is an output's, which replaces it.
 """
 
 from __future__ import annotations
@@ -212,7 +212,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 
     ranks_path is read by the driver alone; its content, a file of bounded size, goes to the tasks as a broadcast.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    table = read_ranks(ranks_path)
+    ranks = docs.sparkSession.sparkContext.broadcast(table)
+    key = (hashlib.sha256(repr(sorted(table.items())).encode()).hexdigest(), pattern)  # a worker that lives on takes no vocabulary of before
     made = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
     rest = [c for c in docs.columns if c not in made]
     carried = [c for c in rest if c != text]
@@ -223,8 +225,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     schema = ", ".join([*(f"{quoted(c)} {types[c]}" for c in order), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>"] if keep_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (codec := _codecs.get((ranks_path, pattern))) is None:
-            codec = _codecs[ranks_path, pattern] = Codec(ranks.value, pattern)
+        if (codec := _codecs.get(key)) is None:
+            codec = _codecs[key] = Codec(ranks.value, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in slices(batches, "__text"):
             ids = codec.encode_batch(batch.column("__text").to_pylist())
