@@ -103,3 +103,35 @@ def extract_land_rent(spark, sf_dir):
 @query(_said(YOUTHS, found=1))
 def extract_youth_limits(spark, sf_dir):
     return _json(spark, sf_dir, YOUTHS, extract.youth_limits)
+
+
+PERIODS = [
+    ("접수기간 : 2026. 10. 13.(화) 10:00 ~ 10. 15.(목)", '{"first":"2026-10-13","last":"2026-10-15","rank1":false}'), ("1순위 우편 접수 2026.10.01 ~ 10.02 인터넷 접수 2026.12.30. ~ 1.3.", '{"first":"2026-12-30","last":"2027-01-03","rank1":false}'),
+    ("청약신청 접수 1순위 2026.10.05 ~ 2026.10.01", None), ("신청 접수 ▶ 2026.10.05 ~ 10.06", None), ("접수기간 2025.01.05 ~ 2025.01.06", None), ("", None), (None, None),
+]
+INCOMES = [
+    ("3인 8,168,429원 이하 100% 4인 8,802,202원 이하 100%", '{"3":8168429,"4":8802202}', None),
+    ("소득구간 ~30% ~50% ~70% ~100% 1인 769,271 1,282,119 1,794,966 2,564,238 인2 1,259,7882,099,646 2,939,505 4,199,292 3인 1 2 3 4 8인을 초과하는 가구의 기준 중위소득(100%)은 1인 증가 시마다, 959,198원씩 증가", '{"1":2564238,"2":4199292}', 959198),
+    ("소득구간 ~30% ~50% ~70% ~100% 1인 769,271 1,282,119 1,794,966 3,564,238", None, None), ("", None, None), (None, None, None),
+]
+QUOTAS = [
+    ("다자녀가구 특별공급 해당시·도(광명시 및 경기도) 거주자(50%) … 기타지역(서울특별시 및 인천광역시) 거주자(50%)",
+     '{"buckets":[{"name":"해당 시·도","percent":50,"regions":["광명","경기"]},{"name":"기타지역","percent":50,"regions":["서울","인천"]}],"unknown":false}'),
+    ("다자녀가구 특별공급 해당시·도(광명시) 거주자(50%) 끝", '{"unknown":true}'), ("다자녀가구 특별공급 해당시도(서울) 거주자(50%) 기타지역(인천) 거주자(40%)", '{"unknown":true}'), ("다자녀", None), (None, None),
+]
+
+
+@query(_said(PERIODS, found=1))
+def extract_application_period(spark, sf_dir):
+    return _json(spark, sf_dir, PERIODS, lambda t: extract.application_period(t, F.lit("2026-10-07").cast("date")))
+
+
+@query(_said(INCOMES, found=1, added=2))
+def extract_income_table(spark, sf_dir):
+    f = facts(spark, sf_dir, _texts(INCOMES), "documents")
+    return f.select("doc_id", F.to_json(extract.income_table(F.col("text"))).alias("found"), extract.income_added(F.col("text")).cast("int").alias("added"))
+
+
+@query(_said(QUOTAS, found=1))
+def extract_child_quota(spark, sf_dir):
+    return _json(spark, sf_dir, QUOTAS, extract.child_quota)
