@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from hearthline.functions import text
-from hearthline.operators import audit, conditions, decisions, history, listing, rules, state
+from hearthline.operators import audit, conditions, decisions, history, listing, retrieval, rules, state
 
 d = lambda s: dt.date.fromisoformat(s)
 
@@ -77,3 +77,14 @@ def test_values_read_differently(spark):
     b = spark.createDataFrame([(1, "s", {"x": "1", "y": "3", "z": "4"}), (2, "t", {"x": "2", "quotes": "r"})], schema)
     got = lambda moved: sorted(map(tuple, audit.parse_differences(a, b, "id", moved).collect()), key=str)
     assert got(False) == [(1, "quotes", "q", None), (1, "y", "2", "3"), (1, "z", None, "4")] and got(True) == [(2, "x", "1", "2")]
+
+
+def test_evidence_of_the_source_asked_about(spark):
+    questions = spark.createDataFrame([("q1", "law", "신혼 특공 조건이 뭐야?"), ("q2", "n1", "계약금 언제 내나요?"), ("q3", "n2", "계약금")], "question string, source string, asked string")
+    chunks = [("law", 0, "제41조", "신혼부부 특별공급은", "제41조", 0), ("law", 1, "제41조", "이어지는 조문", "제41조", 1), ("law", 2, "제58조", "신혼부부 신혼부부", "제58조", 0), ("law", 3, "제2조", "정의", "제2조", 0),
+              ("n1", 0, "■ 납부", "계약금 10% 중도금", None, None), ("n1", 1, "", "발코니", None, None), ("n1", 2, "", "계약금 " * 9, None, None)]
+    df = spark.createDataFrame(chunks, "source string, pos int, h string, t string, article string, part int")
+    got = {(r.question, r.pos): r.score for r in retrieval.scored(questions, df).collect()}
+    assert got[("q1", 0)] == 80 + 1 + 1 + 3 and got[("q1", 1)] == 70 and got[("q1", 2)] == 2 + 6 and ("q1", 3) not in got and ("q3", 0) not in got
+    assert got[("q2", 0)] > 0 and got[("q2", 2)] == 3 * 4 + 4 and ("q2", 1) not in got
+    assert [(r.question, r.pos) for r in retrieval.evidence(questions, df, 2, 60).orderBy("question", "pos").collect()] == [("q1", 0), ("q1", 1), ("q2", 0), ("q2", 2)]
