@@ -78,35 +78,50 @@ def price_per_area(listings: DataFrame, trades: DataFrame, band: float = WIDE_BA
     return out.select("district", "area", "n", (F.col("b") * F.col("area")).alias("base"), (F.col("l") * F.col("area")).alias("low"))
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right, which has one row for each key; null keys meet null keys."""
+    named = right.withColumnsRenamed({c: f"__{c}" for c in keys})
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return left.join(named, on).drop(*[f"__{c}" for c in keys])
+
+
 def capped_weights(rows: DataFrame, group: list[str], cap: int = COMPLEX_CAP) -> DataFrame:
-    """rows with weight: a complex with more than cap rows in a group counts as cap rows."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group, "complex"))
-    return rows.withColumn("weight", F.least(n, F.lit(cap)) / n)
+    """rows with weight: a complex with more than cap rows in a group counts as cap rows. Counts are joined, so that a large complex is split like any other join's key."""
+    n = rows.groupBy(*group, "complex").agg(F.count(F.lit(1)).alias("__n"))
+    return _joined(rows, n, [*group, "complex"]).withColumn("weight", F.least("__n", F.lit(cap)) / F.col("__n")).drop("__n")
+
+
+#: Ranges of values that a group is cut into, so that a hot group is many tasks.
+RANGES = 1024
 
 
 def weighted_quantiles(rows: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """One row a group: quantiles of value by weight.
 
     A value's place is the weight before it over all weight but the last value's; between places the quantile is linear.
-    Rows of one value and weight are one row of counts first, so that a hot group is small.
+    Rows of one value and weight are one row of counts first. The weight before a range of values comes from sums by range, of which a group has at most RANGES,
+    and the weight before a row from its own range, so that no window holds a whole group.
     """
-    packed = rows.groupBy(*group, value, "weight").agg(F.count(F.lit(1)).alias("m"))
-    order = Window.partitionBy(*group).orderBy(value, "weight")
-    before = F.coalesce(F.sum(F.col("weight") * F.col("m")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum(F.col("weight") * F.col("m")).over(everything) - F.last("weight").over(everything)
-    placed = packed.withColumn("before", before).withColumn("total", total)
+    packed = rows.groupBy(*group, F.col(value).alias("x"), "weight").agg(F.count(F.lit(1)).alias("m"))
+    ends = packed.groupBy(*group).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.sum(F.col("weight") * F.col("m")) - F.max_by("weight", F.struct("x", "weight"))).alias("total"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(RANGES - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES))).otherwise(0).cast("int")
+    ranged = _joined(packed, ends, group).select(*group, "x", "weight", "m", "total", place.alias("range"))
+    sums = ranged.groupBy(*group, "range").agg(F.sum(F.col("weight") * F.col("m")).alias("s"), F.min("x").alias("start"))
+    over = Window.partitionBy(*group).orderBy("range")
+    sums = sums.select(*group, "range", F.coalesce(F.sum("s").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("left"), F.sum("s").over(over).alias("right"), F.lead("start").over(over).alias("after"))
+    both = _joined(ranged, sums, [*group, "range"])
+    within = Window.partitionBy(*group, "range").orderBy("x", "weight")
+    before = F.col("left") + F.coalesce(F.sum(F.col("weight") * F.col("m")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    share = lambda w: F.when(F.col("total") > 0, w / F.col("total")).otherwise(F.lit(0.0))
     # the places of the first and the last of a row's m equal values, and of the next row's first
-    placed = placed.select(
-        *group, F.col(value).alias("x"), F.when(F.col("total") > 0, F.col("before") / F.col("total")).otherwise(F.lit(0.0)).alias("first"),
-        F.when(F.col("total") > 0, (F.col("before") + F.col("weight") * (F.col("m") - 1)) / F.col("total")).otherwise(F.lit(0.0)).alias("last"),
+    placed = both.withColumn("before", before).select(
+        *group, "x", share(F.col("before")).alias("first"), share(F.col("before") + F.col("weight") * (F.col("m") - 1)).alias("last"),
+        F.coalesce(F.lead("x").over(within), "after").alias("next_x"), F.coalesce(F.lead(share(F.col("before"))).over(within), F.when(F.col("after").isNotNull(), share(F.col("right")))).alias("next_first"),
     )
-    by = Window.partitionBy(*group).orderBy("x", "first")
-    placed = placed.withColumn("next_x", F.lead("x").over(by)).withColumn("next_first", F.lead("first").over(by))
 
     def at(q: float) -> Column:
-        share = F.when(F.col("next_first") == F.col("last"), F.lit(0.0)).otherwise((q - F.col("last")) / (F.col("next_first") - F.col("last")))
-        return F.when(F.col("last") >= q - 1e-12, F.col("x")).when(F.col("next_first") >= q, F.col("x") + (F.col("next_x") - F.col("x")) * share)
+        part = F.when(F.col("next_first") == F.col("last"), F.lit(0.0)).otherwise((q - F.col("last")) / (F.col("next_first") - F.col("last")))
+        return F.when(F.col("last") >= q - 1e-12, F.col("x")).when(F.col("next_first") >= q, F.col("x") + (F.col("next_x") - F.col("x")) * part)
 
     return placed.groupBy(*group).agg(*[F.coalesce(F.min(at(q)), F.max("x")).alias(name) for name, q in quantiles.items()])
 

@@ -454,7 +454,7 @@ def slot_confusion(spark, sf_dir):
 r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || '-7'), doc_id) AS rn FROM documents) SELECT doc_id, lang FROM r JOIN q USING (lang) WHERE rn <= quota""")
 def stratified_sample(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return sets.stratified(docs, "lang", [F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-7")).cast("binary")), F.col("doc_id")], 100)
+    return sets.stratified(docs, "lang", "doc_id", 100, "-7")
 
 
 @query("""SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'F' THEN 0 WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 2 END, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
