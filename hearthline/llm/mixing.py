@@ -8,19 +8,20 @@ a bounded knapsack finds the reachable sum that is nearest to what remains. Of e
 least seeded hashes are taken.
 
 Sizes are counted, summed and joined as DataFrames. A source's histogram, bounded by its number of different
-lengths, is one task's input. A document's rank among those of its source and length comes from counts by hash
-bucket, so that no task orders a whole source, even where a third of all rows share source and length.
+lengths, is one task's input. What is taken of a source and length are the documents up to some hash, so that one row for each of them says it all: texts
+are read where they lie and never shuffled. That hash comes from counts by hash bucket and the one bucket in which it lies, so that no task
+orders a whole source, even where a third of all rows share source and length. Windows over sources have no partition: there is a row for each source.
 
-Defined cases: null and empty texts have size 0 and are taken with 0 words; sources of no words have target 0; rows
-that repeat one doc_id are separate documents, taken in an order that their texts decide, and equal ones alike;
-an empty table gives an empty result.
+Defined cases: null and empty texts have size 0 and are taken with 0 words; very long texts count like others; sources of no words have target 0; rows
+that repeat one doc_id are separate documents, taken in an order that their texts decide, and equal rows alike; other columns, whatever
+their names, pass by; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import persisted, text_of, words_of
@@ -31,18 +32,22 @@ LIMIT = 3
 SEED = 20
 #: Words of the remaining budget that the knapsack fits exactly.
 BUDGET = 1 << 16
-#: Hash buckets of the documents of one source and length.
-BUCKETS = 1024
+#: Bits of the hash by which the documents of one source and length are counted.
+BITS = 10
+#: Most rows of thresholds (one a source and length) that are broadcast.
+LENGTHS = 200_000
 
 
-def sizes(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
-    """doc_id, source, size, h (seeded hash) of each document, and with whole_rows its columns as row."""
+def _hash(doc_id: Column, text: Column) -> Column:
+    """A seeded hash of 63 bits, so that it isn't negative."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id, text), 1)
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, h (seeded hash) of each document. Texts are read here, and nowhere else."""
     text = text_of(docs["text"])
-    row = [F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")] if whole_rows else []
     return docs.select(
-        *row,
-        "doc_id", docs["source"].cast("string").alias("source"), F.size(words_of(text)).cast("long").alias("size"),
-        F.xxhash64(F.lit(SEED), F.col("doc_id"), text).alias("h"),
+        "doc_id", docs["source"].cast("string").alias("source"), F.size(words_of(text)).cast("long").alias("size"), _hash(docs["doc_id"], text).alias("h"),
     )
 
 
@@ -124,11 +129,9 @@ def _fit_source(table: pa.Table) -> pa.Table:
     return pa.table({"source": table.column("source"), "size": table.column("size"), "extra": pa.array(taken, pa.int64())})
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, whole_rows: bool = False) -> DataFrame:
-    """doc_id, size, source, source_size, target, times, taken, h (and row): how often the mix takes each document."""
-    rows = sizes(docs, whole_rows)
-    row = ["row"] if whole_rows else []
-    bucket = F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int")
+def thresholds(rows: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """source, size, source_size, target, passes, upto: one row a source and length. Its documents are taken passes times, and those with a hash up to upto once more."""
+    bucket = F.shiftright("h", 63 - BITS).cast("int")
     rows = rows.withColumn("bucket", bucket)
     histogram = persisted(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mixing-histogram")
     by_length = histogram.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -145,31 +148,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, whole_rows: bool =
         lengths.select("l.source", "l.size", "l.n", "g.budget").groupBy("source").applyInArrow(_fit_source, "source string, size long, extra long"),
         "mixing-extra",
     )
-    # the buckets of a length in order: all of a bucket is taken, none of it, or its first documents
+    # the bucket in which the last document lies that is taken once more, and how many of the bucket are
     in_order = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    e = extra.select(F.col("source").alias("es"), F.col("size").alias("ez"), "extra")
-    quota = persisted(
+    e = extra.where("extra > 0").select(F.col("source").alias("es"), F.col("size").alias("ez"), "extra")
+    cut = (
         histogram.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
-        .join(e, histogram["source"].eqNullSafe(F.col("es")) & (histogram["size"] == F.col("ez")), "left")
-        .select(F.col("source").alias("qs"), F.col("size").alias("qz"), F.col("bucket").alias("qb"), (F.coalesce("extra", F.lit(0)) - F.col("before")).alias("quota"), "n"),
-        "mixing-quota",
-    )
-    joined = (
-        rows.join(quota, rows["source"].eqNullSafe(F.col("qs")) & (rows["size"] == F.col("qz")) & (rows["bucket"] == F.col("qb")))
-        .select(*row, "doc_id", "source", "size", "h", "bucket", "quota", "n")
+        .join(e, histogram["source"].eqNullSafe(F.col("es")) & (histogram["size"] == F.col("ez")))
+        .where("before < extra and before + n >= extra")
+        .select(F.col("source").alias("cs"), F.col("size").alias("cz"), F.col("bucket").alias("cb"), (F.col("extra") - F.col("before")).alias("place"))
     )
-    whole = joined.where("quota <= 0 or quota >= n").withColumn("times", (F.col("quota") > 0).cast("long"))
-    place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
-    partly = joined.where("quota > 0 and quota < n").withColumn("times", (place <= F.col("quota")).cast("long"))
+    cut = persisted(cut, "mixing-cut")
+    last = rows.join(cut, rows["source"].eqNullSafe(F.col("cs")) & (rows["size"] == F.col("cz")) & (rows["bucket"] == F.col("cb")))
+    number = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h"))
+    last = last.withColumn("number", number).where("number = place").select(F.col("source").alias("ls"), F.col("size").alias("lz"), F.col("h").alias("upto"))
     g = goal.select(F.col("source").alias("gs"), "source_size", "target", "passes")
-    out = whole.unionByName(partly)
-    out = out.join(g, out["source"].eqNullSafe(F.col("gs")))
-    times = F.col("times") + F.col("passes")
-    return out.select(*row, "doc_id", "size", "source", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), "h")
+    found = by_length.join(g, by_length["source"].eqNullSafe(F.col("gs"))).join(last, by_length["source"].eqNullSafe(F.col("ls")) & (by_length["size"] == F.col("lz")), "left")
+    return persisted(found.select("source", "size", "source_size", "target", "passes", F.coalesce("upto", F.lit(-1)).alias("upto")), "mixing-thresholds")
+
+
+def _taken(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (source, size, h and more) with source_size, target and times. found: thresholds, broadcast while they are few."""
+    t = found.withColumnsRenamed({"source": "ts", "size": "tz"})
+    if found.limit(LENGTHS + 1).count() <= LENGTHS:
+        t = F.broadcast(t)
+    joined = rows.join(t, rows["source"].eqNullSafe(F.col("ts")) & (rows["size"] == F.col("tz"))).drop("ts", "tz")
+    return joined.withColumn("times", F.col("passes") + (F.col("h") <= F.col("upto")).cast("long")).drop("passes", "upto")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """doc_id, size, source, source_size, target, times, taken, h: how often the mix takes each document."""
+    rows = persisted(sizes(docs), "mixing-sizes")
+    out = _taken(rows, thresholds(rows, weights, limit))
+    return out.select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "h")
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with its columns."""
-    taken = mix(docs, whole_rows=True).where("times > 0")
-    repeated = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time"))
+    found = thresholds(persisted(sizes(docs), "mixing-sizes"))
+    text = text_of(docs["text"])
+    rows = docs.select(
+        F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), docs["source"].cast("string").alias("source"),
+        F.size(words_of(text)).cast("long").alias("size"), _hash(docs["doc_id"], text).alias("h"),
+    )
+    repeated = _taken(rows, found).where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time"))
     return repeated.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
