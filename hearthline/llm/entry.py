@@ -42,6 +42,18 @@ def op5_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 4 THEN CASE WHEN len(ws) = 0 THEN [] ELSE [array_to_string(ws, ' ')] END ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r(u, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.u WHERE r.c < e.v)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(c) FROM r WHERE r.u = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -103,4 +115,4 @@ def _op1_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_digests": _op1_sql(), "op2_streaming_dedup": OP2_SQL}
+    return {"op1_license_digests": _op1_sql(), "op2_streaming_dedup": OP2_SQL, "op5_partenum_jaccard": OP5_SQL}

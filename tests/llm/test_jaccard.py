@@ -83,3 +83,26 @@ def test_empty_nulls_repeats_and_stage(spark):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
     out = jaccard.jaccard_stage(df)
     assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None"]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bit_maps_rule_out_no_link(percent):
+    rnd, sets = np.random.default_rng(8), []
+    for _ in range(60):
+        base = rnd.integers(0, 1 << 63, int(rnd.choice([3, 20, 31, 33, 60, 130, 500])), dtype=np.uint64)
+        for _ in range(4):
+            cut, add = rnd.integers(0, len(base) // 5 + 1, 2)
+            sets.append(np.unique(np.concatenate([base[rnd.permutation(len(base))[cut:]], rnd.integers(0, 1 << 63, add, dtype=np.uint64)])))
+    maps, n = [jaccard.bit_map(s) for s in sets], [len(s) for s in sets]
+    ids = list(range(len(sets)))
+    got = {tuple(sorted(p)) for p in jaccard.near_pairs(ids, n, maps, [i % 2 for i in ids], [i % 7 for i in ids], percent)}
+    links = 0
+    for i in ids:
+        for j in range(i):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * inter >= percent * (n[i] + n[j] - inter) and n[i] and n[j]:
+                assert (100 + percent) * jaccard.apart(maps[i], maps[j]) <= (100 - percent) * (n[i] + n[j])
+                if i % 2 != j % 2 and i % 7 != j % 7:
+                    assert (j, i) in got
+                    links += 1
+    assert links > 40 and len(got) < 3 * links
