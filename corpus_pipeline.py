@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads it back as the
 next stage's docs. All but the last return the columns of documents.
+
+Defined cases: null and empty texts, and texts of white space, fail the quality rules and go; very long texts pass every stage whole; repeated rows
+are judged alike and become one in exact dedup, of equal texts the one with the largest doc_id, and of a group of near copies the one with the
+smallest; a null doc_id passes like others, but is never the reason for another row to go; ties are decided as the stages' operators say; an empty
+table passes every stage; other columns, whatever their names, stay with their rows until the last stage, whose outputs replace columns of their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthline.llm import bpe, dedup, jaccard, mixing, quality
-from hearthline.llm.common import persisted, table
+from hearthline.llm.common import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, tables = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = persisted(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, tables.table(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            tables.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
