@@ -103,7 +103,7 @@ def _op1_sql() -> str:
     values = lambda rows: ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in rows)
     notices = [(i, t) for i, ts in licences.NOTICES.items() for t in ts]
     return f"""
-    WITH known AS (SELECT sha256({_canonical_sql("t")}) AS d, min(i) AS license_id FROM (VALUES {values(licences.LICENCES.items())}) k(i, t) GROUP BY 1),
+    WITH known AS (SELECT d, min(i) AS license_id FROM (SELECT sha256({_canonical_sql("t")}) AS d, i FROM (VALUES {values(licences.LICENCES.items())}) k(i, t) UNION ALL VALUES {values(licences.DIGESTS.items())}) GROUP BY 1),
     notices AS (SELECT {_canonical_sql("t")} AS k, min(i) AS v FROM (VALUES {values(notices)}) n(i, t) GROUP BY 1),
     docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),

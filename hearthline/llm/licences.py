@@ -9,7 +9,7 @@ The join broadcasts the known digests while there are at most KNOWN_BOUND of the
 plain hash join beyond that. Everything is DataFrame expressions over one scan of the documents.
 
 Defined cases: null and empty texts, and texts of punctuation or copyright lines alone, have the empty
-canonical text and no licence; repeated rows give repeated results; of known licences with one canonical text the
+canonical text and no licence; very long texts are made canonical whole; repeated rows give repeated results; of known licences with one canonical text the
 least identifier counts; an empty table gives an empty result; other columns don't matter.
 """
 
@@ -125,6 +125,22 @@ LICENCES = {
     "appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
     "software.\n3. This notice may not be removed or altered from any source distribution.",
 }
+# Digests of the canonical forms of long public licences, whose texts aren't kept here.
+DIGESTS = {
+    "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2": "Apache-2.0",
+    "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0-Perl",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71": "GFDL-1.2",
+    "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68": "GPL-3.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986": "MPL-1.1",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+}
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -157,12 +173,13 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
-    """digest, license_id of the known licences, and of texts (license_id, text), whatever their number."""
+    """digest, license_id of the known licences, by text or by digest, and of texts (license_id, text), whatever their number."""
     rows = spark.createDataFrame(list(LICENCES.items()), "license_id string, text string")
     if texts is not None:
         rows = rows.unionByName(texts.select("license_id", "text"))
     found = rows.where("text is not null").select(digest(F.col("text")).alias("digest"), "license_id")
-    return found.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    long = spark.createDataFrame(list(DIGESTS.items()), "digest string, license_id string")
+    return found.unionByName(long).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, notices: dict[str, list[str]] = NOTICES) -> DataFrame:

@@ -1,6 +1,8 @@
 import textwrap
+from pathlib import Path
 
 import duckdb
+import pytest
 
 from hearthline.llm import entry, licences
 
@@ -53,3 +55,20 @@ def test_oracle(spark):
     out = entry.op1_license_digests(spark, sf)
     assert sorted(out.columns) == sorted(names)
     assert sorted((tuple(r[k] for k in sorted(names)) for r in out.collect()), key=str) == want
+
+
+FOLDER = Path("/usr/share/common-licenses")
+FILES = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0",
+    "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+@pytest.mark.skipif(not FOLDER.is_dir(), reason="the texts of long licences aren't installed")
+def test_long_licences_by_digest(spark):
+    rows = []
+    for i, (file, name) in enumerate(FILES.items()):
+        text = (FOLDER / file).read_text(encoding="utf-8")
+        rows += [(3 * i, text, name), (3 * i + 1, text.upper().replace("\n", "\r\n"), name), (3 * i + 2, text[:-200], None)]
+    got = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()}
+    assert got == {d: n for d, _, n in rows}
