@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from hearthline.functions import text
-from hearthline.operators import audit, conditions, decisions, history, listing, retrieval, rules, state
+from hearthline.operators import audit, conditions, decisions, history, listing, retrieval, rules, sets, state
 
 d = lambda s: dt.date.fromisoformat(s)
 
@@ -88,3 +88,28 @@ def test_evidence_of_the_source_asked_about(spark):
     assert got[("q1", 0)] == 80 + 1 + 1 + 3 and got[("q1", 1)] == 70 and got[("q1", 2)] == 2 + 6 and ("q1", 3) not in got and ("q3", 0) not in got
     assert got[("q2", 0)] > 0 and got[("q2", 2)] == 3 * 4 + 4 and ("q2", 1) not in got
     assert [(r.question, r.pos) for r in retrieval.evidence(questions, df, 2, 60).orderBy("question", "pos").collect()] == [("q1", 0), ("q1", 1), ("q2", 0), ("q2", 2)]
+
+
+def test_states_that_worsen_and_tallies(spark):
+    before = spark.createDataFrame([(1, "ok"), (2, "warn"), (3, "fail"), (4, "odd")], "id int, s string")
+    after = spark.createDataFrame([(1, "warn"), (2, "ok"), (3, "fail"), (4, "no")], "id int, s string")
+    assert [tuple(r) for r in audit.worsened(before, after, ["id"], "s").collect()] == [(1, "ok", "warn")]
+    checks = spark.createDataFrame([("a", True), ("a", None), ("a", False), ("b", True)], "check string, ok boolean")
+    assert sorted(map(tuple, audit.tally(checks).collect())) == [("a", 1, 1, 1), ("b", 1, 0, 0)]
+    results = spark.createDataFrame([("a", True, "x"), ("b", False, "y"), ("c", True, "old"), ("d", True, None)], "check string, ok boolean, fingerprint string")
+    now = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "check string, fingerprint string")
+    assert {r.check: r.status for r in audit.gated(results, now).collect()} == {"a": "passed", "b": "failed", "c": "pending", "d": "pending"}
+
+
+def test_first_rows_wider_sources_and_snapshots(spark):
+    rows = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 3, "z")], "g string, o int, v string")
+    assert sorted(map(tuple, sets.first_rows(rows, "g", ["o"]).collect())) == [("a", 1, "x"), ("b", 3, "z")]
+    pairs = spark.createDataFrame([([1, 2], [1]), ([1], [1, 2]), ([1], [2]), (None, [1]), ([1], None)], "a array<int>, b array<int>")
+    assert [r.w for r in pairs.select(sets.wider_source(F.col("a"), F.col("b")).alias("w")).collect()] == [[1, 2], [1, 2], None, [1], [1]]
+    units = spark.createDataFrame([("n1", "u1", None), ("n1", "u2", 5), ("n2", "u3", None)], "notice string, unit string, duty int")
+    facts = spark.createDataFrame([("n1", 3, "q")], "notice string, duty int, quote string")
+    assert sorted(map(str, sets.with_notice_facts(units, facts, "notice").select("unit", "duty", "quote").collect())) == [
+        "Row(unit='u1', duty=3, quote='q')", "Row(unit='u2', duty=5, quote='q')", "Row(unit='u3', duty=None, quote=None)"]
+    today = spark.createDataFrame([(1, None, True), (2, None, False), (3, "new", False)], "id int, v string, read boolean")
+    before = spark.createDataFrame([(1, "old"), (2, "old"), (3, "old")], "id int, v string")
+    assert sorted((r.id, r.v) for r in sets.revived(today, before, "id", ["v"], F.col("read")).collect()) == [(1, None), (2, "old"), (3, "new")]
