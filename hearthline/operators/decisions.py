@@ -253,3 +253,72 @@ def resupply_check(special_total: Column, sentence: Column, table: Column, units
     differs = ((F.size(want) > 0) & (entries(want) != entries(have))) | (total(have) != special_total)
     filled = (special_total == 0) | ((units == 1) & (F.size(sentence) > 0) & (total(sentence) == special_total))
     return F.when(special_total.isNull(), None).when(table.isNotNull(), F.when(differs, "differs").otherwise("agrees")).when(filled, "filled")
+
+
+# --- conditions of general supply ----------------------------------------------------------------------------------------------------
+
+# Deposits in 10,000 won for homes of up to 85 square metres, by where an applicant lives.
+DEPOSITS = {300: ("서울", "부산"), 250: ("인천", "대구", "광주", "대전", "울산")}
+OTHER_DEPOSIT = 200
+GENERAL_PERCENT, GENERAL_PERCENT_TWO = 100, 200
+TOWN_PERCENT, TOWN_PERCENT_TWO = 130, 200
+
+
+def first_rank_account(since: Column, amount: Column, province: Column, ref: Column, months: Column) -> Column:
+    """struct(period, deposit), each ok or fail, or null where the account's date or amount isn't known: for homes of up to 85 square metres."""
+    need = reduce(lambda out, kv: F.when(province.isin(*kv[1]), kv[0]).otherwise(out), DEPOSITS.items(), F.lit(OTHER_DEPOSIT))
+    state = lambda ok: F.when(ok, "ok").when(~ok, "fail")
+    return F.struct(state(whole_months(since, ref) >= months).alias("period"), state(F.when(province.isNotNull(), amount >= need)).alias("deposit"))
+
+
+def homeless_household(p: dict[str, Column], private: Column | None = None, elder_supply: Column | None = None) -> Column:
+    """ok, warn or fail: whether a household owns no home. A home of parents over 60 is none, but for the supply to those who support parents; a home whose
+    owner isn't known leaves it open; in private supply a household with a home may apply as well."""
+    some = _yes(p["household_homes"].isin("1", "2+"))
+    parents = _yes(p["household"] == "parents") & _yes(p["parents_own"])
+    older = (parents & _yes(p["parents_60"])) | _yes(p["owner"] == "parent60")
+    strict = F.lit(False) if elder_supply is None else _yes(elder_supply)
+    own = _yes(p["owns"]) | (_yes(p["married"]) & _yes(p["spouse_owns"])) | (parents & ~_yes(p["parents_60"])) | _yes(p["owner"] == "other") | (older & strict)
+    state = F.when(own, "fail").when(some & ~older, "warn").otherwise("ok")
+    return state if private is None else F.when(_yes(private), "ok").otherwise(state)
+
+
+def _by_income(p: dict[str, Column], size: Column, one: int, two: int, relaxed: bool) -> Column:
+    month = p["household_income"] * 10000 / 12
+    dual = _yes(p["married"]) & _yes(p["income"] > 0) & _yes(p["spouse_income"] > 0)
+    cap = F.when(dual, two).otherwise(one)
+    if not relaxed:
+        return F.when(month <= income_limit(size, cap), "ok").when(month.isNotNull(), "fail")
+    known = birth_relaxation(p["pregnant"], p["youngest"], p["minors"])
+    sure, most = F.coalesce(known, F.lit(0)), F.when(_yes(known == 0), 0).otherwise(20)
+    return F.when(month <= income_limit(size, cap + sure), "ok").when(month > income_limit(size, cap + most), "fail").when(month.isNotNull(), "warn")
+
+
+def public_general_income(p: dict[str, Column], size: Column) -> Column:
+    """ok, warn or fail for general public supply of small homes; open where births may relax the limit further. Null without an income."""
+    return _by_income(p, size, GENERAL_PERCENT, GENERAL_PERCENT_TWO, True)
+
+
+def town_limits(p: dict[str, Column], size: Column) -> Column:
+    """struct(income, assets) for newlywed towns: total assets (p["assets"], less debts) with a higher limit for one birth, open beyond it up to the one for two."""
+    known, total = birth_relaxation(p["pregnant"], p["youngest"], p["minors"]), p["assets"]
+    assets = (
+        F.when(total <= RENTAL_ASSETS, "ok").when(_yes(known > 0) & (total <= RENTAL_ASSETS_ONE), "ok").when(total.isNull(), None).when(_yes(known == 0) | (total > RENTAL_ASSETS_MORE), "fail").otherwise("warn")
+    )
+    return F.struct(_by_income(p, size, TOWN_PERCENT, TOWN_PERCENT_TWO, False).alias("income"), assets.alias("assets"))
+
+
+def residence_tier(home: Column, home_city: Column, since: Column, province: Column, city: Column, months: Column, others: Column, ref: Column) -> Column:
+    """local, other or none: the notice's own area (a province, or a city in it) lived in for long enough, other provinces that may apply, or neither.
+
+    others: array of provinces. Null where the applicant's province isn't known, or their city where the area is one. A day counts from itself on.
+    """
+    here = (home == province) & F.when(city.isNull(), True).otherwise(F.when(home_city.isNotNull(), F.replace(home_city, F.lit(" "), F.lit("")) == city))
+    long = (F.coalesce(months, F.lit(0)) == 0) | (since <= F.add_months(ref, -F.coalesce(months, F.lit(0))))
+    return F.when(_yes(here & long), "local").when(here.isNull(), None).when(_yes(here & long.isNull()), None).when(_yes(F.array_contains(others, home)) | _yes(here), "other").otherwise("none")
+
+
+def general_rank(first: Column, account: Column) -> Column:
+    """ok, r2, unsure or no: who fails the first rank has the second with any account; an account that isn't known leaves it open. first: ok, warn or fail."""
+    second = F.when(account == "none", "no").when(F.coalesce(account, F.lit("")).isin("", "unknown"), "unsure").otherwise("r2")
+    return F.when(first == "ok", "ok").when(first == "fail", second).otherwise("unsure")
