@@ -187,7 +187,7 @@ def application_points(spark, sf_dir):
 _SPECIAL = f"""WITH p AS ({_PROFILE_FACTS}), a AS (SELECT *, household_income * 10000 / 12.0 AS mon, coalesce(married, false) AND coalesce(income > 0, false) AND coalesce(spouse_income > 0, false) AS two_earn,
   CASE WHEN coalesce(pregnant, false) OR coalesce(youngest >= DATE '2023-03-28', false) THEN CASE WHEN coalesce(minors, 0) >= 2 OR (coalesce(pregnant, false) AND youngest IS NOT NULL) THEN 20 ELSE 10 END
     WHEN (minors = 0 AND NOT pregnant) OR (minors > 0 AND youngest IS NOT NULL AND NOT pregnant) THEN 0 END AS relax FROM p),
-b AS (SELECT *, coalesce(relax, 0) AS r, relax IS NULL OR relax = 10 AS more, CASE WHEN size <= 3 THEN 7533763 WHEN size = 4 THEN 8802202 WHEN size = 5 THEN 9326985 WHEN size = 6 THEN 9906263 WHEN size = 7 THEN 10485541 ELSE 11064819 + 579278 * (size - 8) END AS base FROM a)"""
+b AS (SELECT *, coalesce(relax, 0) AS r, relax IS NULL OR relax = 10 AS more, CAST(CASE WHEN size <= 3 THEN 7533763 WHEN size = 4 THEN 8802202 WHEN size = 5 THEN 9326985 WHEN size = 6 THEN 9906263 WHEN size = 7 THEN 10485541 ELSE 11064819 + 579278 * (size - 8) END AS BIGINT) AS base FROM a)"""
 
 
 def _lim(percent: str) -> str:
@@ -376,3 +376,22 @@ def judged_profiles(spark, sf_dir):
         "id", "profile", "outcome", "reason", "fix", "grade", "lease", F.round("loan", 6).alias("loan"), F.round("gap", 6).alias("gap"), "contract_ok",
         F.when(F.col("verdict").startswith("자금"), "자금 부족").otherwise(F.col("verdict")).alias("verdict"),
     )
+
+
+_CAP = "CASE WHEN two_earn THEN {} ELSE {} END"
+
+
+@query(f"""{_SPECIAL}, h AS (SELECT *, coalesce(household, '') = 'parents' AND coalesce(parents_own, false) AS par, coalesce(parents_60, false) AS p60 FROM b)
+SELECT id, CASE WHEN coalesce(owns, false) OR (coalesce(married, false) AND coalesce(spouse_owns, false)) OR (par AND NOT p60) OR coalesce(owner, '') = 'other' THEN 'fail' WHEN coalesce(household_homes, '') IN ('1', '2+') AND NOT (par AND p60) THEN 'warn' ELSE 'ok' END AS homeless,
+  CASE WHEN mon <= {_lim(_CAP.format(200, 100) + ' + r')} THEN 'ok' WHEN mon > {_lim(_CAP.format(200, 100) + ' + CASE WHEN coalesce(relax, 1) = 0 THEN 0 ELSE 20 END')} THEN 'fail' ELSE 'warn' END AS income,
+  CASE WHEN mon <= {_lim(_CAP.format(200, 130))} THEN 'ok' ELSE 'fail' END AS town_income,
+  CASE WHEN assets <= 36200 OR (coalesce(relax, 0) > 0 AND assets <= 39700) THEN 'ok' WHEN coalesce(relax, 1) = 0 OR assets > 43100 THEN 'fail' ELSE 'warn' END AS town_assets,
+  CASE WHEN {_m('account_since', _R)} >= 24 THEN 'ok' ELSE 'fail' END AS account_period FROM h""")
+def general_supply_states(spark, sf_dir):
+    f, p = _profile(spark, sf_dir)
+    town = decisions.town_limits(p, p["size"])
+    account = decisions.first_rank_account(p["account_since"], F.lit(300), F.lit("서울"), F.lit(_REF).cast("date"), F.lit(24))
+    return f.select(
+        "id", decisions.homeless_household(p).alias("homeless"), decisions.public_general_income(p, p["size"]).alias("income"), town["income"].alias("town_income"),
+        town["assets"].alias("town_assets"), account["period"].alias("account_period"),
+    )
