@@ -162,13 +162,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 SLICE = 2_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into runs of whole rows of about SLICE bytes of text."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of whole rows of about size bytes of text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start, total = 0, 0
         for i, n in enumerate(sizes):
-            if i > start and total + n > SLICE:
+            if i > start and total + n > size:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n

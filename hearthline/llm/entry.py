@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import bpe, dedup, html, jaccard, language, licences, mixing, quality, sharding, toxicity
+from hearthline.llm import bpe, collocations, dedup, html, jaccard, language, licences, mixing, quality, sharding, toxicity
 from hearthline.llm.common import table
 
 
@@ -76,6 +76,28 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("hilbert")
 
 
+def op13_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM ws, (VALUES (1), (2), (3)) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.*, cut, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(p[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(p[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, array_to_string(p[i:i + 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_digests": op1_license_digests,
@@ -88,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_template_text": op8_template_text,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_hilbert_shards": op10_hilbert_shards,
+        "op13_phrase_bitmaps": op13_phrase_bitmaps,
     }
 
 
@@ -115,4 +138,4 @@ def _op1_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_digests": _op1_sql(), "op2_streaming_dedup": OP2_SQL, "op5_partenum_jaccard": OP5_SQL}
+    return {"op1_license_digests": _op1_sql(), "op2_streaming_dedup": OP2_SQL, "op5_partenum_jaccard": OP5_SQL, "op13_phrase_bitmaps": OP13_SQL}
