@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import bpe, collocations, dedup, html, jaccard, language, licences, mixing, quality, sharding, toxicity
+from hearthline.llm import bpe, collocations, dedup, html, jaccard, language, lexical, licences, mixing, quality, sharding, toxicity
 from hearthline.llm.common import table
 
 
@@ -76,6 +76,25 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("hilbert")
 
 
+def op11_tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _terms_sql(of: str, columns: str) -> str:
+    return f"""SELECT {columns}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {of}"""
+
+
+OP11_SQL = f"""
+WITH t AS (SELECT r, doc_id, term, count(*) AS tf FROM ({_terms_sql("(SELECT row_number() OVER () AS r, doc_id, text FROM documents)", "r, doc_id")}) GROUP BY ALL),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM t GROUP BY r), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+i AS (SELECT item_id, term, count(*) AS times FROM ({_terms_sql("(SELECT DISTINCT item_id, text FROM benchmark)", "item_id")}) GROUP BY ALL),
+scored AS (SELECT item_id, r, doc_id, sum(times * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // l))))::BIGINT AS score
+           FROM i JOIN t USING (term) JOIN n USING (r) JOIN df USING (term), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def op13_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -110,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_template_text": op8_template_text,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_hilbert_shards": op10_hilbert_shards,
+        "op11_tiered_index": op11_tiered_index,
         "op13_phrase_bitmaps": op13_phrase_bitmaps,
     }
 
@@ -138,4 +158,4 @@ def _op1_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_digests": _op1_sql(), "op2_streaming_dedup": OP2_SQL, "op5_partenum_jaccard": OP5_SQL, "op13_phrase_bitmaps": OP13_SQL}
+    return {"op1_license_digests": _op1_sql(), "op2_streaming_dedup": OP2_SQL, "op5_partenum_jaccard": OP5_SQL, "op11_tiered_index": OP11_SQL, "op13_phrase_bitmaps": OP13_SQL}
