@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import bpe, collocations, dedup, html, jaccard, language, lexical, licences, mixing, quality, sharding, toxicity
+from hearthline.llm import bpe, collocations, dedup, html, jaccard, language, lexical, licences, mixing, neighbours, quality, sharding, toxicity
 from hearthline.llm.common import table
 
 
@@ -95,6 +95,10 @@ SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION
 """
 
 
+def op12_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op13_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -130,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_hilbert_shards": op10_hilbert_shards,
         "op11_tiered_index": op11_tiered_index,
+        "op12_dimension_scan": op12_dimension_scan,
         "op13_phrase_bitmaps": op13_phrase_bitmaps,
     }
 
