@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import Scratch, slices
 
 #: Bytes of text of a shard.
-SHARD = 12_000_000
+SHARD = 4_000_000
 #: Bits of the filter that marks frequent words or phrases, a power of two and of 32,768 at least.
 FILTER = 1 << 25
 #: Bytes of bitmaps that are extended at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 15
 
 #: No byte of UTF-8.
 BREAK = b"\xff"
@@ -65,7 +65,7 @@ def bitmaps(word: np.ndarray, position: np.ndarray, n_words: int) -> tuple[np.nd
     new = np.ones(len(word), bool)
     new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1])
     starts = np.flatnonzero(new)
-    bits = np.left_shift(1, position & 7).astype(np.uint8)
+    bits = np.left_shift(np.uint8(1), (position & 7).astype(np.uint8))
     bits = np.bitwise_or.reduceat(bits, starts) if len(starts) else bits
     ends = np.cumsum(np.bincount(word[starts], minlength=n_words))
     return ends.astype(np.int64), place[starts].astype(np.int32), bits
@@ -83,17 +83,19 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = by_lang.get(lang) or by_lang.setdefault(lang, _Ids(lang, all_words))
             runs.append(np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens)))
         stream = np.concatenate(runs)
-        position = np.flatnonzero(stream >= 0)
+        position = np.flatnonzero(stream >= 0).astype(np.int32)
         word = stream[position]
+        f = np.bincount(word, minlength=len(all_words)).astype(np.int64)
         order = np.argsort(word, kind="stable")
         ends, places, bits = bitmaps(word[order], position[order], len(all_words))
+        del runs, stream, position, word, order
         seeds = {lang: xxhash.xxh3_64_intdigest(lang) for lang in by_lang}
         h = np.array([xxhash.xxh3_64_intdigest(w, seed=seeds[lang]) for lang, w in all_words], np.uint64).view(np.int64)
-        f = np.bincount(word, minlength=len(all_words)).astype(np.int64)
         columns = [pa.array([lang for lang, _ in all_words], pa.string()), pa.array([w for _, w in all_words], pa.binary()).cast(pa.string()), pa.array(h), pa.array(f)]
         words = pa.ListArray.from_arrays(pa.array([0, len(all_words)], pa.int32()), pa.StructArray.from_arrays(columns, names=[n for n, _ in WORDS]))
         packed = [pa.array([x.tobytes()], pa.binary()) for x in (ends, places, bits)]
         yield pa.RecordBatch.from_arrays([words, *packed], names=["words", "ends", "places", "bits"])
+        pa.default_memory_pool().release_unused()
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -126,10 +128,10 @@ class Shard:
     """The bitmaps of a shard's words that the first filter lets pass, by word and by place."""
 
     def __init__(self, h: np.ndarray, ends: np.ndarray, places: np.ndarray, bits: np.ndarray, filters: list[np.ndarray]):
-        word = np.repeat(np.arange(len(h)), np.diff(ends, prepend=0))
+        word = np.repeat(np.arange(len(h), dtype=np.int32), np.diff(ends, prepend=0))
         keep = _passes(filters[0], [h])[word]
         self.h, self.filters = h, filters
-        self.word, self.place, self.bits = word[keep], places[keep].astype(np.int64), bits[keep]
+        self.word, self.place, self.bits = word[keep], places[keep], bits[keep]
         by_place = np.argsort(self.place, kind="stable")
         self.at_word, self.at_bits = self.word[by_place], self.bits[by_place]
         last = int(self.place.max(initial=0)) + 1
@@ -155,7 +157,7 @@ class Shard:
         both = bits[entry] & self.at_bits[at]
         hit = np.flatnonzero(both)
         both, entry, word = both[hit], entry[hit], self.at_word[at[hit]]
-        longer, which = np.unique(of[entry] * len(self.h) + word, return_inverse=True)
+        longer, which = np.unique(of[entry].astype(np.int64) * len(self.h) + word, return_inverse=True)
         child = np.column_stack([phrases[longer // len(self.h)], longer % len(self.h)])
         hashes = [self.h[child[:, i]] for i in range(child.shape[1])]
         length = child.shape[1]
@@ -204,10 +206,12 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     out = Scratch(spark, "collocations-result")
     with Scratch(spark, "collocations") as scratch:
         parts = scratch.table(shards(docs), "shards")
-        by_hash = parts.selectExpr("inline(words)").groupBy("h").agg(F.sum("f").alias("f"), F.min(F.struct("lang", "word")).alias("w"), F.max(F.struct("lang", "word")).alias("other"))
-        same = F.when(F.col("w") == F.col("other"), F.col("w")).otherwise(F.raise_error(F.lit("two words have one hash")))
-        words = scratch.table(by_hash.select(F.col("h").alias("h1"), "f", same.alias("w")).select("h1", "f", "w.*"), "words")
-        totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+        each = parts.selectExpr("inline(words)")
+        totals = scratch.table(each.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+        words = each.groupBy("lang", "word", F.col("h").alias("h1")).agg(F.sum("f").alias("f"))
+        words = scratch.table(words, "words")
+        if not words.groupBy("h1").count().where("count > 1").isEmpty():
+            raise ValueError("two words have one hash")
         words = words.where(F.col("f") >= least)
         known, filters = {1: words.select("h1", "f")}, [filter_of(words.select("h1"))]
         for k in range(2, longest + 1):
