@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hearthline.functions import rents
 from hearthline.operators import tiers
 from hearthline.plans.registry import cases, facts, query
 
@@ -141,3 +143,35 @@ SELECT tier, rule, state, count(*) AS n FROM r WHERE state IN ('check', 'no', 'n
 def rental_tier_reasons(spark, sf_dir):
     """How often each rule stands in the way of a tier."""
     return tiers.count_states(_rows(spark, sf_dir).withColumn("tier", F.col("g.key")), ["tier"]).where("state <> 'ok'")
+
+
+# --- rent tables ---------------------------------------------------------------------------------------------------------------------
+
+_TYPES, _TIER_WORDS = ["26A", "36", "46.98B", "59", "84C"], ["고령자", "대학생", "청년(소득 있음)", "주거급여 수급자", "신혼부부"]
+_TIER_NAMES = ["고령자", "대학생", "청년(소득 있음)", "주거급여수급자", "신혼부부·한부모"]
+#: Orders are notices and their lines rows of a table; one in nine doesn't add up. Layouts: 0 plain, 1 in thousands, 2 the contract part once, 3 the type once, with words and dates between.
+_RENTS = f"""SELECT l_orderkey AS notice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS no, l_orderkey % 4 AS layout, {cases('(l_orderkey + l_linenumber)', _TYPES)} AS type, {cases('(l_linenumber * 3 + l_orderkey)', _TIER_WORDS)} AS word,
+  {cases('(l_linenumber * 3 + l_orderkey)', _TIER_NAMES)} AS tier, (10 + l_partkey % 90) * 100000 + 1000 * row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS contract, (10 + l_suppkey * 7 % 900) * 100000 AS balance, 10500 + 1000 * (l_partkey * 13 % 800) AS rent, (l_partkey + l_linenumber) % 9 = 4 AS wrong FROM lineitem"""
+
+
+@query(f"""WITH r AS ({_RENTS}), first AS (SELECT notice, min(no) AS no FROM r GROUP BY notice), f AS (SELECT r.notice, r.contract, r.type FROM r JOIN first ON r.notice = first.notice AND r.no = first.no),
+a AS (SELECT r.notice, r.no, CASE WHEN layout = 3 THEN f.type ELSE r.type END AS type, tier, CASE WHEN layout = 2 THEN f.contract ELSE r.contract END AS contract, balance, rent, wrong AND NOT (layout = 2 AND first.no = r.no) AS wrong
+      FROM r JOIN f ON f.notice = r.notice JOIN first ON first.notice = r.notice),
+g AS (SELECT notice, type, tier, contract + balance AS deposit, contract, rent, min(no) AS no FROM a WHERE NOT wrong GROUP BY ALL)
+SELECT notice, CAST(row_number() OVER (PARTITION BY notice ORDER BY no) AS INT) AS line, type, tier, deposit, contract, rent FROM g""")
+def rent_tables(spark, sf_dir):
+    """Rows read back out of texts that are made of the lines of orders."""
+    r, c = facts(spark, sf_dir, _RENTS, "lineitem"), F.col
+    first = F.col("no") == F.min("no").over(Window.partitionBy("notice"))
+    r = r.withColumn("first", first).withColumn("own", F.first(F.when(c("first"), c("contract")), ignorenulls=True).over(Window.partitionBy("notice")))
+    contract = F.when(c("layout") == 2, c("own")).otherwise(c("contract"))
+    deposit = contract + c("balance") + F.when(c("wrong") & ~((c("layout") == 2) & c("first")), 50000).otherwise(0)
+    amount = lambda x: F.format_number(F.when(c("layout") == 1, x / 1000).otherwise(x), 0)
+    says = F.when((c("layout") == 3) & ~c("first"), "다음").otherwise(c("type"))
+    note = F.when(c("layout") == 3, "공고일 2026.10.05 전환 6.5% 적용").otherwise("")
+    part = F.when((c("layout") == 2) & ~c("first"), "").otherwise(amount(contract))
+    line = F.concat_ws(" ", says, "word", amount(deposit), part, note, amount(c("balance")), F.format_number("rent", 0))
+    head = F.when(c("layout") == 1, "(단위: 천원) 임대보증금").otherwise("임대보증금(원) 계약금 잔금 월임대료")
+    texts = r.groupBy("notice", head.alias("head")).agg(F.array_sort(F.collect_list(F.struct("no", line.alias("line")))).alias("lines"))
+    texts = texts.select("notice", F.concat_ws("\n", "head", F.concat_ws("\n", "lines.line")).alias("body"))
+    return rents.rent_rows(texts, "notice", "body")
