@@ -563,4 +563,4 @@ def intent_classes(spark, sf_dir):
 
 
 # modules that register more
-from hearthline.plans import extracts, notices, rentals, snapshots  # noqa: E402, F401
+from hearthline.plans import asked, extracts, notices, rentals, snapshots  # noqa: E402, F401
