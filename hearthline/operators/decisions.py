@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # 100 % of the monthly income by household size (3 or fewer to 8), and what each further person adds.
@@ -103,10 +103,15 @@ def application_points(p: dict[str, Column], ref: Column) -> Column:
 
 # --- special supply -------------------------------------------------------------------------------------------------------------
 
-def income_limit(size: Column, percent: Column) -> Column:
-    """The monthly limit of a household: rounded as notices' tables are."""
+def income_base(size: Column) -> Column:
+    """The monthly income of a household that percentages are of."""
     base = F.get(F.lit(list(INCOME_3_TO_8)), F.greatest(F.lit(0), F.least(F.lit(5), size - 3))) + INCOME_ADDED * F.greatest(F.lit(0), size - 8)
-    return F.floor((base.cast("long") * percent + 50) / 100)
+    return base.cast("long")
+
+
+def income_limit(base: Column, percent: Column) -> Column:
+    """Rounded as notices' tables are."""
+    return F.floor((base * percent + 50) / 100)
 
 
 def birth_relaxation(pregnant: Column, youngest: Column, minors: Column) -> Column:
@@ -126,35 +131,32 @@ def _by_relaxation(add: Column, limits: dict[int, int]) -> Column:
     return F.when(add == 10, limits[10]).when(add == 20, limits[20]).otherwise(limits[0])
 
 
-def public_special(kind: str, p: dict[str, Column], size: Column) -> Column:
+def _first_stage(ok) -> Column:
+    """The name of the first stage, of the column `stages`, that ok(stage) holds for."""
+    return F.get(F.filter("stages", ok), F.lit(0))["name"]
+
+
+def _public(p: dict[str, Column]) -> Column:
     """struct(state, stage) of public special supply: the first stage whose income limit holds, then assets; open where a larger relaxation may apply."""
-    month, stages = p["household_income"] * 10000 / 12, PUBLIC_STAGES[kind]
-    dual = _yes(p["married"]) & _yes(p["income"] > 0) & _yes(p["spouse_income"] > 0)
-    known = birth_relaxation(p["pregnant"], p["youngest"], p["minors"])
+    month, dual, known, base = (F.col(f"__{c}") for c in ("month", "dual", "relaxed", "base"))
     add = F.coalesce(known, F.lit(0))
     may_be_more = F.coalesce(known.isNull() | (known == 10), F.lit(True))  # 20 is the most, and a known 0 stays
-    stage = F.coalesce(*[F.when(month <= income_limit(size, F.when(dual, two).otherwise(one) + add), name) for name, one, two in stages])
-    estate, car = _zero(p["estate"]), _zero(p["car"])
-    over = [(v, _by_relaxation(add, lim), lim[20]) for v, lim in ((estate, ESTATE_LIMITS), (car, CAR_LIMITS))]
+    percent = lambda s: F.when(dual, s["two"]).otherwise(s["one"])
+    stage = _first_stage(lambda s: month <= income_limit(base, percent(s) + add))
+    over = [(_zero(p["estate"]), _by_relaxation(add, ESTATE_LIMITS), ESTATE_LIMITS[20]), (_zero(p["car"]), _by_relaxation(add, CAR_LIMITS), CAR_LIMITS[20])]
     fails = _any(*[(v > lim) & ~(may_be_more & (v <= most)) for v, lim, most in over])
     open_ = _any(*[v > lim for v, lim, _ in over])
-    _, one, two = stages[-1]
-    near = may_be_more & (month <= income_limit(size, F.when(dual, two).otherwise(one) + 20))
+    near = may_be_more & (month <= income_limit(base, percent(F.element_at("stages", -1)) + 20))
     return F.when(stage.isNotNull(), F.when(fails, _result("fail")).when(open_, _result("warn")).otherwise(_result("ok", stage))).otherwise(_result(F.when(near, "warn").otherwise("fail")))
 
 
-def private_special(kind: str, p: dict[str, Column], size: Column) -> Column:
+def _private(p: dict[str, Column]) -> Column:
     """struct(state, stage) of private special supply; over the last stage the draw is open to those with little real estate."""
-    month = p["household_income"] * 10000 / 12
-    dual = _yes(p["married"]) & _yes(p["income"] > 0) & _yes(p["spouse_income"] > 0)
+    month, dual, base = (F.col(f"__{c}") for c in ("month", "dual", "base"))
     less = F.least(_zero(p["income"]), _zero(p["spouse_income"])) * 10000 / 12
-    found = []
-    for name, one, two in PRIVATE_STAGES[kind]:
-        ok = month <= income_limit(size, F.when(dual, two or one).otherwise(one))
-        if kind == "newlywed":
-            ok = ok & (~dual | (less <= income_limit(size, F.lit(one))))
-        found.append(F.when(ok, name))
-    stage = F.coalesce(*found, F.when(_zero(p["estate"]) <= PRIVATE_ESTATE, "추첨"))
+    alone = lambda s: (F.col("kind") != "newlywed") | ~dual | (less <= income_limit(base, s["one"]))
+    found = _first_stage(lambda s: (month <= income_limit(base, F.when(dual, s["two"]).otherwise(s["one"]))) & alone(s))
+    stage = F.coalesce(found, F.when(_zero(p["estate"]) <= PRIVATE_ESTATE, "추첨"))
     return F.when(stage.isNotNull(), _result("ok", stage)).otherwise(_result("fail"))
 
 
@@ -168,24 +170,45 @@ RENTAL_STAGES = {
 }
 
 
-def rental_special(kind: str, p: dict[str, Column], size: Column) -> Column:
-    """struct(state, stage) of rental special supply: income by size from one person up, and total assets (p["assets"], less debts)."""
-    month = p["household_income"] * 10000 / 12
-    dual = _yes(p["married"]) & _yes(p["income"] > 0) & _yes(p["spouse_income"] > 0) & (size > 1)
-    base = F.get(F.lit(list(INCOME_1_TO_8)), size - 1).cast("long")
-    stages, of_two = RENTAL_STAGES[kind]
-    pairs = [(name, one, two, *(of_two[i] if of_two else (one, two))) for i, (name, one, two) in enumerate(stages)]
-    percent = lambda one, two, one2, two2: F.when(size == 2, F.when(dual, two2).otherwise(one2)).otherwise(F.when(dual, two).otherwise(one))
+def _rental(p: dict[str, Column]) -> Column:
+    """struct(state, stage) of rental special supply: income by size, and total assets (p["assets"], less debts). Sizes that the notice's table hasn't are open."""
+    month, dual, relaxed, base, size = (F.col(f"__{c}") for c in ("month", "dual", "relaxed", "rental_base", "size"))
+    dual = dual & (size > 1)
+    percent = lambda s: F.when(size == 2, F.when(dual, s["two2"]).otherwise(s["one2"])).otherwise(F.when(dual, s["two"]).otherwise(s["one"]))
     # the notice's tables cut fractions of a won
-    stage = F.coalesce(*[F.when(month <= F.floor(base * percent(*ps) / 100), name) for name, *ps in pairs])
-    relaxed, total = birth_relaxation(p["pregnant"], p["youngest"], p["minors"]), p["assets"]
+    stage = _first_stage(lambda s: month <= F.floor(base * percent(s) / 100))
+    total = p["assets"]
     over = total > RENTAL_ASSETS
     fails = over & (_yes(relaxed == 0) | (total > RENTAL_ASSETS_MORE))
-    open_ = over & ~fails & ~(_yes(relaxed > 0) & (total <= RENTAL_ASSETS_ONE))
-    near = F.coalesce(relaxed != 0, F.lit(True)) & (month <= base * (percent(*pairs[-1][1:]) + 20) / 100)
+    open_ = base.isNull() | (over & ~fails & ~(_yes(relaxed > 0) & (total <= RENTAL_ASSETS_ONE)))
+    near = F.coalesce(relaxed != 0, F.lit(True)) & (month <= base * (percent(F.element_at("stages", -1)) + 20) / 100)
     return F.when(fails, _result("fail")).when(open_, _result("warn")).when(stage.isNull(), _result(F.when(near, "warn").otherwise("fail"))).otherwise(_result("ok", stage))
 
 
+def _table(stages: dict, of_two: dict | None = None) -> Column:
+    """Array of struct(kind, stages) out of a table of stages: their names and percentages, those of two earners and of two people too."""
+    def stage(kind: str, i: int, name: str, one: int, two: int | None) -> Column:
+        one2, two2 = of_two[kind][i] if of_two and of_two[kind] else (one, two or one)
+        return F.struct(F.lit(name).alias("name"), *[F.lit(v).alias(c) for c, v in (("one", one), ("two", two or one), ("one2", one2), ("two2", two2))])
+
+    return F.array(*[F.struct(F.lit(k).alias("kind"), F.array(*[stage(k, i, *s) for i, s in enumerate(found)]).alias("stages")) for k, found in stages.items()])
+
+
+def special_supply(df: DataFrame, p: dict[str, Column], size: Column, scheme: str) -> DataFrame:
+    """df's rows for each kind of special supply of a scheme (public, private or rental), with kind, state and stage.
+
+    What the kinds share is computed once; a kind's stages come out of a table with it, so that a rule stands in the plan once, not once for each kind and stage.
+    """
+    tables = {"public": (_table(PUBLIC_STAGES), _public), "private": (_table(PRIVATE_STAGES), _private), "rental": (_table({k: s for k, (s, _) in RENTAL_STAGES.items()}, {k: t for k, (_, t) in RENTAL_STAGES.items()}), _rental)}
+    table, rule = tables[scheme]
+    shared = df.withColumns({
+        "__size": size, "__month": p["household_income"] * 10000 / 12, "__dual": _yes(p["married"]) & _yes(p["income"] > 0) & _yes(p["spouse_income"] > 0),
+        "__relaxed": birth_relaxation(p["pregnant"], p["youngest"], p["minors"]), "__base": income_base(size), "__rental_base": F.get(F.lit(list(INCOME_1_TO_8)), size - 1).cast("long"),
+    })
+    each = shared.select("*", F.inline(table)).withColumn("__r", rule(p))
+    return each.select(*df.columns, "kind", "__r.state", "__r.stage")
+
+
 def youth_special(p: dict[str, Column], ref: Column) -> Column:
     """struct(state, stage) of youth special supply: age 19 to 39, unmarried, never an owner, account, income, own and parents' assets."""
     late, early = F.add_months(ref, -12 * 19), F.add_months(ref, -12 * 40)

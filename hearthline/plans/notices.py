@@ -211,8 +211,7 @@ _PUBLIC_ALL = " UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM ({_public_sql(k)
 @query(_PUBLIC_ALL)
 def public_special_supply(spark, sf_dir):
     f, p = _profile(spark, sf_dir)
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), decisions.public_special(k, p, p["size"]).alias("r")) for k in decisions.PUBLIC_STAGES])
-    return f.select("id", F.explode(each).alias("x")).select("x.kind", "id", "x.r.state", "x.r.stage")
+    return decisions.special_supply(f, p, p["size"], "public").select("kind", "id", "state", "stage")
 
 
 def _private_sql(kind: str) -> str:
@@ -226,24 +225,22 @@ def _private_sql(kind: str) -> str:
 @query(" UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM ({_private_sql(k)})" for k in decisions.PRIVATE_STAGES))
 def private_special_supply(spark, sf_dir):
     f, p = _profile(spark, sf_dir)
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), decisions.private_special(k, p, p["size"]).alias("r")) for k in decisions.PRIVATE_STAGES])
-    return f.select("id", F.explode(each).alias("x")).select("x.kind", "id", "x.r.state", "x.r.stage")
+    return decisions.special_supply(f, p, p["size"], "private").select("kind", "id", "state", "stage")
 
 
 def _rental_sql(kind: str) -> str:
     stages, of_two = decisions.RENTAL_STAGES[kind]
     percents = [(n, f"CASE WHEN size = 2 THEN CASE WHEN d2 THEN {t[1]} ELSE {t[0]} END ELSE CASE WHEN d2 THEN {two} ELSE {one} END END") for (n, one, two), t in zip(stages, of_two or [s[1:] for s in stages], strict=True)]
     pick = " ".join(f"WHEN mon <= floor(b8 * ({p}) / 100) THEN '{n}'" for n, p in percents)
-    return f"""{_SPECIAL}, c0 AS (SELECT *, two_earn AND size > 1 AS d2, list_value(3813363, 5866270, 8168429, 8802202, 9326985, 9906263, 10485541, 11064819)[size]::BIGINT AS b8 FROM b WHERE size BETWEEN 1 AND 8),
+    return f"""{_SPECIAL}, c0 AS (SELECT *, two_earn AND size > 1 AS d2, list_value(3813363, 5866270, 8168429, 8802202, 9326985, 9906263, 10485541, 11064819)[size]::BIGINT AS b8 FROM b),
     c AS (SELECT *, CASE {pick} END AS s0, assets > 36200 AND (coalesce(relax = 0, false) OR assets > 43100) AS bad, assets > 36200 AND NOT (coalesce(relax > 0, false) AND assets <= 39700) AS open, coalesce(relax <> 0, true) AND mon <= b8 * (({percents[-1][1]}) + 20) / 100.0 AS near FROM c0)
-    SELECT id, CASE WHEN bad THEN 'fail' WHEN open THEN 'warn' WHEN s0 IS NOT NULL THEN 'ok' WHEN near THEN 'warn' ELSE 'fail' END AS state, CASE WHEN NOT bad AND NOT open THEN s0 END AS stage FROM c"""
+    SELECT id, CASE WHEN bad THEN 'fail' WHEN open OR b8 IS NULL THEN 'warn' WHEN s0 IS NOT NULL THEN 'ok' WHEN near THEN 'warn' ELSE 'fail' END AS state, CASE WHEN NOT bad AND NOT open THEN s0 END AS stage FROM c"""
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM ({_rental_sql(k)})" for k in decisions.RENTAL_STAGES))
 def rental_special_supply(spark, sf_dir):
     f, p = _profile(spark, sf_dir)
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), decisions.rental_special(k, p, p["size"]).alias("r")) for k in decisions.RENTAL_STAGES])
-    return f.where("size between 1 and 8").select("id", F.explode(each).alias("x")).select("x.kind", "id", "x.r.state", "x.r.stage")
+    return decisions.special_supply(f, p, p["size"], "rental").select("kind", "id", "state", "stage")
 
 
 @query(f"""{_SPECIAL}, c AS (SELECT *, coalesce(relax, 10) <> 0 AS may, income * 10000 / 12.0 > 5338708 AS rich, coalesce(owns, false) OR coalesce(ever_owned, false) AS owned, date_diff('month', DATE '2000-01-01', {_R}) AS x FROM b),

@@ -212,8 +212,9 @@ def related_items(spark, sf_dir):
 
 @query()
 def version_strengths(spark, sf_dir):
-    """Iterative; tests hold it against a plain loop."""
-    games = facts(spark, sf_dir, "SELECT l_returnflag AS a, l_linestatus AS b, CASE WHEN l_partkey % 5 = 0 THEN 'tie' WHEN l_suppkey % 3 = 0 THEN l_returnflag ELSE l_linestatus END AS winner FROM lineitem WHERE l_returnflag <> l_linestatus", "lineitem")
+    """Suppliers of neighbouring lines of an order; the larger discount wins. Iterative; tests hold it against a plain loop."""
+    games = facts(spark, sf_dir, """SELECT CAST(a AS STRING) AS a, CAST(b AS STRING) AS b, CASE WHEN da = db THEN 'tie' WHEN da > db THEN CAST(a AS STRING) ELSE CAST(b AS STRING) END AS winner
+      FROM (SELECT l_suppkey AS a, l_discount AS da, lead(l_suppkey) OVER w AS b, lead(l_discount) OVER w AS db FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) x WHERE b IS NOT NULL AND a <> b""", "lineitem")
     return audit.strengths(games)
 
 
