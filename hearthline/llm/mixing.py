@@ -3,8 +3,9 @@
 Targets: sources in code point order, null last, weigh by a repeating list and share the total size; no target
 exceeds LIMIT times its source's size, and the excess is shared again by weight among the others until none is above.
 A source's target is r whole passes over it and a remaining budget. The budget is fitted on the histogram of
-exact lengths, never on documents: above BUDGET words a proportional share of every length is taken first, and
-a bounded knapsack finds the reachable sum that is nearest to what remains. Of each length, the documents with the
+exact lengths, never on documents, by one law for all sizes: but for a reserve of RESERVE typical documents, every length gives the same share of its words; what a length can't give in
+whole documents is carried to the next shorter one, so that long and short documents are taken alike. Then a bounded knapsack, over lengths in a seeded order, finds the reachable sum that is
+nearest to the reserve and what was carried last. Its memory goes with the reserve, never with the longest text. Of each length, the documents with the
 least seeded hashes are taken.
 
 Sizes are counted, summed and joined as DataFrames. A source's histogram, bounded by its number of different
@@ -30,8 +31,8 @@ WEIGHTS = (1, 2, 3)
 #: A document is taken this often at most, and a target is at most this many times its source's size.
 LIMIT = 3
 SEED = 20
-#: Words of the remaining budget that the knapsack fits exactly.
-BUDGET = 1 << 16
+#: Documents of the median length that the knapsack fits, and most words that they have.
+RESERVE, BUDGET = 64, 1 << 20
 #: Bits of the hash by which the documents of one source and length are counted.
 BITS = 10
 #: Most rows of thresholds (one a source and length) that are broadcast.
@@ -73,26 +74,41 @@ def targets(by_source: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFr
     return shared.select("source", "source_size", target.alias("target"))
 
 
+def _shared(length: np.ndarray, count: np.ndarray, share: float) -> np.ndarray:
+    """Documents of each length, lengths descending, so that each gives its share of words; what it can't give is carried on."""
+    taken, carry = np.zeros(len(length), np.int64), 0.0
+    for i, (n, c) in enumerate(zip(length.tolist(), count.tolist(), strict=True)):
+        want = share * n * c + carry
+        taken[i] = min(c, int(want // n))
+        carry = want - int(taken[i]) * n
+    return taken
+
+
 def fit_budget(length: np.ndarray, count: np.ndarray, budget: float, most: int = BUDGET) -> np.ndarray:
     """How many documents of each length to take, so that their sum is near budget. Lengths differ and are positive."""
-    order = np.argsort(length)
+    order = np.argsort(-length)
     length, count = length[order].astype(np.int64), count[order].astype(np.int64)
-    taken = np.zeros(len(length), np.int64)
     total = int((length * count).sum())
     goal = min(total, int(round(budget)))
-    if goal > most:
-        taken = np.floor(count * ((goal - most / 2) / total)).astype(np.int64)
-        left = goal - int((length * taken).sum())
-        for i in range(len(length) - 1, -1, -1):  # what rounding down left over
-            if left <= most:
-                break
-            more = min(count[i] - taken[i], (left - most // 2) // length[i])
-            taken[i] += max(0, more)
-            left -= int(length[i]) * max(0, int(more))
-        goal = left
-    top = goal + int(length[-1]) if len(length) else 0  # sums over the goal may be nearer to it
-    via, reach, mask, steps = np.full(top + 1, -1, np.int64), 1, (1 << (top + 1)) - 1, []
-    for i in range(len(length)):
+    if not goal:
+        return np.zeros(len(order), np.int64)
+    median = int(length[np.searchsorted(np.cumsum(count), count.sum() / 2)])
+    reserve = min(goal, RESERVE * median, most)
+    taken = _shared(length, count, (goal - reserve) / total)
+    goal -= int((length * taken).sum())
+    free_now = np.flatnonzero(count > taken)
+    least = int(length[free_now].min()) if len(free_now) else 0
+    # what was carried last is less than the shortest document that is free
+    if not len(free_now) or least > min(goal, most):
+        one = free_now[np.argsort(np.abs(length[free_now] - goal))[:1]]
+        taken[one] += np.abs(length[one] - goal) < goal
+        out = np.zeros(len(taken), np.int64)
+        out[order] = taken
+        return out
+    top = min(2 * goal, goal + int(length[free_now].max()))  # sums over the goal may be nearer to it
+    fit = free_now[length[free_now] <= top]
+    via, reach, mask, steps = np.full(top + 1, -1, np.int32), 1, (1 << (top + 1)) - 1, []
+    for i in np.random.default_rng(SEED).permutation(fit).tolist():
         free, size = int(min(count[i] - taken[i], top // length[i])), 1
         while free > 0 and not reach >> goal & 1:
             n = min(size, free)

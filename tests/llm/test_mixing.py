@@ -57,6 +57,29 @@ def test_large_budget_is_met():
     assert (taken <= count).all() and int((length * taken).sum()) == budget
 
 
+@pytest.mark.parametrize("words", [40_000, 65_000, 66_000, 300_000, 5_000_000])
+def test_one_law_for_all_sizes(words):
+    """Long and short documents are taken alike, and the budget is met, whatever the size of a source."""
+    rng = np.random.default_rng(words)
+    length, count = np.unique(rng.integers(5, 600, max(40, words // 300)), return_counts=True)
+    budget = int((length * count).sum() * 0.3)
+    taken = mixing.fit_budget(length, count, budget)
+    assert int((length * taken).sum()) == budget
+    share = lambda some: (length * taken)[some].sum() / (length * count)[some].sum()
+    half = np.searchsorted(np.cumsum(length * count), (length * count).sum() / 2)
+    # the knapsack's part, the same number of documents for all sizes, is what may be uneven
+    assert abs(share(slice(0, half)) - share(slice(half, None))) < 0.02 + 64 * 300 / words
+
+
+def test_very_long_texts_cost_no_memory():
+    length, count = np.array([10**9, 7, 3]), np.array([1, 100, 100])
+    taken = mixing.fit_budget(length, count, 500.0)
+    assert taken[0] == 0 and int((length * taken).sum()) == 500
+    assert mixing.fit_budget(length, count, 0.0).sum() == 0
+    assert (mixing.fit_budget(length, count, float((length * count).sum())) == count).all()
+    assert mixing.fit_budget(np.array([10**8]), np.array([3]), 1.4 * 10**8).tolist() == [1]
+
+
 def test_mix_of_documents(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join("w" * rnd.randrange(0, 30)) or None, rnd.choice(["a", "b", "c", "c", "c", "c", None]), i) for i in range(900)]
