@@ -1,15 +1,17 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page's tokens are its elements, told apart by their path (tag, class and id of the element and all around it), and
-its text runs outside articles. A token's occurrence vector is how often each page of the host has it; tokens of one host
+its text runs outside articles; an article is one token with the length of its text. A token's occurrence vector is how often each page of the host has it; tokens of one host
 with equal vectors form a class (Arasu and Garcia-Molina 2003). A class is valid if the elements around its tokens all
 belong to one class, in which it is then nested; the class of the page's root and the valid classes below it are the host's
 template. Its slots are what varies. Identical pages of a host are one page to the template, so copies don't look like a template.
 
 The template decides on text: runs that are tokens of it are boilerplate, except where what varies stands directly around them (SHARE), as
 in the parent of an article's blocks; an element of it whose slots hold links mostly (LINKED), several each time, is a menu or a list
-of other pages; all other slots are content. Where pages mark an article or a main part, that is the content slot, and only what it holds is read.
-Elements whose tag or role says menu, header, footer, form, script or the like are left out everywhere. Names (class, id) break ties: one that consists
+of other pages; all other slots are content. A host's main slots are those that hold MOST of what varies on the pages that have them. Where a main slot is an article or a main
+part by its tag, only it is read; where it isn't, what pages mark as articles are cards or teasers beside it and are left out. Tags break the tie where no main slot was deduced,
+or the page hasn't it: what is marked as an article is read if it is as long as all other slots, and else these.
+Elements whose tag or role says menu, header, footer, form, script or the like are left out everywhere, an article's own header element too. Names (class, id) break ties: one that consists
 of such words only leaves its element out outside the content slot, unless it holds MOST of what varies on the host; inside the content slot only
 names of adverts, consent and reader comments count, and names of two such words (share-buttons), never a single word like header or related.
 
@@ -108,13 +110,13 @@ ROOT = _hash("#page")
 
 
 class _Element:
-    """block: index in the stack of the nearest block, itself included. barred: inside a menu or the like by tag, or an article."""
+    """block: index in the stack of the nearest block, itself included. barred: inside a menu or the like by tag, or an article. entry: an article or main part itself."""
 
-    __slots__ = ("tag", "path", "level", "chrome", "content", "named", "block", "barred", "depth", "linked")
+    __slots__ = ("tag", "path", "level", "chrome", "content", "named", "block", "barred", "depth", "linked", "entry")
 
-    def __init__(self, tag: str, path: int, level: int, content: bool, named: bool, block: int = 0, barred: bool = False, depth: int = 0, linked: bool = False):
+    def __init__(self, tag: str, path: int, level: int, content: bool, named: bool, block: int = 0, barred: bool = False, depth: int = 0, linked: bool = False, entry: bool = False):
         self.tag, self.path, self.level, self.chrome, self.content, self.named = tag, path, level, level > PLAIN, content, named
-        self.block, self.barred, self.depth, self.linked = block, barred, depth, linked
+        self.block, self.barred, self.depth, self.linked, self.entry = block, barred, depth, linked, entry
 
 
 def _named(names: list[str], words: frozenset[str]) -> int:
@@ -220,7 +222,7 @@ def read(html: str, freed: set[int] | frozenset[int] = frozenset()) -> Iterator[
             level = PLAIN
         element = _Element(
             tag, path, level, kind == CONTENT or above.content, named, len(stack) if block else above.block,
-            above.barred or tag in CHROME_TAGS or tag in CONTENT_TAGS, above.depth + block, above.linked or tag == "a",
+            above.barred or tag in CHROME_TAGS or tag in CONTENT_TAGS, above.depth + block, above.linked or tag == "a", kind == CONTENT and not above.content,
         )
         stack.append(element)
         open_[tag] += 1
@@ -254,7 +256,9 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for event, e, text in read(html):
                 if event == "open" and e.tag in BLOCKS:
                     around, inside = holders[-1], blocks[-1]
-                    if e.level <= NAMED and not e.content and e.path != above[-1]:
+                    if e.level <= NAMED and e.entry and e.path not in around:
+                        around = [*around, e.path]
+                    elif e.level <= NAMED and not e.content and e.path != above[-1]:
                         around = [e.path] if e.named else [*around, e.path] if e.tag in HOLDERS else around
                         inside = [*inside, e.path]
                     if e.path not in own:
@@ -271,7 +275,7 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     blocks.pop()
                 elif event == "text" and e.level <= NAMED and (flat := " ".join(text.split())):
                     if e.content:
-                        own[ROOT][6] += len(flat) if not e.chrome else 0
+                        own[holders[-1][-1]][6] += len(flat) if not e.chrome else 0
                         continue
                     holder = holders[-1][-1]
                     x = own.setdefault(_hash(e.path, flat, "text"), [e.path, TEXT, holder, None, None, 0, 0, 0, 0, 0])
@@ -307,12 +311,12 @@ def different(pages: DataFrame) -> DataFrame:
 
 
 #: What a host's template says.
-PARTS = ("slots", "fixed", "freed", "menus")
+PARTS = ("slots", "fixed", "freed", "menus", "main")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, slots (paths of elements whose constant runs are content too), freed (paths whose names don't count), fixed (text tokens of the
-    template), menus (paths of elements whose slots are links mostly). pages: host, html."""
+    template), menus (paths of elements whose slots are links mostly), main (paths of slots that hold most of what varies). pages: host, html."""
     sums = different(pages).mapInArrow(profile, PROFILE)
     tokens = sums.groupBy("host", "token").agg(
         *[F.min(c).alias(c) for c in ("parent", "kind", "holder", "holders", "blocks")],
@@ -336,8 +340,11 @@ def templates(pages: DataFrame) -> DataFrame:
     varying = tokens.where("holders is not null").join(still, ["host", "token"], "left").withColumn("varies", F.col("chars") - F.coalesce("still", F.lit(0))).where("varies > 0")
     total = varying.groupBy("host").agg(F.sum("varies").alias("total"))
     inside = varying.select("host", F.explode("holders").alias("token"), F.col("varies").alias("v")).groupBy("host", "token").agg(F.sum("v").alias("inside"))
-    slots = varying.where(F.col("token") != ROOT).join(inside, ["host", "token"]).where(F.col("varies") >= SHARE * F.col("inside"))
-    slots = slots.groupBy("host").agg(F.collect_set("token").alias("slots"))
+    holding = varying.where(F.col("token") != ROOT).join(inside, ["host", "token"]).where(F.col("varies") >= SHARE * F.col("inside"))
+    a_page = tokens.where(F.col("token") == ROOT).select("host", F.col("pages").alias("of_host")).join(total, "host").select("host", (F.col("total") / F.col("of_host")).alias("a_page"))
+    main = holding.where(F.col("pages") >= LEAST).join(a_page, "host").where(F.col("inside") / F.col("pages") >= MOST * F.col("a_page"))
+    main = main.groupBy("host").agg(F.collect_set("token").alias("main"))
+    slots = holding.groupBy("host").agg(F.collect_set("token").alias("slots"))
     named = tokens.where((F.get("holders", F.lit(0)) == F.col("token")) & (F.col("token") != ROOT)).join(inside, ["host", "token"]).join(total, "host")
     freed = named.where(F.col("inside") > MOST * F.col("total")).groupBy("host").agg(F.collect_set("token").alias("freed"))
     # links and text in an element and all that it holds
@@ -347,19 +354,26 @@ def templates(pages: DataFrame) -> DataFrame:
     menus = lists.where((F.col("linked") >= LINKED * F.col("text")) & (F.col("links") >= LINKS * F.col("n"))).groupBy("host").agg(F.collect_set("token").alias("menus"))
     none = F.array().cast("array<long>")
     out = tokens.where(F.col("token") == ROOT).select("host")
-    for part in (slots, freed, fixed, menus):
+    for part in (slots, freed, fixed, menus, main):
         out = out.join(part, "host", "left")
     return persisted(out.select("host", *[F.coalesce(c, none).alias(c) for c in PARTS]), "html-templates")
 
 
-def main_text(html: str | None, slots: set[int], fixed: set[int], freed: set[int] | frozenset[int] = frozenset(), menus: set[int] | frozenset[int] = frozenset()) -> str:
-    """Blocks of a page's content in page order, one a line."""
+#: How a text was chosen: as the main slot, as what the page marks, or as what else isn't a menu or the like.
+BY_SLOT, BY_MARK, BY_REST = "slot", "mark", "rest"
+
+
+def main_part(
+    html: str | None, slots: set[int], fixed: set[int], freed: set[int] | frozenset[int] = frozenset(), menus: set[int] | frozenset[int] = frozenset(), main: set[int] | frozenset[int] = frozenset()
+) -> tuple[str, str]:
+    """Blocks of a page's content in page order, one a line, and how they were chosen."""
     if not html:
-        return ""
-    # what the page marks as an article, everything that isn't a menu or the like nor boilerplate, boilerplate too, and what only names mark
-    lines: tuple[list[str], ...] = ([], [], [], [])
-    open_: tuple[list[str], ...] = ([], [], [], [])
+        return "", BY_REST
+    # main slots that are marked, all that the page marks, other slots; both without menus and boilerplate; boilerplate too; and what only names mark
+    lines: tuple[list[str], ...] = ([], [], [], [], [], [])
+    open_: tuple[list[str], ...] = ([], [], [], [], [], [])
     inside = listed = 0
+    in_main = has_main = False
 
     def end_block() -> None:
         for runs, out in zip(open_, lines, strict=True):
@@ -371,15 +385,20 @@ def main_text(html: str | None, slots: set[int], fixed: set[int], freed: set[int
         if event == "text":
             if e.level == CHROME:
                 continue
-            open_[3].append(text)
+            open_[5].append(text)
             if e.chrome:
                 continue
             flat = " ".join(text.split())
             if e.content:
-                open_[0].append(text)
-            if e.content or not listed and (inside or not (fixed and flat and _hash(e.path, flat, "text") in fixed)):
                 open_[1].append(text)
-            open_[2].append(text)
+                if in_main:
+                    open_[0].append(text)
+            slot = not listed and (inside or not (fixed and flat and _hash(e.path, flat, "text") in fixed))
+            if not e.content and slot:
+                open_[2].append(text)
+            if e.content or slot:
+                open_[3].append(text)
+            open_[4].append(text)
         elif event == "break":
             end_block()
         elif e.tag in BLOCKS:
@@ -388,12 +407,25 @@ def main_text(html: str | None, slots: set[int], fixed: set[int], freed: set[int
             step = 1 if event == "open" else -1
             inside += step if e.path in slots else 0
             listed += step if e.path in menus else 0
+            if e.entry:
+                in_main = event == "open" and e.path in main
+            elif e.path in main:
+                has_main = True
     end_block()
-    return "\n".join(next((x for x in lines if x), []))
+    if lines[0] or has_main and lines[2]:
+        return "\n".join(lines[0] or lines[2]), BY_SLOT
+    if lines[1]:
+        size = lambda x: sum(map(len, x))
+        return ("\n".join(lines[1]), BY_MARK) if size(lines[1]) >= size(lines[2]) else ("\n".join(lines[2]), BY_REST)
+    return "\n".join(next((x for x in lines[3:] if x), [])), BY_REST
+
+
+def main_text(html: str | None, *template: set[int]) -> str:
+    return main_part(html, *template)[0]
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
+    """page_id, url, text, n_chars, chosen (slot, mark or rest) for every row of pages (page_id, url, html)."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     found = templates(rows)
     hosts, numbers = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.size(c) for c in PARTS)), F.lit(0))).first()
@@ -404,8 +436,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = [main_text(h, *(set(x or ()) for x in parts)) for h, *parts in zip(*(batch.column(k).to_pylist() for k in ("html", *PARTS)), strict=True)]
-            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+            found = [main_part(h, *(set(x or ()) for x in parts)) for h, *parts in zip(*(batch.column(k).to_pylist() for k in ("html", *PARTS)), strict=True)]
+            columns = [batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([c for _, c in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "chosen"])
 
-    return joined.select("page_id", "url", "html", *PARTS).mapInArrow(run, f"page_id {page}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", *PARTS).mapInArrow(run, f"page_id {page}, url string, text string, n_chars long, chosen string")

@@ -1,6 +1,7 @@
 import html as stdlib
 import re
 import time
+from collections import Counter
 
 import pyarrow as pa
 
@@ -158,3 +159,29 @@ def test_every_step_is_linear():
     batch = pa.RecordBatch.from_pydict({"host": ["h"], "html": ["<div>" * 20_000 + "x" + "</div>" * 20_000]})
     began = time.time()
     assert sum(b.num_rows for b in html.profile(iter([batch]))) == html.DEEP + 2 and time.time() - began < 20
+
+
+TEASER = "<article class='card'><p>teaser {i}</p></article><div class='story'><p>long main text one {i}</p><p>and the second part {i}</p></div>"
+
+
+def test_a_teaser_beside_the_story_is_left_out(spark):
+    """By length on a page alone, by the main slot on a host where a long teaser would win."""
+    assert text(TEASER.format(i=1)) == "long main text one 1\nand the second part 1"
+    page = lambda i: TEASER.format(i=i).replace("teaser", "teaser " * (60 if i == 3 else 1))
+    df = spark.createDataFrame([(i, f"http://cards.example.org/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.chosen) for r in html.extract(df).collect()}
+    assert got == {i: (f"long main text one {i}\nand the second part {i}", html.BY_SLOT) for i in range(20)}
+    assert text(page(3)).startswith("teaser")
+
+
+def test_pages_come_by_their_main_slot(spark):
+    """On the given pages the deduced slot decides every one, but on hosts of few pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = Counter(r.h for r in pages.select(html.host_of(pages["url"]).alias("h")).collect())
+    got = html.extract(pages)
+    rows = got.select("chosen", html.host_of(got["url"]).alias("h")).collect()
+    assert {r.chosen for r in rows if hosts[r.h] >= html.LEAST} == {html.BY_SLOT} and {r.chosen for r in rows if hosts[r.h] < html.LEAST} <= {html.BY_MARK}
+
+
+def test_an_articles_own_header_is_a_header():
+    assert text("<article><p>Lead</p><header><h1>Title</h1></header><p>b</p></article>") == "Lead\nb"
