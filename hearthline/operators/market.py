@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.operators import lineage
+
 # Fixed values of the valuation rules.
 AREA_BAND = 3.0
 WIDE_BAND = 10.0
@@ -286,6 +288,40 @@ def metres(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return F.round(2 * 6_371_000 * F.asin(F.sqrt(h))).cast("long")
 
 
+#: Metres of a degree of latitude, and how many times as wide cells are by longitude.
+DEGREE, WIDER = 111_194.0, 1.5
+
+
+def nearest_point(homes: DataFrame, points: DataFrame, step: float = 0.1) -> DataFrame:
+    """id, point, metres: of each home the nearest point, of equally near ones the least. homes: id, lat, lng; points: point, plat, plng. Homes without coordinates have none.
+
+    Homes meet the points of their grid cell and those around. Who found a point nearer than a cell is wide is done; the others look again in cells of four times the width, until none is
+    left: where points are dense a home meets a few, and only homes far from all points meet many.
+    """
+    left, done = homes.where("lat is not null and lng is not null").select("id", "lat", "lng"), []
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    while True:
+        cell = lambda c, width: F.floor(F.col(c) / width).cast("int")
+        whole = step * WIDER > 360
+        x, y = (cell("lat", step), cell("lng", step * WIDER)) if not whole else (F.lit(0), F.lit(0))
+        px, py = (cell("plat", step), cell("plng", step * WIDER)) if not whole else (F.lit(0), F.lit(0))
+        cells = [F.struct((px + i).alias("x"), (py + j).alias("y")) for i, j in (around if not whole else [(0, 0)])]
+        spread = points.select("point", "plat", "plng", F.inline(F.array(*cells)))
+        pair = F.struct(metres(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng")).alias("metres"), "point")
+        met = left.withColumns({"x": x, "y": y}).join(spread, ["x", "y"], "left").groupBy("id", "lat", "lng").agg(F.min(F.when(F.col("point").isNotNull(), pair)).alias("best"))
+        sure = F.lit(DEGREE * step) * F.least(F.lit(1.0), WIDER * F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + step))))
+        met = lineage.cut(met.withColumn("sure", F.lit(whole) | F.coalesce(F.col("best.metres") < sure, F.lit(False))))
+        done.append(met.where("sure and best is not null").select("id", "best.point", "best.metres"))
+        left = met.where("not sure").select("id", "lat", "lng")
+        if whole or left.isEmpty():
+            break
+        step *= 4
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
+
+
 def same_complex(apt: Column, name: Column, umd: Column, dong: Column) -> Column:
     """Names that contain one another once spaces and marks are gone; dongs equal where both are known. Blank names never match."""
     plain = lambda c: F.regexp_replace(c, r"(?U)[\s()·\-]|아파트", "")

@@ -46,7 +46,11 @@ PROVINCES = ("서울", "부산", "대구", "인천", "광주", "대전", "울산
 METROPOLIS = "(특별시|광역시|특별자치시)$"
 
 SEVERITY = ("ok", "check", "no", "na")
-_null = F.lit(None).cast("boolean")
+
+
+def _null() -> Column:
+    """Unknown."""
+    return F.lit(None).cast("boolean")
 
 
 def yes(c: Column) -> Column:
@@ -80,7 +84,7 @@ def city_match(given: Column, city: Column) -> Column:
     cities = F.filter(words, is_city)
     wanted = bare(city)
     one = F.when(F.size(words) == 1, F.when(bare(words[0]) == wanted, True))
-    return F.when(F.size(cities) > 0, F.exists(cities, lambda w: bare(w) == wanted)).when(F.exists(words, lambda w: w.endswith("구")), _null).otherwise(one)
+    return F.when(F.size(cities) > 0, F.exists(cities, lambda w: bare(w) == wanted)).when(F.exists(words, lambda w: w.endswith("구")), _null()).otherwise(one)
 
 
 def age(birth: Column, day: Column) -> Column:
@@ -184,7 +188,7 @@ def _person(f: _Facts) -> list[tuple[str, Column]]:
 def _notes(f: _Facts) -> Column:
     """States of a tier's further conditions, by what the person says of them."""
     def state(note: Column) -> Column:
-        answer = reduce(lambda rest, k: F.when(note.contains(k), f.p[NOTES[k]]).otherwise(rest), reversed(NOTES), _null)
+        answer = reduce(lambda rest, k: F.when(note.contains(k), f.p[NOTES[k]]).otherwise(rest), reversed(NOTES), _null())
         return F.struct(F.lit("note").alias("rule"), part(answer).alias("state"))
 
     return F.coalesce(F.transform(f.g["notes"], state), F.array().cast("array<struct<rule: string, state: string>>"))
@@ -210,13 +214,13 @@ def _homeless(f: _Facts) -> Column:
     at_home = f.with_parents | yes(p["elders"] > 0)
     owner = f.column("owner", yes(own) | (f.couple & yes(spouse)) | (at_home & yes(p["parents_own"])))
     single = yes(f.size == 1) & ~at_home & ~yes(p["children_on_deed"] > 0) & no(own) & no(f.married) & ~f.couple
-    none = F.when(yes(homes == "0") & ((~f.couple & no(f.married)) | no(spouse)), True).when(yes(homes == "0") & f.couple & spouse.isNull(), _null).when(single, True)
+    none = F.when(yes(homes == "0") & ((~f.couple & no(f.married)) | no(spouse)), True).when(yes(homes == "0") & f.couple & spouse.isNull(), _null()).when(single, True)
     by_household = (
-        F.when(yes(homes == "0") & owner, _null)
+        F.when(yes(homes == "0") & owner, _null())
         .when(owner | yes(homes.isin("1", "2+")), owning).otherwise(none)
     )
     by_household = f.column("by_household", by_household)
-    by_household = F.when((said == "self_unclear") & no(by_household), _null).otherwise(by_household)
+    by_household = F.when((said == "self_unclear") & no(by_household), _null()).otherwise(by_household)
     return part(F.when(scope == "self", by_self).when(scope == "household", by_household))
 
 
@@ -224,11 +228,11 @@ def _place(f: _Facts) -> list[tuple[str, Column]]:
     p, t = f.p, f.t
     local = f.column("local", t["local"])
     also = F.nullif(F.regexp_extract(F.coalesce(local["also"], F.lit("")), "([가-힣]+시) 거주자", 1), F.lit(""))
-    elsewhere = F.when(yes(local["others_check"]), _null).when(also.isNotNull() & (f.province == "경기") & ~no(city_match(f.city, also)), _null).otherwise(False)
+    elsewhere = F.when(yes(local["others_check"]), _null()).when(also.isNotNull() & (f.province == "경기") & ~no(city_match(f.city, also)), _null()).otherwise(False)
     match = f.column("match", city_match(f.city, local["city"]))
-    here = F.when(f.city.isNotNull(), F.when(no(match) & yes(local["other_cities_check"]), _null).otherwise(match))
+    here = F.when(f.city.isNotNull(), F.when(no(match) & yes(local["other_cities_check"]), _null()).otherwise(match))
     lives = (
-        F.when(f.province.isNull(), _null).when(f.province != local["province"], elsewhere).when(local["province"].isNull() & local["city"].isNull(), _null)
+        F.when(f.province.isNull(), _null()).when(f.province != local["province"], elsewhere).when(local["province"].isNull() & local["city"].isNull(), _null())
         .when(local["city"].isNull(), True).otherwise(here)
     )
     return [
@@ -247,7 +251,7 @@ def _account(f: _Facts) -> list[tuple[str, Column]]:
     second = F.when(a["second_months"].isNotNull(), (months >= a["second_months"]) & (p["payments"] >= a["second_payments"])).otherwise(yes(a["second_any"]))
     told = p["account_since"].isNotNull() & p["payments"].isNotNull()
     holds = (
-        F.when(kind.isin("none", "deposit", "bugeum"), False).when(kind.isNull() | (kind == "unknown"), _null)
+        F.when(kind.isin("none", "deposit", "bugeum"), False).when(kind.isNull() | (kind == "unknown"), _null())
         .when(~told, F.when(yes(a["second_any"]), True)).otherwise(first | second)
     )
     by_entry = F.when(yes(g["account_by_entry"]) & (kind.isNull() | kind.isin("none", "deposit", "bugeum", "unknown")), "check")
@@ -276,10 +280,10 @@ def _income(f: _Facts) -> Column:
     fits = (
         F.when(amounts.isNotNull() & F.coalesce(month <= F.greatest(amount, limit), month <= limit), F.when(amount.isNotNull() & (month <= F.least(amount, limit)), True))
         .when(month <= limit, True)
-        .when(dual & add.isNull() & up_to(pct + 30), _null)
-        .when(may_be_dual & ~dual & (own.isNull() | spouse.isNull()) & add.isNotNull() & up_to(pct + add), _null)
+        .when(dual & add.isNull() & up_to(pct + 30), _null())
+        .when(may_be_dual & ~dual & (own.isNull() | spouse.isNull()) & add.isNotNull() & up_to(pct + add), _null())
         .when(by_births, up_to(pct + f.bonus + added)).when(by_births_alone, up_to(pct + f.bonus))
-        .when(yes(g["lower_tiers"]), _null).otherwise(False)
+        .when(yes(g["lower_tiers"]), _null()).otherwise(False)
     )
     judged = part(F.when(n.isNotNull() & pct.isNotNull() & base.isNotNull() & month.isNotNull(), fits))
     return F.when(yes(g["income_excluded"]), F.when(~f.may_exclude, "check")).when(key == STUDENT, part(p["student_income"])).when(key != BENEFIT, judged)
@@ -293,7 +297,7 @@ def _assets(f: _Facts) -> Column:
     most = f.column("most_asset", F.coalesce(table["b20"].cast("double"), limit * 1.2))
     by_self = (
         F.when(own <= limit, True).when(bonus & (own <= most), f.within_bonus(own, limit, table))
-        .when(yes(g["lower_tiers"]) & yes(own <= g["lower_asset"]), _null).when(own > limit, False)
+        .when(yes(g["lower_tiers"]) & yes(own <= g["lower_asset"]), _null()).when(own > limit, False)
     )
     sum_of = lambda names: reduce(lambda a, b: a + b, (F.coalesce(p[x], F.lit(0)) for x in names))
     total = f.column("total", sum_of(("real_estate", "cash", "liquid", "insurance", "other_finance", "deposit", "other_asset", "car")) - F.coalesce(p["debt"], F.lit(0)))
@@ -301,7 +305,7 @@ def _assets(f: _Facts) -> Column:
     # what is missing can only add to the total, but for debts
     too_much = (total > limit) & p["debt"].isNotNull() & (~bonus | (total > most))
     by_household = (
-        F.when(too_much, False).when(missing(("real_estate", "car", "cash", "liquid", "deposit")), _null)
+        F.when(too_much, False).when(missing(("real_estate", "car", "cash", "liquid", "deposit")), _null())
         .when(total <= limit, F.when(~missing(("insurance", "other_finance", "other_asset")), True))
         .when(p["debt"].isNotNull(), f.within_bonus(total, limit, table))
     )

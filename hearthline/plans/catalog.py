@@ -192,24 +192,14 @@ def nearest_tier(spark, sf_dir):
     return rounded(market.nearest_tier(candidates), "base")
 
 
-#: Most stations that are gathered into one value.
-STATIONS = 10_000
-
-
 @query("""WITH p AS (SELECT c_custkey AS id, 36 + c_custkey % 200 / 100.0 AS lat, 126 + c_custkey % 300 / 100.0 AS lng FROM customer),
 s AS (SELECT n_nationkey AS station, 36 + n_nationkey * 8 % 200 / 100.0 AS slat, 126 + n_nationkey * 11 % 300 / 100.0 AS slng FROM nation),
 d AS (SELECT id, station, CAST(round(2 * 6371000 * asin(sqrt(pow(sin((radians(slat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(slat)) * pow(sin((radians(slng) - radians(lng)) / 2), 2)))) AS BIGINT) AS metres FROM p, s)
 SELECT id, min_by(station, metres * 1000 + station) AS station, min(metres) AS metres FROM d GROUP BY id""")
 def nearest_station(spark, sf_dir):
-    """Each listing meets all stations: gathered into one value while there are at most STATIONS, which is counted first, joined beyond that."""
     homes = table(spark, sf_dir, "customer").selectExpr("c_custkey id", "36 + c_custkey % 200 / 100.0D lat", "126 + c_custkey % 300 / 100.0D lng")
-    stations = table(spark, sf_dir, "nation").selectExpr("n_nationkey station", "36 + n_nationkey * 8 % 200 / 100.0D slat", "126 + n_nationkey * 11 % 300 / 100.0D slng")
-    if stations.limit(STATIONS + 1).count() > STATIONS:
-        pair = F.struct(market.metres(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng")).alias("metres"), "station")
-        return homes.crossJoin(stations).groupBy("id").agg(F.min(pair).alias("best")).select("id", "best.station", "best.metres")
-    near = stations.agg(F.collect_list(F.struct("station", "slat", "slng")).alias("s")).select("s").scalar()
-    each = F.transform("s", lambda x: F.struct(market.metres(F.col("lat"), F.col("lng"), x["slat"], x["slng"]).alias("metres"), x["station"].alias("station")))
-    return homes.withColumn("s", near).withColumn("best", F.array_min(each)).select("id", "best.station", "best.metres")
+    stations = table(spark, sf_dir, "nation").selectExpr("n_nationkey point", "36 + n_nationkey * 8 % 200 / 100.0D plat", "126 + n_nationkey * 11 % 300 / 100.0D plng")
+    return market.nearest_point(homes, stations).withColumnRenamed("point", "station")
 
 
 # --- rules -------------------------------------------------------------------------------------------------------------------

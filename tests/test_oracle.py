@@ -1,10 +1,12 @@
 """Every registered query of the reference's operators against its SQL, run by another engine on the same tables."""
 
 import math
+import random
 
 import duckdb
 import pytest
 
+from hearthline.operators import market
 from hearthline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -47,10 +49,22 @@ def test_other_queries_run(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
-def test_many_stations_give_the_same(spark, monkeypatch):
-    want = sorted(catalog.queries()["nearest_station"](spark, SF).collect())
-    monkeypatch.setattr(catalog, "STATIONS", 1)
-    df = catalog.queries()["nearest_station"](spark, SF)
-    assert sorted(df.collect()) == want
-    plan = df._jdf.queryExecution().toString()
-    assert "CartesianProduct" in plan or "NestedLoopJoin" in plan
+def test_stations_meet_no_nested_loop(spark):
+    plan = catalog.queries()["nearest_station"](spark, SF)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_nearest_points_at_all_distances(spark):
+    """Dense and far points, the edges of cells, high latitudes and equal distances."""
+    rnd = random.Random(4)
+    points = [(i, 37 + rnd.random() / 5, 127 + rnd.random() / 5) for i in range(60)] + [(100, -10.0, 20.0), (101, 70.0, 25.0), (102, 70.0, 25.0), (103, 37.0, -170.0)]
+    homes = [(i, 37 + rnd.random() / 2, 127 + rnd.random() / 2) for i in range(80)] + [(200, 70.0, 26.0), (201, 0.0, 0.0), (202, None, 1.0), (203, 36.9, 126.9), (204, 69.99, 24.0)]
+    got = market.nearest_point(spark.createDataFrame(homes, "id int, lat double, lng double"), spark.createDataFrame(points, "point int, plat double, plng double"))
+
+    def far(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return round(2 * 6_371_000 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    want = {i: min((far(lat, lng, plat, plng), p) for p, plat, plng in points) for i, lat, lng in homes if lat is not None}
+    assert {r.id: (r.metres, r.point) for r in got.collect()} == want
+    assert market.nearest_point(spark.createDataFrame(homes[:3], "id int, lat double, lng double"), spark.createDataFrame([], "point int, plat double, plng double")).count() == 0
