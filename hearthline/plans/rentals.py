@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthline.functions import rents
-from hearthline.operators import tiers
+from hearthline.operators import readings, tiers
 from hearthline.plans.registry import cases, facts, query
 
 
@@ -175,3 +175,32 @@ def rent_tables(spark, sf_dir):
     texts = r.groupBy("notice", head.alias("head")).agg(F.array_sort(F.collect_list(F.struct("no", line.alias("line")))).alias("lines"))
     texts = texts.select("notice", F.concat_ws("\n", "head", F.concat_ws("\n", "lines.line")).alias("body"))
     return rents.rent_rows(texts, "notice", "body")
+
+
+# --- several readings ------------------------------------------------------------------------------------------------------------------
+
+#: What three tools read of a part's text: its size, container and two marks, each with faults of its own.
+_READ = """SELECT p_partkey AS id, p_size AS size_1, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END AS size_2, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS size_3,
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_name END AS box_1, CASE WHEN p_partkey % 6 = 0 THEN p_brand ELSE p_name END AS box_2, CASE WHEN p_partkey % 9 = 0 THEN p_type ELSE p_name END AS box_3,
+  p_partkey % 10 = 1 AS mark_1, p_partkey % 8 = 1 AS mark_2, p_partkey % 6 = 1 AS mark_3 FROM part"""
+
+
+def _voted(a: str, b: str, c: str) -> str:
+    return f"CASE WHEN coalesce({a} = {b}, true) AND coalesce({a} = {c}, true) AND coalesce({b} = {c}, true) THEN coalesce({a}, {b}, {c}) WHEN {a} = {b} OR {a} = {c} THEN {a} WHEN {b} = {c} THEN {b} END"
+
+
+_sizes, _boxes = ("size_1", "size_2", "size_3"), ("box_1", "box_2", "box_3")
+
+
+@query(f"""WITH r AS ({_READ}), v AS (SELECT *, {_voted(*_sizes)} AS size, {_voted(*_boxes)} AS box FROM r)
+SELECT id, size, box, mark_1 OR mark_2 OR mark_3 AS mark, list_aggregate(list_distinct([box_1, box_2, box_3]), 'count') AS boxes,
+  CASE WHEN box IS NULL AND coalesce(box_1, box_2, box_3) IS NOT NULL THEN 'box' ELSE '' END || CASE WHEN size IS NULL AND coalesce(size_1, size_2, size_3) IS NOT NULL THEN ',size' ELSE '' END AS conflicts FROM v""")
+def merged_readings(spark, sf_dir):
+    """Three readings of each part merged by a walk through their schema."""
+    f, c = facts(spark, sf_dir, _READ, "part"), F.col
+    one = lambda i: F.struct(F.lit(f"tool {i}").alias("tool"), F.struct(c(f"size_{i}").alias("size"), c(f"box_{i}").alias("box"), c(f"mark_{i}").alias("mark"), F.array_compact(F.array(f"box_{i}")).alias("boxes")).alias("terms"))
+    read = f.select("id", F.inline(F.array(*map(one, (1, 2, 3)))))
+    merged = readings.merge(read, "id", "tool", "terms", ["tool 1", "tool 2", "tool 3"], either=("mark",))
+    conflict = F.transform(F.filter("log", lambda x: x["how"] == readings.CONFLICT), lambda x: x["path"])
+    text = F.concat(F.when(F.array_contains(conflict, "box"), "box").otherwise(""), F.when(F.array_contains(conflict, "size"), ",size").otherwise(""))
+    return merged.select("id", "terms.size", "terms.box", "terms.mark", F.size("terms.boxes").cast("long").alias("boxes"), text.alias("conflicts"))
