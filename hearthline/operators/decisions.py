@@ -311,10 +311,10 @@ def _by_income(p: dict[str, Column], size: Column, one: int, two: int, relaxed:
     dual = _yes(p["married"]) & _yes(p["income"] > 0) & _yes(p["spouse_income"] > 0)
     cap = F.when(dual, two).otherwise(one)
     if not relaxed:
-        return F.when(month <= income_limit(size, cap), "ok").when(month.isNotNull(), "fail")
+        return F.when(month <= income_limit(income_base(size), cap), "ok").when(month.isNotNull(), "fail")
     known = birth_relaxation(p["pregnant"], p["youngest"], p["minors"])
     sure, most = F.coalesce(known, F.lit(0)), F.when(_yes(known == 0), 0).otherwise(20)
-    return F.when(month <= income_limit(size, cap + sure), "ok").when(month > income_limit(size, cap + most), "fail").when(month.isNotNull(), "warn")
+    return F.when(month <= income_limit(income_base(size), cap + sure), "ok").when(month > income_limit(income_base(size), cap + most), "fail").when(month.isNotNull(), "warn")
 
 
 def public_general_income(p: dict[str, Column], size: Column) -> Column:
