@@ -261,3 +261,27 @@ def attachments_and_walks(spark, sf_dir):
 def snapshot_ages(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", text.stale(F.col("ts"), F.lit("2024-06-01 00:00:00").cast("timestamp"), 36.05).alias("s"))
     return e.select("event_id", "s.*")
+
+
+# --- contradictions between rules ------------------------------------------------------------------------------------------------------
+
+#: Rules of order lines, as both engines read them.
+_RULES = {
+    "huge": "l_quantity >= 50", "large": "l_quantity > 40", "full price": "l_discount = 0", "cheap": "l_discount >= 0.08", "returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'",
+    "dear": "l_extendedprice > 60000", "taxed": "l_tax > 0", "heavily taxed": "l_tax >= 0.08",
+}
+_IMPLIED, _EXCLUDED = [("huge", "large"), ("dear", "large"), ("heavily taxed", "taxed"), ("open", "taxed")], [("full price", "cheap"), ("returned", "open"), ("huge", "cheap")]
+_LINE = "l_orderkey * 10 + l_linenumber"
+_PAIRS_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n_a, count(*) FILTER ({y}) AS n_both, count(*) FILTER (NOT ({y})) AS only_a, min({_LINE}) FILTER (NOT ({y})) AS example FROM lineitem WHERE {x}"
+    for a, x in _RULES.items() for b, y in _RULES.items() if a != b)
+_in = lambda pairs: "(a, b) IN (" + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ")"
+
+
+@query(f"""WITH p AS ({_PAIRS_SQL}), k AS (SELECT *, CASE WHEN {_in(_IMPLIED)} AND only_a > 0 THEN 'implies' WHEN {_in(_EXCLUDED)} AND n_both > 0 THEN 'excludes'
+  WHEN NOT ({_in(_IMPLIED)}) AND n_a >= 100 AND only_a > 0 AND only_a <= 0.01 * n_a THEN 'suspect' END AS kind FROM p)
+SELECT a, b, kind, CASE WHEN kind = 'excludes' THEN n_both ELSE only_a END AS n, CASE WHEN kind <> 'excludes' THEN example END AS example FROM k WHERE kind IS NOT NULL""")
+def rule_contradictions(spark, sf_dir):
+    """Declared implications and exclusions between rules that order lines go against, with examples."""
+    lines = facts(spark, sf_dir, f"SELECT *, {_LINE} AS line FROM lineitem", "lineitem")
+    return audit.contradictions(audit.implications(lines, "line", {n: F.expr(c) for n, c in _RULES.items()}), _IMPLIED, _EXCLUDED)
