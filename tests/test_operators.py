@@ -168,3 +168,21 @@ def test_events_without_a_region_reach_subscribers_of_everything(spark):
     events = spark.createDataFrame([(10, None), (11, "x"), (12, "y")], "event_id long, region string").selectExpr("*", "true good", "'new' kind", "'line' line")
     got = sorted((r.sub_id, r.event_id) for r in sets.subscriber_matches(subs, events).collect())
     assert got == [(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12), (3, 11), (4, 11)]
+
+
+def test_a_class_of_events_is_cut_into_parts(spark):
+    """Subscribers of everything share four classes; where nothing is broadcast their work must not be that of four tasks."""
+    subs = spark.range(300).selectExpr("id sub_id", "cast(array() as array<int>) regions", "id % 3 = 0 good_only", "id % 2 = 0 reminders")
+    events = spark.range(40).selectExpr("id event_id", "1 region", "id % 4 = 0 good", "if(id % 3 = 0, 'new', 'end') kind", "'x' line")
+    got = sets.subscriber_matches(subs, events)
+    want = {(s, e) for s in range(300) for e in range(40) if (s % 3 or e % 4 == 0) and (s % 2 == 0 or e % 3 == 0)}
+    rows = [(r.sub_id, r.event_id) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert "own" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_digests_need_no_matches(spark):
+    subs = spark.createDataFrame([(i, r, i % 3 == 0, i % 2 == 0) for i, r in enumerate([[], [1], [1, 1, 2], None, [9], [2, None], [3]] * 4)], "sub_id long, regions array<int>, good_only boolean, reminders boolean")
+    events = spark.createDataFrame([(i, [1, 2, 3, None][i % 4], i % 3 == 0, ["new", "end", None][i % 5 % 3], f"e{i}") for i in range(60)], "event_id long, region int, good boolean, kind string, line string")
+    got, want = sets.subscriber_digests(subs, events), sets.digests(sets.subscriber_matches(subs, events))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10
