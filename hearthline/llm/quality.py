@@ -1,10 +1,10 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio of trusted against raw text.
 
 Every word and every pair of neighbouring words of a text falls into one of BUCKETS hash buckets. Two
-multinomials over the buckets are counted: one over all documents (raw), one over a bounded, documented
-sample of trusted documents (target). A document's score is the sum of its n-grams' log-likelihood
-ratios divided by their number plus PRIOR. The threshold is a fixed low quantile of the scores of trusted
-documents outside the sample, so that it is a number of the run and every document gets the same rule.
+multinomials over the buckets are counted: one over all documents (raw), one over the trusted documents of
+one part (target). A document's score is the sum of its n-grams' log-likelihood ratios divided by their number plus PRIOR. The
+threshold is a fixed low quantile of the scores of all trusted documents of the other part, so that it is a number of the run and every
+document gets the same rule. The parts are halves by hash of doc_id, and every trusted document is in one of them.
 
 Everything here is DataFrame expressions. Counting explodes buckets under a map-side aggregate (at most BUCKETS
 rows leave a task); scoring reads the weights, one array of fixed size, as a scalar subquery: no join, no shuffle.
@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import persisted, text_of, words_of
 
 BUCKETS = 1 << 16
-#: Most trusted documents that are counted, and as many again that set the threshold.
-TRUSTED = 4096
 #: Added to the number of n-grams, so that a few words don't decide alone.
 PRIOR = 16
-#: Share of trusted documents under the threshold.
+#: Share of trusted documents under the threshold, and the steps in which their scores are counted for it.
 QUANTILE = 0.004
+STEPS = 10_000
 WINDOW = 8
 MIN_WORDS = 20
 
@@ -88,17 +87,16 @@ def _hashes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.transform(words_of(text_of(docs["text"])), lambda w: F.xxhash64(w)).alias("w"))
 
 
-def trusted_sample(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """At most bound doc_ids with part 0 (counted) and as many with part 1 (threshold), the least by hash of labels.quality = 1."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """All doc_ids of labels.quality = 1, with part 0 (counted) or 1 (threshold) by hash."""
     ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound)
-    return picked.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2)).alias("part"))
+    return ids.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2)).alias("part"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """One row: weights (array of BUCKETS doubles) and threshold."""
-    sample = persisted(trusted_sample(labels, bound), "quality-sample")
-    marked = _hashes(docs).join(F.broadcast(sample), "doc_id", "left")  # at most 2 * bound rows are broadcast
+def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: weights (array of BUCKETS doubles) and threshold. The ids are written, so that the planner knows whether they are few enough to be broadcast; texts are shuffled only where they aren't."""
+    ids, texts = persisted(trusted(labels), "quality-trusted"), docs.select("doc_id", "text")
+    marked = texts.join(ids, "doc_id", "left").select("part", F.transform(words_of(text_of("text")), lambda w: F.xxhash64(w)).alias("w"))
     grams = marked.select(F.explode(_let(F.col("w"), _grams)).alias("bucket"), F.coalesce(F.col("part") == 0, F.lit(False)).alias("target"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("target").alias("target"))
     full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
@@ -115,9 +113,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
         ),
         "quality-weights",
     )
-    held = _hashes(docs).join(F.broadcast(sample.where("part = 1")), "doc_id", "left_semi")
-    scores = _with_score(held, weights).select("score")
-    threshold = scores.agg(F.coalesce(F.percentile("score", QUANTILE), F.lit(float("-inf"))).alias("threshold"))
+    held = _hashes(texts.join(ids.where("part = 1"), "doc_id", "left_semi"))
+    # scores are averages of logarithms, a few hundred thousand steps at most: the exact quantile of their steps, whatever the number of documents
+    steps = _with_score(held, weights).groupBy((F.floor(F.col("score") * STEPS) / STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    threshold = steps.agg(F.coalesce(F.percentile("step", QUANTILE, F.col("n")), F.lit(float("-inf"))).alias("threshold"))
     return persisted(weights.select("weights", threshold.scalar().alias("threshold")), "quality-model")
 
 
@@ -130,9 +129,9 @@ def _with_score(df: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, score. docs is read three times and never shuffled."""
-    model = fit(docs, labels, bound)
+def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, score. docs is read three times."""
+    model = fit(docs, labels)
     scored = _with_score(base_counts(docs), model)
     kept = ~F.col("base_failed") & (F.col("score") >= model.select("threshold").scalar())
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")

@@ -76,3 +76,19 @@ def test_stage_keeps_columns(labelled, spark):
     rows = docs.limit(50).withColumns({"w": docs["doc_id"], "score": docs["lang"]})
     out = quality.quality_stage(spark, rows, labels)
     assert out.columns == rows.columns and 0 < out.count() <= 50
+
+
+def test_all_trusted_documents_count(spark):
+    """More than any fixed number of them: each adds its words to the target's counts, or its score to the threshold's."""
+    n = 9000
+    docs = spark.range(n).selectExpr("id doc_id", "concat('w', id % 3) text")
+    labels = spark.range(n).selectExpr("id doc_id", "1 quality", "0 toxic")
+    parts = {r.part: r["count"] for r in quality.trusted(labels).groupBy("part").count().collect()}
+    assert sum(parts.values()) == n and min(parts.values()) > 4200
+    model = quality.fit(docs, labels).first()
+    counted = quality.trusted(labels).where("part = 0").count()
+    words = {r.w: r.n for r in quality.trusted(labels).where("part = 0").join(docs, "doc_id").groupBy(F.pmod(F.xxhash64("text"), F.lit(quality.BUCKETS)).alias("w")).agg(F.count("*").alias("n")).collect()}
+    import math
+
+    for w, k in words.items():
+        assert model.weights[w] == pytest.approx(math.log((k + 1) / (counted + quality.BUCKETS)) - math.log((n / 3 + 1) / (n + quality.BUCKETS)))
