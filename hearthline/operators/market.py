@@ -23,9 +23,9 @@ COMPLEX_CAP = 5
 RECENT = 8
 
 
-def base_and_low(value: Column, n: Column, times: Column | None = None) -> tuple[Column, Column]:
-    """Median, and the lower quartile (or a discounted median where there are too few values). Aggregates; times: how often a row counts. One buffer for both."""
-    quantiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5)), F.lit(1) if times is None else times)
+def base_and_low(value: Column, n: Column) -> tuple[Column, Column]:
+    """Median, and the lower quartile (or a discounted median where there are too few values). Aggregates; one buffer for both."""
+    quantiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5)))
     base = quantiles[1]
     return base, F.when(n >= LEAST_FOR_QUARTILE, quantiles[0]).otherwise(base * LOW_DISCOUNT)
 
@@ -48,23 +48,62 @@ def band_join(listings: DataFrame, trades: DataFrame, band: float = AREA_BAND) -
 
     Joined on the district and on buckets of areas as wide as the band, a pair with its bucket and both beside it, so that a trade meets only pairs near it.
     """
+    return _banded(pairs_of(listings), trades, band)
+
+
+def _banded(pairs: DataFrame, trades: DataFrame, band: float, *keys: str) -> DataFrame:
+    """pairs (district, area, keys and more) with the trades in their band that have the same keys."""
     bucket = lambda c: F.floor(c / band).cast("long")
-    t = trades.withColumnRenamed("area", "trade_area").withColumnRenamed("district", "trade_district").withColumn("trade_bucket", bucket(F.col("trade_area")))
-    p = pairs_of(listings).withColumn("bucket", F.explode(F.sequence(bucket(F.col("area")) - 1, bucket(F.col("area")) + 1)))
+    t = trades.withColumnsRenamed({"area": "trade_area", "district": "trade_district"} | {k: f"trade_{k}" for k in keys}).withColumn("trade_bucket", bucket(F.col("trade_area")))
+    p = pairs.withColumn("bucket", F.explode(F.sequence(bucket(F.col("area")) - 1, bucket(F.col("area")) + 1)))
     on = (F.col("district") == F.col("trade_district")) & (F.col("bucket") == F.col("trade_bucket")) & in_band(F.col("trade_area"), F.col("area"), band)
-    return p.join(t, on).drop("trade_district", "bucket", "trade_bucket")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"trade_{k}"))
+    return p.join(t, on).drop("trade_district", "bucket", "trade_bucket", *[f"trade_{k}" for k in keys])
+
+
+#: Ranges of values to a factor of e.
+STEPS = 256
 
 
-def counted(trades: DataFrame, *more: str) -> DataFrame:
-    """Trades of one district, area and amount (and more columns) as one row with their number m, so that what is copied into bands and held for quantiles is small."""
-    return trades.groupBy("district", "area", "amount", *more).agg(F.count(F.lit(1)).alias("m"))
+def _range(x: Column) -> Column:
+    """The range of a value: never less for a greater one. Equal in width by logarithm, so that outliers don't empty them."""
+    return F.when(x > 0, F.floor(F.ln(x) * STEPS)).otherwise(-(1 << 40))
+
+
+def band_quantiles(pairs: DataFrame, values: DataFrame, band: float) -> DataFrame:
+    """district, area, n, base, low of the values in each pair's band. pairs: district, area; values: district, area, x; exact.
+
+    What is copied into bands are counts by range, whose number doesn't grow with the values; they say in which ranges the ranks of median and quartile lie, and only
+    the values of those, a few in several hundred, are copied after them.
+    """
+    ranged = lineage.written(values.groupBy("district", "area", "x").agg(F.count(F.lit(1)).alias("m")).withColumn("range", _range(F.col("x"))))
+    sums = ranged.groupBy("district", "area", "range").agg(F.sum("m").alias("m"))
+    sums = _banded(pairs, sums, band).groupBy("district", "area", "range").agg(F.sum("m").alias("m"))
+    whole = Window.partitionBy("district", "area")
+    before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = [(F.col("n") - 1) * q for q in (0.25, 0.5)]
+    ranks = [f(p).cast("long") for p in places for f in (F.floor, F.ceil)]
+    here = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("m"))
+    held = here(ranks[0]) | here(ranks[1]) | here(ranks[2]) | here(ranks[3])
+    held = sums.withColumns({"before": before(whole.orderBy("range")), "n": F.sum("m").over(whole)}).where(held)
+    held = lineage.written(held.select("district", "area", "range", F.col("before").alias("below"), "n"))
+    found = _banded(held, ranged, band, "range").groupBy("district", "area", "range", "below", "n", "x").agg(F.sum("m").alias("m"))
+    in_range = Window.partitionBy("district", "area", "range").orderBy("x")
+    found = found.withColumn("before", F.col("below") + before(in_range))
+    found = found.groupBy("district", "area").agg(F.max("n").alias("n"), *[F.min(F.when(here(k), F.col("x"))).alias(f"x{i}") for i, k in enumerate(ranks)])
+
+    def quantile(i: int) -> Column:
+        place, x, y = places[i // 2], F.col(f"x{i}"), F.col(f"x{i + 1}")
+        return F.when(x == y, x).otherwise((F.ceil(place) - place) * x + (place - F.floor(place)) * y)
+
+    base = quantile(2)
+    return found.select("district", "area", "n", base.alias("base"), F.when(F.col("n") >= LEAST_FOR_QUARTILE, quantile(0)).otherwise(base * LOW_DISCOUNT).alias("low"))
 
 
 def band_groups(listings: DataFrame, trades: DataFrame, band: float = AREA_BAND) -> DataFrame:
     """district, area, n, base, low of the trades' amounts in the band."""
-    n = F.sum("m")
-    base, low = base_and_low(F.col("amount"), n, F.col("m"))
-    return band_join(listings, counted(trades), band).groupBy("district", "area").agg(n.alias("n"), base.alias("base"), low.alias("low"))
+    return band_quantiles(pairs_of(listings), trades.select("district", "area", F.col("amount").alias("x")), band)
 
 
 def band_summary(listings: DataFrame, trades: DataFrame, band: float = AREA_BAND) -> DataFrame:
@@ -74,10 +113,12 @@ def band_summary(listings: DataFrame, trades: DataFrame, band: float = AREA_BAND
 
 def price_per_area(listings: DataFrame, trades: DataFrame, band: float = WIDE_BAND, least: int = 5) -> DataFrame:
     """district, area, n, base, low: from prices per area in a wider band, times the area; only with at least so many trades."""
-    n = F.sum("m")
-    base, low = base_and_low(F.col("amount") / F.col("trade_area"), n, F.col("m"))
-    out = band_join(listings, counted(live(trades).where("area > 0")), band).groupBy("district", "area").agg(n.alias("n"), base.alias("b"), low.alias("l")).where(F.col("n") >= least)
-    return out.select("district", "area", "n", (F.col("b") * F.col("area")).alias("base"), (F.col("l") * F.col("area")).alias("low"))
+    found = band_quantiles(pairs_of(listings), _per_area(live(trades).where("area > 0")), band).where(F.col("n") >= least)
+    return found.select("district", "area", "n", (F.col("base") * F.col("area")).alias("base"), (F.col("low") * F.col("area")).alias("low"))
+
+
+def _per_area(trades: DataFrame) -> DataFrame:
+    return trades.select("district", "area", (F.col("amount") / F.col("area")).alias("x"))
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,23 +187,20 @@ def _district_tiers(listings: DataFrame, trades: DataFrame) -> tuple[DataFrame,
 
     Each is struct(basis, n, base, low), and null without enough trades.
     """
-    new = counted(live(trades).where("area > 0 and new_build"), "large")
-    tier = lambda name, n, base, low, least: F.when(n >= least, F.struct(F.lit(name).alias("basis"), n.alias("n"), base.alias("base"), low.alias("low")))
-    near = in_band(F.col("trade_area"), F.col("area"), AREA_BAND)
-    n1, n2 = F.sum(F.when(near, F.col("m"))), F.sum("m")
-    base1, low1 = base_and_low(F.when(near, F.col("amount")), n1, F.col("m"))
-    base2, low2 = base_and_low(F.col("amount") / F.col("trade_area"), n2, F.col("m"))
-    sums = band_join(listings, new, WIDE_BAND).groupBy("district", "area").agg(
-        n1.alias("n1"), base1.alias("b1"), low1.alias("l1"), n2.alias("n2"), base2.alias("b2"), low2.alias("l2"),
-    )
-    c = F.col
-    small = sums.select(
-        "district", "area", tier("district_newbuild", c("n1"), c("b1"), c("l1"), 3).alias("t1"), tier("district_area_ppa", c("n2"), c("b2") * c("area"), c("l2") * c("area"), 5).alias("t2"),
-    )
-    base, low = base_and_low(c("amount") / c("area"), n2, c("m"))
-    large = new.where("large").groupBy("district").agg(n2.alias("n4"), base.alias("b4"), low.alias("l4"))
+    new = lineage.written(live(trades).where("area > 0 and new_build").select("district", "area", "amount", "large"))
+    pairs, c = pairs_of(listings), F.col
+
+    def tier(name: str, found: DataFrame, least: int, times: Column, alias: str) -> DataFrame:
+        value = F.struct(F.lit(name).alias("basis"), "n", (c("base") * times).alias("base"), (c("low") * times).alias("low"))
+        return found.where(c("n") >= least).select("district", "area", value.alias(alias))
+
+    small = tier("district_newbuild", band_groups(listings, new), 3, F.lit(1), "t1").join(
+        tier("district_area_ppa", band_quantiles(pairs, _per_area(new), WIDE_BAND), 5, c("area"), "t2"), ["district", "area"], "full")
+    # a district's large units as a band of one area
+    whole = lambda df: df.withColumn("area", F.lit(0.0))
+    large = band_quantiles(whole(pairs.select("district").distinct()), whole(_per_area(new.where("large"))), WIDE_BAND).drop("area")
     big = listings.where("large").select("district", "area").distinct().join(large, "district")
-    return small, big.select("district", "area", tier("district_large_ppa", c("n4"), c("b4") * c("area"), c("l4") * c("area"), 5).alias("t4"))
+    return small, tier("district_large_ppa", big, 5, c("area"), "t4")
 
 
 def ladder(listings: DataFrame, trades: DataFrame) -> DataFrame:

@@ -186,3 +186,25 @@ def test_digests_need_no_matches(spark):
     events = spark.createDataFrame([(i, [1, 2, 3, None][i % 4], i % 3 == 0, ["new", "end", None][i % 5 % 3], f"e{i}") for i in range(60)], "event_id long, region int, good boolean, kind string, line string")
     got, want = sets.subscriber_digests(subs, events), sets.digests(sets.subscriber_matches(subs, events))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10
+
+
+def test_band_quantiles_against_a_loop(spark):
+    """Outliers, values of zero and less, repeats and few values; the values themselves aren't held for quantiles."""
+    rnd = random.Random(5)
+    value = lambda: rnd.choice([rnd.uniform(9, 20), rnd.randrange(5) / 4, -rnd.random(), 1e12 * rnd.random(), 12.5])
+    trades = [(f"d{rnd.randrange(3)}", float(rnd.randrange(1, 40)), value()) for _ in range(900)] + [("e", 5.0, 1.0), ("f", 5.0, 1.0), ("f", 6.0, 4.0)]
+    pairs = sorted({(d, a) for d, a, _ in trades} | {("g", 1.0), ("e", 8.0)})
+    df = spark.createDataFrame(trades, "district string, area double, amount double")
+    found = market.band_groups(spark.createDataFrame(pairs + pairs[:9], "district string, area double"), df)
+    plan = found._jdf.queryExecution().toString()
+    assert "percentile" not in plan.lower()
+    got = {(r.district, r.area): (r.n, r.base, r.low) for r in found.collect()}
+    want = {}
+    for d, a in pairs:
+        near = [x for e, b, x in trades if e == d and abs(a - b) <= 3]
+        if near:
+            low = statistics.quantiles(near, n=4, method="inclusive")[0] if len(near) >= 4 else statistics.median(near) * 0.9
+            want[d, a] = (len(near), statistics.median(near), low)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k]), k
