@@ -70,6 +70,11 @@ def _first_in(names, text: Column, before: str = "") -> Column:
     return F.get(F.filter(F.lit(list(names)), lambda n: F.contains(text, F.concat(F.lit(before), n))), F.lit(0))
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with value evaluated once a row; a column that an expression names several times is otherwise computed as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_word(text: Column) -> Column:
     return F.split_part(F.trim(_text(text)), F.lit(" "), F.lit(1))
 
@@ -83,10 +88,9 @@ def plain_city(address: Column) -> Column:
 
 def main_address(address: Column) -> Column:
     """The address, or one in brackets if only that begins with a province."""
-    a = F.trim(_text(address))
-    known = lambda x: _lookup(PROVINCES, first_word(x)).isNotNull() | first_word(x).rlike(PROVINCE_WORD)
-    inner = F.get(F.filter(F.regexp_extract_all(a, F.lit(r"\(([^)]*)\)"), F.lit(1)), known), F.lit(0))
-    return F.when(known(a), a).otherwise(F.coalesce(F.trim(inner), a))
+    known = lambda x: _once(first_word(x), lambda w: _lookup(PROVINCES, w).isNotNull() | w.rlike(PROVINCE_WORD))
+    inner = lambda a: F.get(F.filter(F.regexp_extract_all(a, F.lit(r"\(([^)]*)\)"), F.lit(1)), known), F.lit(0))
+    return _once(F.trim(_text(address)), lambda a: F.when(known(a), a).otherwise(F.coalesce(F.trim(inner(a)), a)))
 
 
 def province(address: Column) -> Column:
@@ -101,29 +105,37 @@ def region(address: Column) -> Column:
 
 def coded_district(address: Column) -> Column:
     """The district as the code table names it; a city with districts stays a city if none is named."""
-    a = plain_city(address)
-    city = _first_in(dict.fromkeys(k.split(" ")[0] for k in GYEONGGI), a)
-    inside = F.try_element_at(F.create_map(*[x for k, v in CITY_DISTRICTS.items() for x in (F.lit(k), F.lit(v))]), city)
-    part = F.get(F.filter(inside, lambda n: F.contains(a, n)), F.lit(0))
-    return (
+    inside = lambda city: F.try_element_at(F.create_map(*[x for k, v in CITY_DISTRICTS.items() for x in (F.lit(k), F.lit(v))]), city)
+
+    def in_gyeonggi(a: Column) -> Column:
+        part = lambda city: F.get(F.filter(inside(city), lambda n: F.contains(a, n)), F.lit(0))
+        named = lambda city: _once(part(city), lambda p: F.when(p.isNotNull(), F.concat_ws(" ", city, p)).otherwise(city))
+        return _once(_first_in(dict.fromkeys(k.split(" ")[0] for k in GYEONGGI), a), named)
+
+    return _once(plain_city(address), lambda a: (
         F.when(region(a) == "서울", _first_in(SEOUL, a, " "))
-        .when(region(a) == "경기", F.when(part.isNotNull(), F.concat_ws(" ", city, part)).otherwise(city))
+        .when(region(a) == "경기", in_gyeonggi(a))
         .when(region(a) == "인천", F.concat(F.lit("인천 "), _first_in(INCHEON, a, " ")))
-    )
+    ))
 
 
 def district(address: Column) -> Column:
     """The city, county or district of any address in the country."""
-    words = F.filter(F.split(plain_city(address), r"(?U)\s+"), lambda w: w != "")
-    second, third = F.get(words, F.lit(1)), F.get(words, F.lit(2))
-    plain = F.when(second.rlike("[시군구]$"), F.when(second.endswith("시") & _yes(third.endswith("구")), F.concat_ws(" ", second, third)).otherwise(second))
-    other = F.when((F.size(words) < 2) | _yes(province(address) == "세종"), None).otherwise(plain)
-    return F.coalesce(F.replace(coded_district(address), F.lit("인천 "), F.lit("")), other)
+    def plain(words: Column) -> Column:
+        second, third = F.get(words, F.lit(1)), F.get(words, F.lit(2))
+        return F.when(second.rlike("[시군구]$"), F.when(second.endswith("시") & _yes(third.endswith("구")), F.concat_ws(" ", second, third)).otherwise(second))
+
+    def named(a: Column) -> Column:
+        words = F.filter(F.split(plain_city(a), r"(?U)\s+"), lambda w: w != "")
+        other = _once(words, lambda w: F.when((F.size(w) < 2) | _yes(province(a) == "세종"), None).otherwise(plain(w)))
+        return F.coalesce(F.replace(coded_district(a), F.lit("인천 "), F.lit("")), other)
+
+    return _once(address, named)
 
 
 def district_code(name: Column) -> Column:
     """The code of a district as coded_district names it."""
-    return F.when(name.startswith("인천 "), _lookup(INCHEON, F.substring(name, 4, 100))).otherwise(F.coalesce(_lookup(SEOUL, name), _lookup(GYEONGGI, name)))
+    return _once(name, lambda n: F.when(n.startswith("인천 "), _lookup(INCHEON, F.substring(n, 4, 100))).otherwise(F.coalesce(_lookup(SEOUL, n), _lookup(GYEONGGI, n))))
 
 
 def is_capital(address: Column) -> Column:
@@ -131,9 +143,9 @@ def is_capital(address: Column) -> Column:
 
 
 def is_regulated(address: Column) -> Column:
-    name = coded_district(address)
-    whole = name.isin("성남시", "수원시") & ~F.contains(_text(address), F.lit("권선구"))
-    return F.when(region(address) == "서울", True).when(region(address) == "경기", _yes(name.isin(*REGULATED_GYEONGGI) | whole)).otherwise(False)
+    whole = lambda name: name.isin("성남시", "수원시") & ~F.contains(_text(address), F.lit("권선구"))
+    named = _once(coded_district(address), lambda name: _yes(name.isin(*REGULATED_GYEONGGI) | whole(name)))
+    return F.when(region(address) == "서울", True).when(region(address) == "경기", named).otherwise(False)
 
 
 def dong(address: Column) -> Column:
@@ -141,8 +153,7 @@ def dong(address: Column) -> Column:
     words = F.slice(F.filter(F.split(_text(address), r"(?U)\s+"), lambda w: w != ""), 2, 4)
     name = lambda w: w.rlike("^[가-힣]+[0-9]?(?:동|읍|면|가)$") & (w != "공동")
     stop = F.filter(words, lambda w: name(w) | w.rlike(r"\d"))
-    found = F.get(stop, F.lit(0))
-    return F.when(_yes(name(found)), found).otherwise("")
+    return _once(F.get(stop, F.lit(0)), lambda found: F.when(_yes(name(found)), found).otherwise(""))
 
 
 def address_prefix(address: Column) -> Column:
@@ -203,18 +214,21 @@ def listings(raw: DataFrame, today: Column) -> DataFrame:
     raw: notice_no, house_ty, name, address, kind, category, rent_secd, speculative, adjusted, price_cap, price, move_in (yyyy-MM).
     """
     c = F.col
-    rental = is_rental(c("rent_secd"), c("name"))
-    regulated = F.coalesce("speculative", is_regulated(c("address")))
+    # columns that others are made of, each computed once
+    raw = raw.where("price is not null and price <> 0").withColumns({
+        "__rental": is_rental(c("rent_secd"), c("name")), "__regulated": F.coalesce("speculative", is_regulated(c("address"))),
+        "__coded": coded_district(c("address")), "__kind": kind_label(c("kind"), c("category")), "__label": unit_label(c("house_ty")),
+    })
+    rental, regulated = c("__rental"), c("__regulated")
     cap = _yes(c("price_cap"))
     built = _yes(F.substring("move_in", 1, 7) <= F.date_format(F.date_add(today, 183), "yyyy-MM"))
     rewin = F.when(regulated, "10년").when(cap, "공고문 확인").otherwise("없음")
-    kind = kind_label(c("kind"), c("category"))
-    label = unit_label(c("house_ty"))
-    return raw.where("price is not null and price <> 0").select(
-        "*",
+    kind, label = c("__kind"), c("__label")
+    return raw.select(
+        *[x for x in raw.columns if not x.startswith("__")],
         F.concat_ws("-", "notice_no", F.when(_text(c("house_ty")) != "", c("house_ty")).otherwise(label)).alias("id"), label.alias("unit"), area_of(c("house_ty")).alias("area"),
-        region(c("address")).alias("region"), coded_district(c("address")).alias("sigungu"), province(c("address")).alias("sido"),
-        district(main_address(c("address"))).alias("district"), district_code(coded_district(c("address"))).alias("lawd"),
+        region(c("address")).alias("region"), c("__coded").alias("sigungu"), province(c("address")).alias("sido"),
+        district(main_address(c("address"))).alias("district"), district_code(c("__coded")).alias("lawd"),
         rental.alias("rental"), F.contains(_text(c("name")), F.lit(LAND_LEASE_NAME)).alias("land_lease"),
         F.when(rental, F.replace(kind, F.lit("일반분양"), F.lit("공공임대"))).otherwise(kind).alias("label"), target(c("name")).alias("target"),
         is_capital(c("address")).alias("capital"), regulated.alias("regulated"), regulation(c("speculative"), c("adjusted")).alias("reg_kind"),

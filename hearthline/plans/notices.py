@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearthline.operators import checks, decisions, judging, listing
+from hearthline.operators import checks, decisions, judging, lineage, listing
 from hearthline.plans.registry import cases, facts, query
 from hearthline.plans.standin import TODAY
 
@@ -33,7 +33,7 @@ _places = ", ".join(f"{cases('c_custkey', [a[i] for a in ADDRESSES])} AS {n}" fo
 
 @query(f"SELECT c_custkey AS id, {_places} FROM customer")
 def address_places(spark, sf_dir):
-    f, a = facts(spark, sf_dir, _ADDRESS_FACTS, "customer"), F.col("address")
+    f, a = lineage.spread(facts(spark, sf_dir, _ADDRESS_FACTS, "customer"), "id"), F.col("address")
     return f.select(
         "id", listing.region(a).alias("region"), listing.province(a).alias("sido"), listing.district(listing.main_address(a)).alias("district"),
         listing.district_code(listing.coded_district(a)).alias("lawd"), listing.is_regulated(a).alias("regulated"), listing.is_capital(a).alias("capital"),
@@ -90,7 +90,7 @@ SELECT notice_no || '-' || coalesce(nullif(house_ty, ''), unit) AS id, unit, CAS
   CASE WHEN regulated THEN '10년' WHEN coalesce(price_cap, false) THEN '공고문 확인' ELSE '없음' END || CASE WHEN coalesce(price_cap, false) THEN '|공고문 확인' ELSE '' END AS limits FROM g""")
 def listing_build(spark, sf_dir):
     """Listings of raw notices as of a day in 1998."""
-    found = listing.listings(facts(spark, sf_dir, _RAW_FACTS, "part"), F.lit(TODAY).cast("date"))
+    found = listing.listings(lineage.spread(facts(spark, sf_dir, _RAW_FACTS, "part"), "notice_no"), F.lit(TODAY).cast("date"))
     return found.select(
         "id", "unit", "area", "region", "district", "lawd", "rental", "land_lease", "label", "target", "capital", "regulated", "land_permit", "mid_rate", "residence_duty", "need_head", "need_account",
         F.array_join(F.transform("limits", lambda x: x["value"]), "|").alias("limits"),

@@ -208,3 +208,17 @@ def test_band_quantiles_against_a_loop(spark):
     assert set(got) == set(want)
     for k in want:
         assert got[k] == pytest.approx(want[k]), k
+
+
+def test_address_parts_are_computed_once(spark):
+    """An expression that names another several times must not compute it as often; small files are spread over tasks."""
+    from hearthline.operators import listing
+    from hearthline.plans import catalog
+
+    df = spark.createDataFrame([("경기도 화성시 동탄구 오산동 1",)], "address string").select(F.col("address"))
+    for made, most in ((listing.coded_district(F.col("address")), 1), (listing.is_regulated(F.col("address")), 1), (listing.district(listing.main_address(F.col("address"))), 2)):
+        plan = df.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("특례시") <= most, plan.count("특례시")
+    for name in ("address_places", "listing_build"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan, name
