@@ -93,10 +93,15 @@ def trusted(labels: DataFrame) -> DataFrame:
     return ids.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2)).alias("part"))
 
 
+def _dealt(ids: DataFrame) -> DataFrame:
+    """ids for a join by shuffle at every size. Their number grows with documents: a table that is broadcast while it is small is a cliff of memory and of shuffled bytes where it no longer is."""
+    return ids.hint("shuffle_hash")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: weights (array of BUCKETS doubles) and threshold. The ids are written, so that the planner knows whether they are few enough to be broadcast; texts are shuffled only where they aren't."""
+    """One row: weights (array of BUCKETS doubles) and threshold. Texts are shuffled to the ids of trusted documents twice, one after the other."""
     ids, texts = persisted(trusted(labels), "quality-trusted"), docs.select("doc_id", "text")
-    marked = texts.join(ids, "doc_id", "left").select("part", F.transform(words_of(text_of("text")), lambda w: F.xxhash64(w)).alias("w"))
+    marked = texts.join(_dealt(ids), "doc_id", "left").select("part", F.transform(words_of(text_of("text")), lambda w: F.xxhash64(w)).alias("w"))
     grams = marked.select(F.explode(_let(F.col("w"), _grams)).alias("bucket"), F.coalesce(F.col("part") == 0, F.lit(False)).alias("target"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("target").alias("target"))
     full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
@@ -113,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
         ),
         "quality-weights",
     )
-    held = _hashes(texts.join(ids.where("part = 1"), "doc_id", "left_semi"))
+    held = _hashes(texts.join(_dealt(ids.where("part = 1")), "doc_id", "left_semi"))
     # scores are averages of logarithms, a few hundred thousand steps at most: the exact quantile of their steps, whatever the number of documents
     steps = _with_score(held, weights).groupBy((F.floor(F.col("score") * STEPS) / STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     threshold = steps.agg(F.coalesce(F.percentile("step", QUANTILE, F.col("n")), F.lit(float("-inf"))).alias("threshold"))

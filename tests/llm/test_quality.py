@@ -92,3 +92,17 @@ def test_all_trusted_documents_count(spark):
 
     for w, k in words.items():
         assert model.weights[w] == pytest.approx(math.log((k + 1) / (counted + quality.BUCKETS)) - math.log((n / 3 + 1) / (n + quality.BUCKETS)))
+
+
+def test_texts_meet_few_trusted_ids_as_they_meet_many(labelled, monkeypatch):
+    """No broadcast of ids, whose number grows with the documents, so that shuffled bytes grow in step with the input."""
+    docs, labels = labelled
+    plans, persisted = [], quality.persisted
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return persisted(df, name)
+
+    monkeypatch.setattr(quality, "persisted", seen)
+    quality.fit(docs, labels)
+    assert sum(p.count("ShuffledHashJoin") for p in plans) >= 2 and not any("BroadcastHashJoin [doc_id" in p for p in plans)
