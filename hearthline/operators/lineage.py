@@ -32,3 +32,12 @@ def written(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str, times: int = 4) -> DataFrame:
     """df over several tasks for each core, by its keys. A small file is one task, and what a join or a rule makes of each row of it would be that task's alone."""
     return df.repartition(times * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+#: Rows of a task where each makes many of sorts and windows.
+ROWS = 100_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by its keys over so many tasks that each has about ROWS of its rows, however many there are: what windows and sorts over the keys hold doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)

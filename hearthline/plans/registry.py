@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthline.operators import lineage
+
 Query = Callable[[SparkSession, str], DataFrame]
 found_queries: dict[str, Query] = {}
 found_sql: dict[str, str] = {}
@@ -23,9 +25,10 @@ def query(sql: str | None = None):
     return register
 
 
-def facts(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Rows of a SELECT that both engines read alike; tables are named in it as they are."""
+def facts(spark: SparkSession, sf_dir: str, sql: str, *tables: str, dealt: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Rows of a SELECT that both engines read alike; tables are named in it as they are. dealt: tables that are dealt by keys over tasks of a bounded number of rows."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    frames |= {t: lineage.dealt(frames[t], frames[t].count(), *keys) for t, keys in (dealt or {}).items()}
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(sql, **frames)

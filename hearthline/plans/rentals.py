@@ -163,7 +163,7 @@ g AS (SELECT notice, type, tier, contract + balance AS deposit, contract, rent,
 SELECT notice, CAST(row_number() OVER (PARTITION BY notice ORDER BY no) AS INT) AS line, type, tier, deposit, contract, rent FROM g""")
 def rent_tables(spark, sf_dir):
     """Rows read back out of texts that are made of the lines of orders."""
-    r, c = facts(spark, sf_dir, _RENTS, "lineitem"), F.col
+    r, c = facts(spark, sf_dir, _RENTS, "lineitem", dealt={"lineitem": ("l_orderkey",)}), F.col
     first = F.col("no") == F.min("no").over(Window.partitionBy("notice"))
     r = r.withColumn("first", first).withColumn("own", F.first(F.when(c("first"), c("contract")), ignorenulls=True).over(Window.partitionBy("notice")))
     contract = F.when(c("layout") == 2, c("own")).otherwise(c("contract"))

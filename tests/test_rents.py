@@ -75,3 +75,18 @@ def test_texts_of_notices(spark):
     assert got[3] == [("49", "가군", 9_500_000, 1_500_000, 50_000), ("49", "나군", 12_500_000, 2_500_000, 61_000)]
     assert got[4] == [] and got[5] == [("36", "대학생", 10_000_000, 500_000, 50_000)] and got[6:] == [[], [], [], []]
     assert re.search(rents.TYPE, "59.98B")
+
+
+def test_tables_are_dealt_over_tasks_by_their_rows(spark, monkeypatch):
+    """More rows are more tasks, not larger ones."""
+    from hearthline.operators import lineage
+    from hearthline.plans import catalog
+
+    sf, parts = "/root/testdata/sf0.001", {}
+    want = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    for rows in (1000, 100):
+        monkeypatch.setattr(lineage, "ROWS", rows)
+        plan = catalog.queries()["rent_tables"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan
+        parts[rows] = lineage.dealt(spark.range(want), want, "id").rdd.getNumPartitions()
+    assert parts[100] >= 9 * want / 1000 and parts[100] > parts[1000]
