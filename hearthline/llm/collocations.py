@@ -205,7 +205,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     spark = docs.sparkSession
     out = Scratch(spark, "collocations-result")
     with Scratch(spark, "collocations") as scratch:
-        parts = scratch.table(shards(docs), "shards")
+        # a file for each shard: a reader holds one at once, and a task has few of them, whose phrases it sums before the shuffle
+        parts = scratch.table(shards(docs), "shards", maxRecordsPerFile=1)
         each = parts.selectExpr("inline(words)")
         totals = scratch.table(each.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
         words = each.groupBy("lang", "word", F.col("h").alias("h1")).agg(F.sum("f").alias("f"))

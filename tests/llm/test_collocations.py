@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hearthline.llm import collocations
 from hearthline.llm.collocations import Shard, bitmaps, collocations as mined, words_and_breaks
@@ -66,6 +67,23 @@ def test_shards_cut_nothing(spark, monkeypatch):
     assert found(spark, docs, longest=3, least=10, top=50) == plain(docs, 3, 10, 50)
 
 
+def test_a_file_for_each_shard(spark, monkeypatch):
+    """Shards that one task has made are read and counted apart, so that a task's memory doesn't grow with the shards of a file."""
+    docs = [(f"{'a' * 1000} b{i} " * 3000, "en") for i in range(3)]
+    files, table = [], collocations.Scratch.table
+
+    def seen(self, df, name, **options):
+        out = table(self, df, name, **options)
+        if name == "shards":
+            files.extend(out.groupBy(F.input_file_name()).count().collect())
+        return out
+
+    monkeypatch.setattr(collocations.Scratch, "table", seen)
+    df = spark.createDataFrame(docs, "text string, lang string").coalesce(1)
+    assert sorted(tuple(r) for r in mined(df).collect()) == plain(docs, 3, 10, 2000)
+    assert [n for _, n in files] == [1, 1, 1]
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
