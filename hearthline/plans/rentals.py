@@ -104,8 +104,8 @@ s AS (SELECT person, notice, ord, tier, {", ".join(f"CASE WHEN tier = '다자녀
 states AS (SELECT person, notice, ord, tier, CASE {" ".join(f"WHEN '{x}' IN ({', '.join(f'coalesce(r_{n}, {chr(39)}{chr(39)})' for n in RULES_SQL)}) THEN '{x}'" for x in ("na", "no", "check"))} ELSE 'ok' END AS state FROM s)"""
 
 
-def _rows(spark, sf_dir, parts=False):
-    f, c = facts(spark, sf_dir, _PERSON, "customer"), F.col
+def _persons_and_notices(spark, sf_dir):
+    f, c = facts(spark, sf_dir, _PERSON, "customer", dealt={"customer": ("c_custkey",)}), F.col
     told = F.when(c("told"), F.array(*[F.lit(z) for z in tiers.ZEROS])).otherwise(F.array().cast("array<string>"))
     persons = f.select("person", "nation", F.struct(*[x for x in f.columns if x not in ("person", "nation", "told")], told.alias("entered")).alias("p"))
     g = spark.sql(f"SELECT g.* FROM ({_TIERS.replace('FROM n', 'FROM (SELECT *, explode(array(0, 1, 2, 3)) AS i FROM {notices})')}) g", notices=facts(spark, sf_dir, _NOTICE, "supplier"))
@@ -118,9 +118,17 @@ def _rows(spark, sf_dir, parts=False):
         "asset", "asset_excluded", F.struct((c("asset") + 2500).alias("b10"), (c("asset") + 5000).alias("b20")).alias("asset_bonus"), "car", F.struct(F.lit(5000).alias("b10"), F.lit(5400).alias("b20")).alias("car_bonus"), F.when(long_worker, 3).alias("min_family"),
         F.when(long_worker, F.array(F.lit("해당 업종에 장기 종사한 사람"))).alias("notes"), "lower_tiers", F.lit(30000).alias("lower_asset"))
     notices = g.select("notice", "nation", "ord", terms.alias("t"), tier.alias("g"))
-    # few persons meet many notices: the work is in the pairs
-    pairs = lineage.spread(tiers.prepared(persons, "p"), "person").join(tiers.prepared(notices, "t"), "nation")
-    return tiers.judge(pairs.drop("nation"), parts)
+    return tiers.prepared(persons, "p"), tiers.prepared(notices, "t")
+
+
+def _rows(spark, sf_dir, parts=False):
+    """Every pair judged by itself; tests hold the queries against it."""
+    persons, notices = _persons_and_notices(spark, sf_dir)
+    return tiers.judge(lineage.spread(persons, "person").join(notices, "nation").drop("nation"), parts)
+
+
+def _judged(spark, sf_dir):
+    return tiers.Judged(*_persons_and_notices(spark, sf_dir), "nation")
 
 
 _SQL = f"WITH {_STATED}"
@@ -144,7 +152,7 @@ _COUNTED = {"youth": "age", "unmarried": "unmarried", "student": "student", "eld
 SELECT tier, rule, state, count(*) AS n FROM r WHERE state IN ('check', 'no', 'na') GROUP BY ALL""")
 def rental_tier_reasons(spark, sf_dir):
     """How often each rule stands in the way of a tier."""
-    return tiers.count_states(_rows(spark, sf_dir, parts=True).withColumn("tier", F.col("g.key")), ["tier"]).where("state <> 'ok'")
+    return _judged(spark, sf_dir).counts().where("state <> 'ok'")
 
 
 # --- rent tables ---------------------------------------------------------------------------------------------------------------------

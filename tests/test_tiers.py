@@ -59,3 +59,32 @@ def test_few_persons_are_many_tasks(spark):
     rows = rentals._rows(spark, "/root/testdata/sf0.001")
     assert "RepartitionByExpression" in rows._jdf.queryExecution().analyzed().toString()
     assert {"places"} <= set(rows.schema["p"].dataType.names) and {"wanted"} <= set(rows.schema["t"].dataType.names)
+
+
+def test_readings_judge_as_pairs_do(spark):
+    """Rules judged once for each of their readings say what they say of every pair by itself, where tiers have notes, conditions of their own, limits by tables, or nothing that a rule reads."""
+    person, terms, tier = (", ".join(f"{k}: {v}" for k, v in s.items()) for s in (tiers.PERSON, tiers.TERMS, tiers.TIER))
+    of = lambda fields, d: {k: d.get(k) for k in fields}
+    people = [(i, i % 2, of(tiers.PERSON, {**BASE, **p, "startup": i % 3 == 0, "long_worker": None if i % 5 else True})) for i, (p, *_) in enumerate(CASES * 3)]
+    table = {"asset": 9000, "asset_bonus": {"b10": 11500, "b20": 14000}, "car": 900, "car_bonus": {"b10": 950, "b20": 1400}}
+    more = [{**GENERAL, "notes": ["창업인", "장기 종사", "창업인"]}, {**YOUTH, "own_basis": True, "income_excluded": True}, {**WED, **table, "asset_excluded": True}, {**WED, **table, "lower_tiers": True, "lower_asset": 30000}, {"key": None}, {"key": "일반", "car_excluded": True, "asset_excluded": True}, {**GENERAL, "key": "주거급여수급자"}, {**GENERAL, "job_provinces": ["부산"], "income_amounts": [4000000, 1]}]
+    local = {"province": "부산", "city": "수원시", "also": None, "others_check": True, "other_cities_check": False}
+    of_terms = [{"kind": "공공임대", "reference": DAY(2026, 9, 22), "engaged_ok": True, "birth_bonus": "table"}, {"kind": "영구임대", "reference": DAY(2026, 2, 28), "relaxed": True, "local": local, "homeless_relaxed": True, "homeless_one": True}, {"reference": DAY(2026, 9, 22), "birth_bonus": "none", "regions": ["부산"], "median": True, "income_100": [3000000, 4000000, 5000000, 5000000, 5000000, 5000000, 5000000, 5000000], "income_more": 100000}]
+    notices = [(n, n % 2, o, of(tiers.TERMS, t), of(tiers.TIER, g)) for n, t in enumerate(of_terms) for o, g in enumerate([YOUTH, GENERAL, ELDER, STUDENT, WED, *more])]
+    p = spark.createDataFrame(people, f"person int, nation int, p struct<{person}>")
+    n = spark.createDataFrame(notices, f"notice int, nation int, ord int, t struct<{terms}>, g struct<{tier}>")
+    pairs = tiers.judge(p.join(n, "nation").drop("nation"))
+    judged = tiers.Judged(tiers.prepared(p, "p"), tiers.prepared(n, "t"), "nation")
+    rows = lambda df, *columns: sorted(map(tuple, df.select(*columns).collect()), key=str)
+    keyed = pairs.withColumn("tier", F.col("g.key"))
+    assert rows(judged.states(), "person", "notice", "ord", "tier", "state") == rows(keyed, "person", "notice", "ord", "tier", "state")
+    assert rows(judged.best(), "person", "notice", "tier", "state") == rows(tiers.best_tier(pairs, ["person", "notice"], "ord"), "person", "notice", "tier", "state")
+    assert rows(judged.counts(), "tier", "rule", "state", "n") == rows(tiers.count_states(keyed, ["tier"]), "tier", "rule", "state", "n")
+
+
+def test_reasons_make_no_pairs(spark):
+    """Persons are counted by the readings of rules; no plan of the counts names a notice beside a person."""
+    from hearthline.plans import rentals
+
+    plan = rentals.rental_tier_reasons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "person#" in line and "notice#" in line]
