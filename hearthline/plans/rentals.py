@@ -137,12 +137,12 @@ _SQL = f"WITH {_STATED}"
 @query(f"{_SQL} SELECT person, notice, tier, state FROM states")
 def rental_tiers(spark, sf_dir):
     """Every person for every tier of the notices of their nation."""
-    return _rows(spark, sf_dir).select("person", "notice", F.col("g.key").alias("tier"), "state")
+    return _judged(spark, sf_dir).states().select("person", "notice", "tier", "state")
 
 
 @query(f"{_SQL} SELECT person, notice, tier, state FROM states QUALIFY row_number() OVER (PARTITION BY person, notice ORDER BY CASE state WHEN 'ok' THEN 1 WHEN 'check' THEN 2 WHEN 'no' THEN 3 ELSE 4 END, ord) = 1")
 def rental_best_tier(spark, sf_dir):
-    return tiers.best_tier(_rows(spark, sf_dir), ["person", "notice"], "ord")
+    return _judged(spark, sf_dir).best()
 
 
 _COUNTED = {"youth": "age", "unmarried": "unmarried", "student": "student", "elder": "age", "wed": "wed", "family": "family", "note": "note", "adult": "adult", "homeless": "homeless", "place": "place", "unread": "unread", "region": "region", "account": "account", "income": "income", "assets": "assets", "car": "car", "unknown": "tier"}
