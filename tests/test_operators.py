@@ -1,5 +1,6 @@
 """Literal rows and seeded comparisons for operators whose edges the tables don't reach."""
 
+import itertools
 import random
 import re
 import statistics
@@ -181,6 +182,15 @@ def test_a_class_of_events_is_cut_into_parts(spark):
     assert "own" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_matches_come_in_short_runs(spark):
+    """The same short run of events for subscriber after subscriber: files keep that in a fraction of the room of a subscriber's whole class of events."""
+    subs = spark.range(200).selectExpr("id sub_id", "cast(array() as array<int>) regions", "false good_only", "true reminders")
+    events = spark.range(1000).selectExpr("id event_id", "1 region", "true good", "'new' kind", "'x' line")
+    rows = [(r.sub_id, r.event_id) for r in sets.subscriber_matches(subs, events).collect()]
+    assert len(set(rows)) == len(rows) == 200_000
+    assert max(len(list(run)) for _, run in itertools.groupby(s for s, _ in rows)) <= 64
+
+
 def test_digests_need_no_matches(spark):
     subs = spark.createDataFrame([(i, r, i % 3 == 0, i % 2 == 0) for i, r in enumerate([[], [1], [1, 1, 2], None, [9], [2, None], [3]] * 4)], "sub_id long, regions array<int>, good_only boolean, reminders boolean")
     events = spark.createDataFrame([(i, [1, 2, 3, None][i % 4], i % 3 == 0, ["new", "end", None][i % 5 % 3], f"e{i}") for i in range(60)], "event_id long, region int, good boolean, kind string, line string")
