@@ -186,8 +186,10 @@ def test_matches_come_in_short_runs(spark):
     """The same short run of events for subscriber after subscriber: files keep that in a fraction of the room of a subscriber's whole class of events."""
     subs = spark.range(200).selectExpr("id sub_id", "cast(array() as array<int>) regions", "false good_only", "true reminders")
     events = spark.range(1000).selectExpr("id event_id", "1 region", "true good", "'new' kind", "'x' line")
-    rows = [(r.sub_id, r.event_id) for r in sets.subscriber_matches(subs, events).collect()]
+    got = sets.subscriber_matches(subs, events)
+    rows = [(r.sub_id, r.event_id) for r in got.collect()]
     assert len(set(rows)) == len(rows) == 200_000
+    assert "inline(__events" in got._jdf.queryExecution().optimizedPlan().toString()
     assert max(len(list(run)) for _, run in itertools.groupby(s for s, _ in rows)) <= 64
 
 
